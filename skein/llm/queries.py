@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import jaccard_join, mpeg_audio, pii
+from . import jaccard_join, license_scan, mpeg_audio, pii
 
 
 def queries() -> dict:
-    return {"op7_pii": pii.op7_pii, "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio, "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard, "pipeline": corpus_pipeline.run}
+    return {"op6_license_scan": license_scan.op6_license_scan, "op7_pii": pii.op7_pii, "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio, "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
