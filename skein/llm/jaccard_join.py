@@ -219,6 +219,35 @@ def candidate_pairs(entries: DataFrame) -> DataFrame:
     return left.join(right, ["k", "chunk"]).where(F.col("a") < F.col("b"))
 
 
+def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, compared exactly.
+
+    A candidate group of m sets has up to m * m / 2 pairs, so whole sets aren't sent to pairs. Each set is written once as
+    its difference from a hub, its least candidate partner: removed and added elements, few among near copies. With a
+    common hub H, |A & B| = |H| - |Ra | Rb| + |Da & Db|. Pairs without a common hub get their whole sets.
+    """
+    hubs = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("hub"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    of = ids.join(hubs, "id", "left").select("id", F.coalesce("hub", "id").alias("hub"))
+    core = sets.select(F.col("id").alias("hub"), F.col("u").alias("h"))
+    diff = (
+        sets.join(of, "id")
+        .join(core, "hub")
+        .select("id", "hub", F.array_except("h", "u").alias("r"), F.array_except("u", "h").alias("d"), F.size("u").cast("long").alias("n"), F.size("h").cast("long").alias("hn"))
+    )
+    diff = materialize(diff)
+    side = lambda x: diff.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("hub", "r", "d", "n", "hn")])
+    reach = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * t
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = both.where(F.col("hub_a") == F.col("hub_b")).withColumn(
+        "both", F.col("hn_a") - F.size(F.array_union("r_a", "r_b")).cast("long") + F.size(F.array_intersect("d_a", "d_b")).cast("long")
+    )
+    apart = pairs.join(of.withColumnRenamed("id", "a"), "a").join(of.select(F.col("id").alias("b"), F.col("hub").alias("hub_b")), "b").where(F.col("hub") != F.col("hub_b")).select("a", "b")
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("u").alias(f"u_{x}"), F.size("u").cast("long").alias(f"n_{x}"))
+    other = apart.join(whole("a"), "a").join(whole("b"), "b").withColumn("both", F.size(F.array_intersect("u_a", "u_b")).cast("long"))
+    return same.where(reach).select("a", "b").unionByName(other.where(reach).select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its component. Large-star and small-star steps alternate until nothing changes."""
 
@@ -265,17 +294,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     ids = small(reps.select("rep").distinct(), BROADCAST_ROWS)
     texts = src.join(ids, src["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_sets(width), "s1 long, s2 long, u array<long>").dropDuplicates(["s1", "s2"]))
-    side = sets.select(_sid().alias("a"), F.col("u"))
-    size = lambda c: F.size(c).cast("long")
-    both = F.size(F.array_intersect("u", "v")).cast("long")
-    links = (
-        pairs.join(side.select(F.col("a").alias("b"), F.col("u").alias("v")), "b")
-        .join(side, "a")
-        .withColumn("both", both)
-        .where(F.col("both") * 100 >= (size("u") + size("v") - F.col("both")) * threshold)
-        .select("a", "b")
-    )
-    links = materialize(links)
+    links = materialize(verified(pairs, sets.select(_sid().alias("id"), "u"), threshold))
 
     copies = classes.select(_sid().alias("b"), "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
