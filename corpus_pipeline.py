@@ -1,21 +1,50 @@
-"""From raw documents to shards, stage by stage; every stage's result is written as Parquet before the next reads it."""
+"""From raw documents to shards, stage by stage; every stage's result is written as Parquet before the next reads it.
+
+All stages but the last return the columns of `documents`. The last returns a manifest: where each kept document goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import jaccard_join
+from skein.llm import decontaminate, jaccard_join, mixing, quality_gbdt, sharding
 from skein.llm.common import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality_gbdt.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of linked ones."""
     return jaccard_join.keep_one(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by calibrated probabilities; nine tenths of the tokens are expected to stay."""
+    return mixing.sample(docs, keep=0.9)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("mixing", mix),
+    ("sharding", shards),
+]
 
-#: Trained models and iterated placement have no SQL form; tests/llm compares run() with a brute-force version.
+#: Trained models and sequential packing have no SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

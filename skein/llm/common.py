@@ -149,3 +149,16 @@ def null_texts(df: DataFrame, text: str = "text") -> DataFrame:
 def crc_of_id(doc_id: str = "doc_id"):
     """crc32 of the id as text, as the held-out rules use it."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], salts: int = 32) -> DataFrame:
+    """Left join of rows with one lookup row per key, where a key may hold a third of all rows.
+
+    A lookup counted to be small is broadcast; else its rows are repeated, so the rows of any key meet them in `salts` tasks.
+    """
+    hinted = small(lookup)
+    if hinted is not lookup:
+        return rows.join(hinted, keys, "left")
+    many = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cut = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return cut.join(many, [*keys, "__salt"], "left").drop("__salt")

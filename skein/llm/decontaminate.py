@@ -232,7 +232,7 @@ def match_text(h: np.ndarray, index: Index, min_overlap: float, ids: np.ndarray
             g = grams(h[s : s + width])
             for item, score in hits:
                 q, a = index.question[item], index.answer[item]
-                qo = float(np.isin(q, g).mean()) if len(q) else 1.0
+                qo = float(np.isin(q, _with_short(g, q, h[s : s + width])).mean()) if len(q) else 1.0
                 ao = float(np.isin(a, _with_short(g, a, h[s : s + width])).mean()) if len(a) else 1.0
                 if qo >= min_overlap and ao >= min_overlap and (item not in found or (score, qo, ao) > found[item][:3]):
                     found[item] = (score, qo, ao, s)

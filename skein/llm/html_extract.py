@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import materialize, salted_join
 
 MIN_PAGES = 4
 MIN_CLASS = 3
@@ -257,13 +257,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text, n_chars, host) of every page."""
     src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), host_of(url).alias("host"))
     rules = materialize(templates(src))
-    if rules.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8:
-        both = src.join(F.broadcast(rules), "host", "left")
-    else:
-        # A host may hold a third of all pages: each rule is repeated, so its pages spread over tasks.
-        salts = 32
-        salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        both = src.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    # A host may hold a third of all pages.
+    both = salted_join(src, rules, ["host"], ["page_id", "url"])
 
     def run(batches):
         known: dict[str, frozenset] = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U64, lower, materialize, mix, run_hashes, runs, small, text_bounds, text_slices
+from .common import BROADCAST_ROWS, U64, lower, materialize, mix, run_hashes, runs, salted_join, small, text_bounds, text_slices
 
 BOUNDARIES = (9, 19, 29)
 #: What a list entry costs against an emitted subset: it is shuffled as well, and its list is scanned.
@@ -305,11 +305,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     linked = named.join(best, "root").join(near.withColumnRenamed("a", "node"), "node").select("node.s1", "node.s2", "least", "near")
     known = classes.join(linked, ["s1", "s2"], "left").where("copies > 1 or least is not null")
     known = known.select("s1", "s2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("least", "rep").alias("component"))
-    # A class of copies may hold a third of all rows: its one row is repeated, so its documents spread over 32 tasks.
-    salts = 32
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "s1"), F.lit(salts)).cast("int"))
-    return keyed.join(salted, ["s1", "s2", "salt"], "left").select(
+    # A class of copies may hold a third of all rows.
+    return salted_join(rows, materialize(known), ["s1", "s2"], ["doc_id"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
