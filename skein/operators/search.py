@@ -51,7 +51,11 @@ def search_texts(docs: DataFrame, query: str, limit: int | None = None, key: str
     """The same over one unweighted text column without an index: one pass for the counts, one for the scores, no shuffle but the top."""
     want = sorted(set(python_tokens(query)))
     t = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    tfs = [F.size(F.filter("t", lambda x, w=w: x == w)).cast("double").alias(f"tf{i}") for i, w in enumerate(want)]
+
+    def places(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == word)).cast("double")
+
+    tfs = [places(w).alias(f"tf{i}") for i, w in enumerate(want)]
     m = t.select(key, F.size("t").alias("length"), *tfs)
     head = m.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(want))]).first()
     if not head["n"] or not want:

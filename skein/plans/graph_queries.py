@@ -83,7 +83,7 @@ def _names(pattern):
 
 def token_and(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return index.token_matches(p, "blue red").select("id", "name")
+    return index.token_matches(p, "Plate.blue").select("id", "name")
 
 
 _PART = "parts AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS low FROM part)"
@@ -122,7 +122,7 @@ def remove_file(spark, sf):
 
 def tier_union_ranked(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return index.tier_names(p.where("id % 2 = 0"), p.where("id % 3 = 0"), "*e*").select("id", "name", "rank")
+    return index.tier_names(p.where("id % 2 = 0"), p.where("id % 3 = 0"), "plate").select("id", "name", "rank")
 
 
 def partial_hydrate(spark, sf):
@@ -212,11 +212,11 @@ QUERIES = {
     ),
     "query_entities_filter": (query_entities_filter, f"WITH {P_SQL} SELECT id, name FROM entities WHERE ends_with(lower(name), '1') AND kind IN ('class', 'interface')"),
     "query_entities_file": (query_entities_file, f"WITH {P_SQL} SELECT id, name FROM entities WHERE file_origin = 'Brand#12' AND kind = 'function'"),
-    "name_suffix": (_names("*ed"), f"WITH {_PART} SELECT id, name, 0 AS tier FROM parts WHERE ends_with(low, 'ed')"),
+    "name_suffix": (_names("*plate"), f"WITH {_PART} SELECT id, name, 0 AS tier FROM parts WHERE ends_with(low, 'plate')"),
     "name_prefix": (_names("B*"), f"WITH {_PART} SELECT id, name, 0 AS tier FROM parts WHERE starts_with(low, 'b')"),
     "name_contains": (_names("lu"), _tiered_sql("lu")),
     "name_pattern_tiered": (_names("small"), _tiered_sql("small")),
-    "token_and": (token_and, f"WITH {_PART} SELECT id, name FROM parts WHERE list_has_all({tokens_sql('name')}, ['blue', 'red'])"),
+    "token_and": (token_and, f"WITH {_PART} SELECT id, name FROM parts WHERE list_has_all({tokens_sql('name')}, ['blue', 'plate'])"),
     "relations_by_kind": (relations_by_kind, f"WITH {P_SQL} SELECT id, kind, dst, occurrence_count FROM relations WHERE src = 'order:1' AND kind IN ('calls', 'references')"),
     "relations_touching": (relations_touching, f"WITH {P_SQL} SELECT id, kind, src, dst FROM relations WHERE src = 'supplier:3' OR dst = 'supplier:3'"),
     "entity_edges": (entity_edges, f"WITH {P_SQL}, k AS (SELECT id FROM entities WHERE kind IN ('function', 'class')) SELECT id, kind, src, dst FROM relations WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"),
@@ -226,7 +226,7 @@ QUERIES = {
     ),
     "tier_union_ranked": (
         tier_union_ranked,
-        f"WITH {_PART}, hot AS (SELECT * FROM parts WHERE id % 2 = 0 AND ends_with(low, 'e*')), cold AS (SELECT * FROM parts WHERE id % 3 = 0 AND contains(low, '*e*') AND id NOT IN (SELECT id FROM hot)) SELECT id, name, CASE WHEN low = 'e' THEN 0 ELSE 1 END AS rank FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold)",
+        f"WITH {_PART}, hot AS (SELECT * FROM parts WHERE id % 2 = 0 AND contains(low, 'plate')), cold AS (SELECT * FROM parts WHERE id % 3 = 0 AND contains(low, 'plate') AND id NOT IN (SELECT id FROM hot)) SELECT id, name, CASE WHEN low = 'plate' THEN 0 ELSE 1 END AS rank FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold)",
     ),
     "partial_hydrate": (partial_hydrate, f"WITH {s_sql(N)} SELECT id, kind, src, dst FROM relations WHERE src < 100 AND dst < 100"),
     "overview_counts": (

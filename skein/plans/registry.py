@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import graph_queries
+from skein.plans import data_queries, graph_queries
 
-MODULES = [graph_queries]
+MODULES = [graph_queries, data_queries]
 
 
 def queries() -> dict:
