@@ -102,15 +102,15 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None = N
 
 
 def calibrate(tokens: np.ndarray, factor: np.ndarray, keep: float) -> float:
-    """c such that sum(tokens * min(1, c * factor)) is the kept share of all tokens."""
+    """c such that sum(tokens * min(1, c * factor)) is the kept share of all tokens; if that's out of reach, all with a factor are kept."""
+    if keep * tokens.sum() >= tokens[factor > 0].sum():
+        return float(1 / factor[factor > 0].min(initial=1.0))
     order = np.argsort(-factor, kind="stable")
     t, f = tokens[order], factor[order]
     full = np.cumsum(t) - t
     rest = np.cumsum((t * f)[::-1])[::-1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = (keep * t.sum() - full) / rest
-    good = np.flatnonzero((c * f <= 1 + 1e-12) & (rest > 0))
-    return float(c[good[0]]) if len(good) else 1.0
+    c = (keep * t.sum() - full) / np.where(rest > 0, rest, np.inf)
+    return float(c[np.flatnonzero((c * f <= 1 + 1e-12) & (rest > 0))[0]])
 
 
 def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
@@ -139,9 +139,12 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
 def _calibrate_table(raked: DataFrame, keep: float) -> float:
     """calibrate() by bisection over aggregates."""
     total = raked.agg(F.sum("tokens")).first()[0] or 0
+    reach = raked.where("factor > 0").agg(F.sum("tokens").alias("t"), F.min("factor").alias("f")).first()
+    if keep * total >= (reach["t"] or 0):
+        return 1 / min(1.0, reach["f"] or 1.0)
     lo, hi = 0.0, 1.0
     kept = lambda c: raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("factor")))).first()[0] or 0.0
-    while kept(hi) < keep * total * (1 - 1e-12) and hi < 1e12:
+    while kept(hi) < keep * total * (1 - 1e-12):
         lo, hi = hi, hi * 2
     for _ in range(50):
         mid = (lo + hi) / 2
