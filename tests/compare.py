@@ -5,7 +5,7 @@ import math
 
 def rows(df):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "NaT":
+        if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
             return None
         if isinstance(v, float):
             return round(v, 6) + 0.0
