@@ -1,8 +1,8 @@
 """Graph traversal as iterated joins.
 
-Every search keeps one frontier and one table of visited nodes. A level is one join of the frontier with the edges and one
-anti join against what was visited, written to the shared folder so that the plan doesn't grow with the depth. A frontier
-is broadcast only after it was counted to be small, so levels that reach millions of nodes shuffle instead. A node at the
+A level is one join of the frontier with the edges. Small searches keep their bounded frontier on the driver. Larger ones
+anti-join each level against what was visited and write it to the shared folder, so the plan doesn't grow with the depth;
+a frontier is broadcast only after it was counted to be small, so levels of millions of nodes shuffle instead. A node at the
 depth limit isn't expanded, so edges between two nodes at the limit aren't returned.
 """
 
@@ -12,10 +12,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skein.functions.paths import is_magic_method, is_nonproduction
 from skein.functions.shared import materialize, small
 
+#: Visited nodes up to which a search keeps its frontier on the driver.
+LOCAL_NODES = 20_000
+
 DEAD_CODE_KINDS = ("function", "method", "class", "interface", "trait_def", "type_alias", "enum_def", "constant", "static_var")
 
 
@@ -25,9 +29,33 @@ def of_kinds(relations: DataFrame, kinds: list[str] | None) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
-    """(node, depth) of everything within max_depth steps along edges (src, dst), seeds at depth 0; without a limit, to the fixpoint."""
-    seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    parts, frontier, depth = [seen], seen, 0
+    """(node, depth) of everything within max_depth steps along edges (src, dst), seeds at depth 0; without a limit, to the fixpoint.
+
+    While at most LOCAL_NODES nodes were visited, a level is one job: the frontier is a broadcast of proven size, and the
+    next one comes back through a limit. From the level on that would exceed the bound, frontiers stay tables.
+    """
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    schema = StructType([StructField("node", kind), StructField("depth", IntegerType())])
+    got = seeds.select("node").where("node is not null").distinct().limit(LOCAL_NODES + 1).collect()
+    if len(got) > LOCAL_NODES:
+        seen = materialize(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+        return _reach_tables(edges, seen, seen, 0, max_depth)
+    found, frontier, depth = {r[0]: 0 for r in got}, [r[0] for r in got], 0
+    while frontier and (max_depth is None or depth < max_depth):
+        here = spark.createDataFrame([(n,) for n in frontier], StructType([StructField("src", kind)]))
+        got = edges.join(F.broadcast(here), "src").select(F.col("dst").alias("node")).where("node is not null").distinct().limit(LOCAL_NODES + 1).collect()
+        fresh = [r[0] for r in got if r[0] not in found]
+        if len(got) > LOCAL_NODES or len(found) + len(fresh) > LOCAL_NODES:
+            seen = materialize(spark.createDataFrame(list(found.items()), schema))
+            return _reach_tables(edges, seen, seen.where(F.col("depth") == depth), depth, max_depth)
+        depth += 1
+        found |= dict.fromkeys(fresh, depth)
+        frontier = fresh
+    return spark.createDataFrame(list(found.items()), schema)
+
+
+def _reach_tables(edges: DataFrame, seen: DataFrame, frontier: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
+    parts = [seen]
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         step = edges.join(small(frontier.select(F.col("node").alias("src"))), "src").select(F.col("dst").alias("node")).where("node is not null").distinct()

@@ -61,7 +61,9 @@ def test_has_incoming_counts_absent_sources(spark):
     assert ids(traverse.has_incoming(e, r, ["calls"], False), "id") == ["a", "b"]
 
 
-def test_random_graph_against_python(spark):
+@pytest.mark.parametrize("local", [0, 3, 20_000])
+def test_random_graph_against_python(spark, monkeypatch, local):
+    monkeypatch.setattr(traverse, "LOCAL_NODES", local)
     rng = random.Random(3)
     edges = [("calls", str(rng.randrange(12)), str(rng.randrange(12))) for _ in range(20)]
     e, r = graph(spark, [(str(i), "function", str(i), str(i)) for i in range(12)], edges)
