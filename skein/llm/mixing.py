@@ -113,16 +113,24 @@ def calibrate(tokens: np.ndarray, factor: np.ndarray, keep: float) -> float:
     return float(c[np.flatnonzero((c * f <= 1 + 1e-12) & (rest > 0))[0]])
 
 
-def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
-    """docs with columns __source, __lang, __topic, __tokens, __weight (the factor), __prob and __draw."""
-    spark = docs.sparkSession
-    named = docs.select(
+def named_cells(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
+    """docs with columns __source, __lang, __topic and __tokens."""
+    return docs.select(
         "*",
         F.coalesce(F.col(source).cast("string"), F.lit("(null)")).alias("__source"),
         F.coalesce(F.col(lang).cast("string"), F.lit("(null)")).alias("__lang"),
         (topic_of(F.col(text).cast("string")) if topic is None else F.coalesce(topic, F.lit("(null)"))).alias("__topic"),
         n_tokens(F.col(text).cast("string")).alias("__tokens"),
     )
+
+
+def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, named: DataFrame | None = None) -> DataFrame:
+    """docs with columns __source, __lang, __topic, __tokens, __weight (the factor), __prob and __draw.
+
+    named: what named_cells() gave, if the caller kept it.
+    """
+    spark = docs.sparkSession
+    named = named_cells(docs, text, source, lang, topic) if named is None else named
     cells = materialize(named.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens")))
     if cells.limit(MAX_CELLS + 1).count() <= MAX_CELLS:
         held = cells.toPandas().sort_values(list(DIMENSIONS)).reset_index(drop=True)
@@ -154,12 +162,14 @@ def _calibrate_table(raked: DataFrame, keep: float) -> float:
 
 def sample(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The drawn rows of docs; columns as they were."""
-    return weigh(docs, targets, keep).where("__draw < __prob").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The coalesce keeps the join an outer one; as an inner one it would test each topic for null, and so derive it twice.
+    return weigh(docs, targets, keep).where(F.col("__draw") < F.coalesce("__prob", F.lit(0.0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    w = weigh(docs)
+    # Texts are read once: what is counted of them is a few bytes a document.
+    w = weigh(docs, named=materialize(named_cells(docs).drop("text")))
     return w.select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
         F.round("__weight", 6).alias("weight"), F.round("__prob", 6).alias("prob"), (F.col("__draw") < F.col("__prob")).alias("kept"),
