@@ -328,3 +328,18 @@ def keep_one(docs: DataFrame, threshold: int = 90) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_sql(threshold: int = 90, width: int = 5) -> str:
+    """The same in SQL, by counting common shingles of all pairs that have any; for small tables."""
+    upper, lower_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = "concat_ws(' ', " + ", ".join(f"w[i + {k}]" for k in range(width)) + ")"
+    return (
+        rf"WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower_}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), "
+        f"g AS (SELECT doc_id, CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: {grams}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t), "
+        "s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(s) AS x FROM g), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), "
+        "p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2), "
+        f"l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= {threshold} * (na.n + nb.n - k)), "
+        "r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c) "
+        "SELECT d.doc_id, coalesce((SELECT n FROM n WHERE n.doc_id = d.doc_id), 0) AS n_shingles, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_similar, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d"
+    )

@@ -177,3 +177,34 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def template_regex(markup: str) -> str:
+    """A template as a regular expression over words that are each followed by a blank."""
+    out = ""
+    for part in re.findall(r"<<[^>]*>>|[^\s<>]+", markup):
+        if part.startswith("<<var"):
+            out += f"(?:[^ ]+ ){{0,{int(part[5:-2])}}}"
+        else:
+            out += {"<<optional>>": "(?:", "<<end>>": ")?"}.get(part) or part + " "
+    return " " + out
+
+
+def op6_sql() -> str:
+    """The same in SQL: phrases by position in the list of words, templates as regular expressions."""
+    upper, lower_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    places = []
+    for i, phrase in enumerate(PHRASES):
+        p = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(p))
+        places.append(f"list_filter(range(1, greatest(1, len(w) - {len(p) - 2})), lambda i: {test}) AS p{i}")
+    n = range(len(PHRASES))
+    base = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES.values()))
+    more = ", ".join(f"CASE WHEN regexp_matches(j, '{template_regex(t)}') THEN 'text:{k}' END" for k, t in TEMPLATES.items())
+    text = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{x}], lambda s: s IS NOT NULL))), ','), '')"
+    return (
+        rf"WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower_}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), "
+        f"f AS (SELECT doc_id, w, concat(' ', array_to_string(w, ' '), ' ') AS j, {', '.join(places)} FROM t), "
+        f"g AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, list_concat({', '.join(f'p{i}' for i in n)}) AS all_, {text(base)} AS base_labels, {text(base + ', ' + more)} AS labels, {text(more)} AS own FROM f) "
+        "SELECT doc_id, n_words, CAST(len(all_) AS BIGINT) AS n_base, list_min(all_) - 1 AS first_word, list_max(all_) - 1 AS last_word, base_labels, labels, CAST(CASE WHEN own <> '' THEN 1.0 WHEN base_labels <> '' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM g"
+    )

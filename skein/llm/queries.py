@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.op1_sql()}
+    return {"op1_mixing": mixing.op1_sql(), "op6_license_scan": license_scan.op6_sql(), "op9_ngram_jaccard": jaccard_join.op9_sql()}

@@ -60,10 +60,11 @@ def test_mixing_frames(spark, docs, none):
     assert all(r.want == r.got for r in t.select("want", mixing.topic_of(F.col("t")).alias("got")).collect() if r.want != "contact")
 
 
-def test_mixing_query_matches_sql(spark, sf, duck):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(name, spark, sf, duck):
     from compare import rows
 
-    assert rows(mixing.op1_mixing(spark, sf).toPandas()) == rows(duck.execute(queries.oracle_sql()["op1_mixing"]).df())
+    assert rows(queries.queries()[name](spark, sf).toPandas()) == rows(duck.execute(queries.oracle_sql()[name]).df())
 
 
 # sharding
