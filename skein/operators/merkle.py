@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.shared import materialize
+from skein.operators.traverse import reach
 
 
 def entity_hash(columns: list[str], prefix: str = "entity-v1:") -> Column:
@@ -80,3 +81,46 @@ def verify(asked: DataFrame, entities: DataFrame, stored: DataFrame) -> DataFram
     s = stored.select("id", F.col("hash").alias("expected"))
     status = F.when(F.col("actual").isNull() | F.col("expected").isNull(), "missing").when(F.col("actual") == F.col("expected"), "valid").otherwise("tampered")
     return asked.select("id").join(e, "id", "left").join(s, "id", "left").select("id", status.alias("status"), "expected", "actual")
+
+
+def canonical_hash(df: DataFrame) -> Column:
+    """Hex hash of a row as JSON with its columns by name; nulls are left out, so an absent column equals a null one."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).cast("binary"), 256)
+
+
+def domain_digest(df: DataFrame, name: str) -> DataFrame:
+    """fold() of the rows of any table; repeats count."""
+    return fold(df.select(canonical_hash(df).alias("hash")), name)
+
+
+def versioned_root(version: int, domains: dict[str, DataFrame], derived: tuple[str, ...] = ("outgoing", "incoming", "change_children", "entity_revisions")) -> tuple[int, str]:
+    """(version, hash) over all tables but derived ones. Two of them match only if both parts do."""
+    return version, root([domain_digest(df, name) for name, df in sorted(domains.items()) if name not in derived])
+
+
+def graph_root(hashes: DataFrame) -> str:
+    """One hash of all subgraph hashes; an empty graph has one too."""
+    return fold(hashes.select("hash"), "graph-root-v1").first()["digest"]
+
+
+def refresh(previous: DataFrame, entities: DataFrame, relations: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
+    """subgraph_hashes() after some entities (id) changed, recomputed only where a change can be seen; all anew if that's half of the graph.
+
+    A hash of depth d sees d steps ahead, so changes reach d steps back, and what they reach reads d steps ahead again.
+    """
+    back = relations.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    touched = materialize(reach(back, changed.select(F.col("id").alias("node")), depth).select(F.col("node").alias("id")))
+    if touched.count() * 2 >= entities.count():
+        return subgraph_hashes(entities, relations, depth)
+    region = reach(relations, touched.select(F.col("id").alias("node")), depth).select(F.col("node").alias("id"))
+    inside = entities.join(region, "id", "left_semi")
+    edges = relations.join(region.select(F.col("id").alias("src")), "src", "left_semi")
+    fresh = subgraph_hashes(inside, edges, depth).join(touched, "id", "left_semi")
+    return previous.join(touched, "id", "left_anti").unionByName(fresh)
+
+
+def verify_subgraph(start, entities: DataFrame, relations: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, status, depth) of all that can be reached from start; missing nodes are walked through and left out."""
+    seeds = entities.sparkSession.range(1).select(F.lit(start).cast(relations.schema["src"].dataType).alias("node"))
+    found = materialize(reach(relations.select("src", "dst"), seeds, None).withColumnRenamed("node", "id"))
+    return verify(found, entities, stored).where("status != 'missing'").join(found, "id").select("id", "status", "depth")

@@ -185,6 +185,46 @@ def subgraph_hash_d2(spark, sf):
 _SUB = "s{k} AS (SELECT e.id, sha256(concat('subgraph-v1:', e.h, coalesce((SELECT string_agg(x, '' ORDER BY x) FROM (SELECT sha256(concat('edge|', r.kind, '|', p.h)) AS x FROM relations r JOIN s{j} p ON p.id = r.dst WHERE r.src = e.id)), ''))) AS h FROM s0 e)"
 
 
+def verify_subgraph(spark, sf):
+    e, r = graph_s(spark, 300)
+    h = e.select("id", merkle.entity_hash(_HASHED).alias("hash"))
+    stored = h.where("id % 11 != 0").select("id", F.when(F.col("id") % 5 == 0, "bad").otherwise(F.col("hash")).alias("hash"))
+    return merkle.verify_subgraph(3, h, r.where("kind = 'calls' and src < 200"), stored)
+
+
+def nation_digest(spark, sf):
+    return merkle.domain_digest(table(spark, sf, "nation"), "nation")
+
+
+def relation_revisit(spark, sf):
+    """An incremental refresh after one entity changed equals a full pass."""
+    e, r = graph_s(spark, 300)
+    before = e.select("id", merkle.entity_hash(_HASHED).alias("hash"))
+    after = before.withColumn("hash", F.when(F.col("id") == 17, F.sha2(F.lit("new").cast("binary"), 256)).otherwise(F.col("hash")))
+    return merkle.refresh(merkle.subgraph_hashes(before, r, 1), after, r, e.where("id = 17"), 1)
+
+
+SCALE = 100_000
+
+
+def scale_neighborhood_2hop(spark, sf):
+    return traverse.neighborhood(*graph_s(spark, SCALE), 12, 2)[0].select("id", "depth")
+
+
+def scale_impact_d5(spark, sf):
+    return traverse.downstream_impact(*graph_s(spark, SCALE), 12, 5).select("id", "depth")
+
+
+def scale_dead_code(spark, sf):
+    return traverse.dead_code(*graph_s(spark, SCALE)).select("id", "kind")
+
+
+def scale_lookups(spark, sf):
+    """A thousand point reads as one semi join."""
+    e, _ = graph_s(spark, SCALE)
+    return e.join(F.broadcast(spark.range(0, 100_000, 100)), "id", "left_semi").select("id", "name")
+
+
 def first_parent_lineage(spark, sf):
     c = table(spark, sf, "conversations").where("conv_id < 50").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("/", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
     return history.first_parent_lineage(c, "3/1")
@@ -246,5 +286,22 @@ QUERIES = {
     "verify_entities": (verify_entities, "SELECT concat('supplier:', s_suppkey) AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'tampered' ELSE 'valid' END AS status FROM supplier"),
     "relation_hash": (relation_hash, None),
     "subgraph_hash_d2": (subgraph_hash_d2, f"WITH {s_sql(300)}, s0 AS MATERIALIZED (SELECT id, {_HASH_SQL} AS h FROM entities), {_SUB.format(k=1, j=0).replace('s1 AS (', 's1 AS MATERIALIZED (')}, {_SUB.format(k=2, j=1)} SELECT id, h AS hash FROM s2"),
+    "verify_subgraph": (
+        verify_subgraph,
+        _bfs(s_sql(300), "SELECT src, dst FROM relations WHERE kind = 'calls' AND src < 200", "SELECT 3, 0", 1000) + " SELECT node AS id, CASE WHEN node % 5 = 0 THEN 'tampered' ELSE 'valid' END AS status, depth FROM m WHERE node % 11 <> 0",
+    ),
+    "domain_digest_rows": (
+        nation_digest,
+        "WITH h AS (SELECT sha256(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})::VARCHAR) AS hash FROM nation), b AS (SELECT substr(hash, 1, 2) AS bucket, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM h GROUP BY 1) "
+        "SELECT 'nation' AS name, CAST(sum(n) AS BIGINT) AS n, sha256(concat('nation:', CAST(sum(n) AS BIGINT), ':', string_agg(digest, '' ORDER BY bucket))) AS digest FROM b",
+    ),
+    "subgraph_refresh": (relation_revisit, f"WITH {s_sql(300)}, s0 AS MATERIALIZED (SELECT id, CASE WHEN id = 17 THEN sha256('new') ELSE {_HASH_SQL} END AS h FROM entities), {_SUB.format(k=1, j=0)} SELECT id, h AS hash FROM s1"),
+    "scale_neighborhood_2hop": (scale_neighborhood_2hop, _bfs(s_sql(SCALE), "SELECT src, dst FROM relations", "SELECT 12, 0", 2) + " SELECT node AS id, depth FROM m"),
+    "scale_impact_d5": (scale_impact_d5, _bfs(s_sql(SCALE), "SELECT dst AS src, src AS dst FROM relations", "SELECT 12, 0", 5) + " SELECT node AS id, depth FROM m WHERE depth > 0"),
+    "scale_dead_code": (
+        scale_dead_code,
+        f"WITH {s_sql(SCALE)} SELECT id, kind FROM entities WHERE kind IN ({_DEAD}) AND id NOT IN (SELECT r.dst FROM relations r JOIN entities s ON s.id = r.src JOIN entities d ON d.id = r.dst WHERE s.file_origin <> d.file_origin)",
+    ),
+    "scale_lookups": (scale_lookups, f"WITH {s_sql(SCALE)} SELECT id, name FROM entities WHERE id % 100 = 0"),
     "first_parent_lineage": (first_parent_lineage, "SELECT concat('3/', turn) AS id, 1 - turn AS distance FROM conversations WHERE conv_id = 3 AND turn <= 1"),
 }
