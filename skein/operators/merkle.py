@@ -41,11 +41,40 @@ def node_hash(tag: Column, id_: Column) -> Column:
     return F.sha2(F.concat(F.lit("node-v1:"), tag, F.lit("|"), id_).cast("binary"), 256)
 
 
-def fold(hashed: DataFrame, name: str, fan: int = 2) -> DataFrame:
-    """(name, n, digest): buckets by the first `fan` hex digits are folded in parallel, in order, and then their digests, so no task holds all hashes."""
-    buckets = hashed.groupBy(F.substring("hash", 1, fan).alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "").cast("binary"), 256).alias("digest"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"]), "")
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("all")).select(F.lit(name).alias("name"), "n", F.sha2(F.concat(F.lit(f"{name}:"), F.col("n").cast("string"), F.lit(":"), "all").cast("binary"), 256).alias("digest"))
+def _digest_of(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """(by, n, digest): one hash of the values in order."""
+    pair = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    inside = F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda b: b["v"]), "")
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(inside.cast("binary"), 256).alias("digest"))
+
+
+def fold(hashed: DataFrame, name: str) -> DataFrame:
+    """(name, n, digest) of a multiset of hex hashes.
+
+    A tree by leading digits: up to a million leaves of five digits, 256 nodes above them, one root. A leaf of ten billion hashes
+    holds ten thousand of them, so no task holds many.
+    """
+    one = hashed.select("hash", F.lit(1).cast("long").alias("n"), F.substring("hash", 1, 5).alias("leaf"))
+    leaves = _digest_of(one, ["leaf"], "hash", "hash")
+    nodes = _digest_of(leaves.withColumn("node", F.substring("leaf", 1, 2)), ["node"], "leaf", "digest")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda b: b["digest"]), "")
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("all")).select(F.lit(name).alias("name"), "n", F.sha2(F.concat(F.lit(f"{name}:"), F.col("n").cast("string"), F.lit(":"), "all").cast("binary"), 256).alias("digest"))
+
+
+def fold_sql(hashes: str, name: str) -> str:
+    """The same over a table expression with a column hash."""
+    return (
+        f"SELECT '{name}' AS name, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(concat('{name}:', CAST(coalesce(sum(n), 0) AS BIGINT), ':', string_agg(digest, '' ORDER BY node))) AS digest FROM ("
+        "SELECT substr(leaf, 1, 2) AS node, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY leaf)) AS digest FROM ("
+        f"SELECT substr(hash, 1, 5) AS leaf, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM {hashes} GROUP BY 1) GROUP BY 1)"
+    )
+
+
+def group_digest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, digest) of the multiset of hex hashes of each key, by buckets of four digits, so a hub's hashes are never in one task."""
+    one = rows.select(key, F.col(value).alias("__v"), F.lit(1).cast("long").alias("n"), F.substring(value, 1, 4).alias("__b"))
+    buckets = _digest_of(one, [key, "__b"], "__v", "__v")
+    return _digest_of(buckets, [key], "__b", "digest").select(key, "digest")
 
 
 def root(domains: list[DataFrame]) -> str:
@@ -65,14 +94,14 @@ def subgraph_hashes(entities: DataFrame, relations: DataFrame, depth: int) -> Da
     for _ in range(depth):
         below = relations.select("src", "kind", "dst").join(state.select(F.col("id").alias("dst"), F.col("hash").alias("h")), "dst", "left")
         part = below.select(F.col("src").alias("id"), F.sha2(F.concat_ws("|", F.lit("edge"), "kind", F.coalesce("h", node_hash(F.lit("absent"), F.col("dst").cast("string")))).cast("binary"), 256).alias("e"))
-        lists = part.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("e")), "").alias("all"))
+        lists = group_digest(part, "id", "e").withColumnRenamed("digest", "all")
         state = materialize(entities.select("id", F.col("hash").alias("own")).join(lists, "id", "left").select("id", F.sha2(F.concat(F.lit("subgraph-v1:"), "own", F.coalesce("all", F.lit(""))).cast("binary"), 256).alias("hash")))
     return state
 
 
 def component_hashes(entities: DataFrame, relations: DataFrame, labels: DataFrame) -> DataFrame:
-    """(component, hash) over the sorted hashes of the members of each component. labels: (id, component)."""
-    return entities.select("id", "hash").join(labels, "id").groupBy("component").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "").cast("binary"), 256).alias("hash"))
+    """(component, hash) over the hashes of the members of each component. labels: (id, component)."""
+    return group_digest(entities.select("id", "hash").join(labels, "id"), "component", "hash").withColumnRenamed("digest", "hash")
 
 
 def verify(asked: DataFrame, entities: DataFrame, stored: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def subgraph_hash_d2(spark, sf):
     return merkle.subgraph_hashes(e.select("id", merkle.entity_hash(_HASHED).alias("hash")), r, 2)
 
 
-_SUB = "s{k} AS (SELECT e.id, sha256(concat('subgraph-v1:', e.h, coalesce((SELECT string_agg(x, '' ORDER BY x) FROM (SELECT sha256(concat('edge|', r.kind, '|', p.h)) AS x FROM relations r JOIN s{j} p ON p.id = r.dst WHERE r.src = e.id)), ''))) AS h FROM s0 e)"
+_SUB = "s{k} AS (SELECT e.id, sha256(concat('subgraph-v1:', e.h, coalesce(d.h, ''))) AS h FROM s0 e LEFT JOIN (SELECT src, sha256(string_agg(b, '' ORDER BY k)) AS h FROM (SELECT src, substr(x, 1, 4) AS k, sha256(string_agg(x, '' ORDER BY x)) AS b FROM (SELECT r.src, sha256(concat('edge|', r.kind, '|', p.h)) AS x FROM relations r JOIN s{j} p ON p.id = r.dst) GROUP BY 1, 2) GROUP BY src) d ON d.src = e.id)"
 
 
 def verify_subgraph(spark, sf):
@@ -280,8 +280,7 @@ QUERIES = {
     "entity_hash": (entity_hash, f"WITH {P_SQL} SELECT id, {_HASH_SQL} AS hash FROM entities"),
     "graph_domain_digest": (
         domain_digest,
-        f"WITH {P_SQL}, h AS (SELECT {_HASH_SQL} AS hash FROM entities), b AS (SELECT substr(hash, 1, 2) AS bucket, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM h GROUP BY 1) "
-        "SELECT 'entities' AS name, CAST(sum(n) AS BIGINT) AS n, sha256(concat('entities:', CAST(sum(n) AS BIGINT), ':', string_agg(digest, '' ORDER BY bucket))) AS digest FROM b",
+        f"WITH {P_SQL}, h AS (SELECT {_HASH_SQL} AS hash FROM entities) {merkle.fold_sql('h', 'entities')}",
     ),
     "verify_entities": (verify_entities, "SELECT concat('supplier:', s_suppkey) AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'tampered' ELSE 'valid' END AS status FROM supplier"),
     "relation_hash": (relation_hash, None),
@@ -292,8 +291,7 @@ QUERIES = {
     ),
     "domain_digest_rows": (
         nation_digest,
-        "WITH h AS (SELECT sha256(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})::VARCHAR) AS hash FROM nation), b AS (SELECT substr(hash, 1, 2) AS bucket, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM h GROUP BY 1) "
-        "SELECT 'nation' AS name, CAST(sum(n) AS BIGINT) AS n, sha256(concat('nation:', CAST(sum(n) AS BIGINT), ':', string_agg(digest, '' ORDER BY bucket))) AS digest FROM b",
+        "WITH h AS (SELECT sha256(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})::VARCHAR) AS hash FROM nation) " + merkle.fold_sql("h", "nation"),
     ),
     "subgraph_refresh": (relation_revisit, f"WITH {s_sql(300)}, s0 AS MATERIALIZED (SELECT id, CASE WHEN id = 17 THEN sha256('new') ELSE {_HASH_SQL} END AS h FROM entities), {_SUB.format(k=1, j=0)} SELECT id, h AS hash FROM s1"),
     "scale_neighborhood_2hop": (scale_neighborhood_2hop, _bfs(s_sql(SCALE), "SELECT src, dst FROM relations", "SELECT 12, 0", 2) + " SELECT node AS id, depth FROM m"),

@@ -328,3 +328,21 @@ def test_stream_refuses_gaps(spark):
     spark.createDataFrame([(1, "added", 2, "b"), (3, "removed", 1, None)], "generation long, op string, id int, v string").write.parquet(log)
     with pytest.raises(Exception, match="generation 3 after 1"):
         stream.follow(spark, log, spark.read.parquet(log).schema, base)
+
+
+def test_refresh_equals_a_full_pass(spark):
+    rng = random.Random(8)
+    e, r = graph(spark, [(str(i), "function", str(i), str(i)) for i in range(60)], [("calls", str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(50)])
+    e = e.select("id", F.sha2(F.col("id").cast("binary"), 256).alias("hash"))
+    changed = e.withColumn("hash", F.when(F.col("id").isin("3", "4"), "new").otherwise(F.col("hash")))
+    got = merkle.refresh(merkle.subgraph_hashes(e, r, 2), changed, r, e.where("id in ('3', '4')"), 2)
+    assert ids(got, "id", "hash") == ids(merkle.subgraph_hashes(changed, r, 2), "id", "hash")
+    assert merkle.graph_root(got) != merkle.graph_root(merkle.subgraph_hashes(e, r, 2)) and merkle.graph_root(got.limit(0))
+
+
+def test_versioned_roots(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    one = merkle.versioned_root(5, {"t": d, "outgoing": d.limit(0)})
+    assert one == merkle.versioned_root(5, {"t": d.orderBy(F.desc("id")), "outgoing": d}) != merkle.versioned_root(5, {"t": d.union(d)})
+    labels = d.select("id", F.lit(1).alias("component"))
+    assert merkle.component_hashes(d.select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("hash")), d, labels).count() == 1
