@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.shared import materialize
+
 
 def _row(df: DataFrame, columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
@@ -87,7 +89,12 @@ def compact(nodes: DataFrame, relations: DataFrame, owned: dict[str, tuple[DataF
 
     Stats (what, removed): rows, and for adjacency the keys that lose all their entries.
     """
-    kept = live_relations(nodes, relations)
+    # Ends are looked up once; what is kept and all counts come from the marked table.
+    ids = nodes.select("id").distinct()
+    ends = [ids.select(F.col("id").alias(e), F.lit(True).alias(f"__{e}")) for e in ("src", "dst")]
+    marked = relations.join(ends[0], "src", "left").join(ends[1], "dst", "left").withColumn("__live", F.col("__src").isNotNull() & F.col("__dst").isNotNull())
+    marked = materialize(marked.select(*relations.columns, "__live"))
+    relations, kept = marked.drop("__live"), marked.where("__live").drop("__live")
     n = lambda df: df.agg(F.count("*").alias("n"))
 
     def stat(what: str, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.names import python_tokens, tokens
+from skein.functions.shared import materialize
 
 K1, B = 1.2, 0.75
 
@@ -56,7 +57,8 @@ def search_texts(docs: DataFrame, query: str, limit: int | None = None, key: str
         return F.size(F.filter("t", lambda x: x == word)).cast("double")
 
     tfs = [places(w).alias(f"tf{i}") for i, w in enumerate(want)]
-    m = t.select(key, F.size("t").alias("length"), *tfs)
+    # A few numbers a document, kept so that texts are cut into tokens once.
+    m = materialize(t.select(key, F.size("t").alias("length"), *tfs))
     head = m.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(want))]).first()
     if not head["n"] or not want:
         return docs.limit(0).select(key, F.lit(0.0).alias("score"))
