@@ -6,7 +6,9 @@ its occurrence vector (the exclusive or of hash(page, count) over its pages). To
 and page count share their occurrence vector: they form an equivalence class. A class is valid if it has at least
 MIN_CLASS tokens, occurs on at least SUPPORT of the host's pages, and its tokens nest: the container of each text
 run is a tag of a valid class (the containers around it then occur as often, so they are frequent too). Valid classes
-nested by path are the host's template; text runs in it are boilerplate. The
+nested by path are the host's template; text runs in it are boilerplate. Pages of a host with equal html count once, and
+text in an article or main element is never boilerplate. Where nothing of a page would stay, the text runs of its rarest
+class do: they are a story that most pages of the host repeat. The
 container path with most paragraph text outside the template is the slot that holds the main text, for pages without an
 article element. The aggregates are combined before the shuffle and no host's pages are ever gathered in one task.
 
@@ -24,10 +26,10 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join
+from .common import materialize, salted_join, small
 
 MIN_PAGES = 4
 MIN_CLASS = 3
@@ -193,8 +195,9 @@ def page_tokens(html: str) -> dict[tuple[int, int, int], list[int]]:
     for kind, name, path, _, _, _, new in tokens(html):
         if kind == "open" and new != path:
             out.setdefault((TAG, _signed(new), _signed(path)), [0, 0])[0] += 1
-    for text, path, _, linked in blocks(html):
-        out.setdefault((TEXT, _signed(_hash(f"{path} {text}")), _signed(path)), [0, 0])[0] += 1
+    for text, path, good, linked in blocks(html):
+        if not good:
+            out.setdefault((TEXT, _signed(_hash(f"{path} {text}")), _signed(path)), [0, 0])[0] += 1
         if len(text) > 2 * linked:
             c = out.setdefault((SLOT, _signed(path), 0), [0, 0])
             c[0] += 1
@@ -228,29 +231,50 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _marks() -> list[Column]:
+    # The literal comes first: a hash seeds that of the next column, so behind it there would be no new bits.
+    return [F.xxhash64("html").alias("page"), F.xxhash64(F.lit(1), F.col("html")).alias("again")]
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, html): one row for each html of a host. Only html that a host repeats is shuffled. pages: host, html."""
+    marked = pages.select("host", *_marks(), "html")
+    by = ["host", "page", "again"]
+    more = small(materialize(marked.groupBy(by).count().where("count > 1").select(by)))
+    once = marked.join(more, by, "left_anti")
+    return once.unionByName(marked.join(more, by, "left_semi").dropDuplicates(by)).select("host", "page", "html")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, boilerplate, slot): hashes of the text runs in valid classes, and the path of the main slot. pages: host, page_id, html."""
-    counted = pages.select("host", F.xxhash64("page_id", "html").alias("page"), "html").mapInArrow(_count, COUNT_SCHEMA)
+    """(host, boilerplate, slot): hashes of the text runs in valid classes with their number of pages, and the path of the main slot. pages: host, html."""
+    counted = distinct_pages(pages).mapInArrow(_count, COUNT_SCHEMA)
     stats = counted.groupBy("host", "kind", "key", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"), F.sum("chars").alias("chars"))
     stats = materialize(stats.where(f"pages >= {MIN_PAGES} or kind = {SLOT}"))
-    n_pages = pages.groupBy("host").agg(F.count("*").alias("n"))
+    n_pages = pages.select("host", *_marks()).distinct().groupBy("host").agg(F.count("*").alias("n"))
     frequent = stats.where(f"kind in ({TAG}, {TEXT})").join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("n")))
     classes = frequent.groupBy("host", "pages", "v1", "v2").agg(F.count("*").alias("members"), F.sum(F.when(F.col("kind") == TAG, 1).otherwise(0)).alias("tags")).where(f"members >= {MIN_CLASS} and tags > 0")
     valid = frequent.join(classes.drop("members", "tags"), ["host", "pages", "v1", "v2"])
     # Nested: the container that holds a text run is itself a tag of a valid class of the host.
     held = valid.where(f"kind = {TAG}").select("host", F.col("key").alias("path")).distinct()
-    texts = valid.where(f"kind = {TEXT}").join(held, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("key").alias("boilerplate"))
+    texts = valid.where(f"kind = {TEXT}").join(held, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set(F.struct("key", "pages")).alias("boilerplate"))
     slots = stats.where(f"kind = {SLOT}").groupBy("host").agg(F.max_by("key", F.struct("chars", "key")).alias("slot"))
     return n_pages.select("host").join(texts, "host", "left").join(slots, "host", "left")
 
 
-def main_text(html: str, boilerplate: frozenset[int] = frozenset(), slot: int | None = None) -> str:
+def main_text(html: str, boilerplate: dict[int, int] | None = None, slot: int | None = None) -> str:
+    """boilerplate: number of pages by hash of the text run."""
     rows = blocks(html)
-    if not any(b[2] for b in rows) and slot is not None:
-        rows = blocks(html, slot)
     if any(b[2] for b in rows):
-        rows = [b for b in rows if b[2]]
-    return "\n\n".join(b[0] for b in rows if not boilerplate or _signed(_hash(f"{b[1]} {b[0]}")) not in boilerplate)
+        return "\n\n".join(b[0] for b in rows if b[2])
+    if slot is not None:
+        rows = blocks(html, slot)
+        if any(b[2] for b in rows):
+            rows = [b for b in rows if b[2]]
+    if boilerplate:
+        on = [boilerplate.get(_signed(_hash(f"{b[1]} {b[0]}")), 0) for b in rows]
+        least = min(on, default=0)  # 0 unless all of the page is boilerplate
+        rows = [b for b, n in zip(rows, on) if n == least]
+    return "\n\n".join(b[0] for b in rows)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -261,7 +285,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     both = salted_join(src, rules, ["host"], ["page_id", "url"])
 
     def run(batches):
-        known: dict[str, frozenset] = {}
+        known: dict[str, dict[int, int]] = {}
         for batch in batches:
             host, page, link, slot = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
             text = []
@@ -270,7 +294,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 if h not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[h] = frozenset(batch.column(4)[i].as_py() or ())
+                    known[h] = {x["key"]: x["pages"] for x in batch.column(4)[i].as_py() or ()}
                 text.append(main_text(batch.column(3)[i].as_py() or "", known[h], slot[i]))
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(link, pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(host, pa.string())], names=["page_id", "url", "text", "n_chars", "host"])
 

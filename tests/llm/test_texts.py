@@ -199,6 +199,26 @@ def test_templates_are_deduced(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}.example/{i}", page) for i, (host, page) in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_repeated_articles_stay(spark):
+    page = lambda body, i: f"<body><div class=wrap><p>Welcome to our site<p>Read more here</div>{body}<div class=x><p>{i}</p></div></body>"
+    story = "<article class=story><h1>Title</h1><div class=part><p>one</div><p>two</article>"
+    copies = [("copy", page(story, 0))] * 6  # equal pages
+    variants = [("variant", page(story, i)) for i in range(6)]  # the same article on pages that differ elsewhere
+    shared = [("shared", page(f"<main><p>Summary</p><p>story {i}</p></main>", i)) for i in range(6)]
+    lone = [("lone", "<body><div class=a><div class=b><p>one<p>two</div></div></body>")] * 4
+    bare = [("bare", f"<body><div class=wrap><p>Welcome</div><div class=a><p>a story {i * (i > 6)} of its own</p></div><!-- {i} --></body>") for i in range(10)]
+    got = extracted(spark, copies + variants + shared + lone + bare)
+    assert got[:12] == ["Title\n\none\n\ntwo"] * 12
+    assert got[12:18] == [f"Summary\n\nstory {i}" for i in range(6)]
+    assert got[18:22] == ["one\n\ntwo"] * 4
+    assert got[22:] == [f"a story {i * (i > 6)} of its own" for i in range(10)]
+
+
 def test_pages_query(spark, sf):
     import html as std
 
