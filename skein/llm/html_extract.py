@@ -8,12 +8,11 @@ MIN_CLASS tokens, occurs on at least SUPPORT of the host's pages, and its tokens
 run is a tag of a valid class (the containers around it then occur as often, so they are frequent too). Valid classes
 nested by path are the host's template; text runs in it are boilerplate. Pages of a host with equal html count once, and
 text in an article or main element is never boilerplate. Where nothing of a page would stay, the text runs of its rarest
-class do: they are a story that most pages of the host repeat. The
-container path with most paragraph text outside the template is the slot that holds the main text, for pages without an
-article element. The aggregates are combined before the shuffle and no host's pages are ever gathered in one task.
+class do: they are a story that most pages of the host repeat. All that is left of a page is its slots. The aggregates
+are combined before the shuffle and no host's pages are ever gathered in one task.
 
-Extraction. Slots inside the page's article (or main element, or the deduced slot, or else the body) give blocks, without
-the template's text and without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+Extraction. The page's article (or main element) gives blocks as it is; a page without one gives those of all its slots,
+without the template's text. Both go without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments, which are told by element, role or class names. Character references are decoded, white space inside a
 block becomes one space, blocks are joined in page order by two newlines. Null html is empty; pages without any text give
 an empty string. Rows with null urls share one unnamed host. Repeated rows repeat their result.
@@ -92,10 +91,10 @@ def unwanted(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
     return False, classes
 
 
-def tokens(html: str, slot: int | None = None):
+def tokens(html: str):
     """Events of a page: (kind, name, path hash, unwanted depth, article depth, link depth, text or new path).
 
-    kind: open, void, close, text. A container on the path `slot` counts as an article.
+    kind: open, void, close, text.
     """
     stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path hash, unwanted, article, link
     bad = good = link = 0
@@ -152,7 +151,6 @@ def tokens(html: str, slot: int | None = None):
         below = path
         if name in _BLOCK and name not in _LEAF:
             path = _hash(f"{path} {name} {classes.strip().lower()}")
-            article = article or _signed(path) == slot
         stack.append((name, path, u, article, name == "a"))
         bad += u
         good += article
@@ -164,44 +162,41 @@ def _squeeze(parts: list[str]) -> str:
     return " ".join(unescape("".join(parts)).split())
 
 
-def blocks(html: str, slot: int | None = None) -> list[tuple[str, int, int, int]]:
-    """(text, path hash, article depth, characters in links) of every block with wanted text."""
-    out, parts, linked = [], [], 0
+def blocks(html: str) -> list[tuple[str, int, int]]:
+    """(text, path hash, article depth) of every block with wanted text."""
+    out, parts = [], []
     path_of = good_of = 0
-    for kind, name, path, bad, good, link, text in tokens(html, slot):
+    for kind, name, path, bad, good, _, text in tokens(html):
         if kind == "text":
             if not bad:
                 path_of, good_of = path, good
                 parts.append(text)
-                linked += len(text) if link else 0
         elif name in _BLOCK:
             if parts:
                 if t := _squeeze(parts):
-                    out.append((t, path_of, good_of, linked))
-                parts, linked = [], 0
+                    out.append((t, path_of, good_of))
+                parts = []
         elif kind == "void":
             parts.append(" ")
     if parts and (t := _squeeze(parts)):
-        out.append((t, path_of, good_of, linked))
+        out.append((t, path_of, good_of))
     return out
 
 
-TAG, TEXT, SLOT = 0, 1, 2
+TAG, TEXT = 0, 1
 
 
-def page_tokens(html: str) -> dict[tuple[int, int, int], list[int]]:
-    """(kind, key, enclosing path) -> [count, characters] of the template candidates of a page."""
-    out: dict[tuple[int, int, int], list[int]] = {}
+def page_tokens(html: str) -> dict[tuple[int, int, int], int]:
+    """(kind, key, enclosing path) -> count of the template candidates of a page."""
+    out: dict[tuple[int, int, int], int] = {}
     for kind, name, path, _, _, _, new in tokens(html):
         if kind == "open" and new != path:
-            out.setdefault((TAG, _signed(new), _signed(path)), [0, 0])[0] += 1
-    for text, path, good, linked in blocks(html):
+            key = TAG, _signed(new), _signed(path)
+            out[key] = out.get(key, 0) + 1
+    for text, path, good in blocks(html):
         if not good:
-            out.setdefault((TEXT, _signed(_hash(f"{path} {text}")), _signed(path)), [0, 0])[0] += 1
-        if len(text) > 2 * linked:
-            c = out.setdefault((SLOT, _signed(path), 0), [0, 0])
-            c[0] += 1
-            c[1] += len(text) - linked
+            key = TEXT, _signed(_hash(f"{path} {text}")), _signed(path)
+            out[key] = out.get(key, 0) + 1
     return out
 
 
@@ -209,22 +204,21 @@ def _count(batches):
     for batch in batches:
         acc: dict[tuple, list[int]] = {}
         for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            for key, (n, chars) in page_tokens(html.as_py() or "").items():
-                a = acc.setdefault((host, *key), [0, 0, 0, 0])
+            for key, n in page_tokens(html.as_py() or "").items():
+                a = acc.setdefault((host, *key), [0, 0, 0])
                 a[0] += 1
                 a[1] ^= _hash(f"{page} {n}")
                 a[2] ^= _hash(f"{n} {page} again")
-                a[3] += chars
         keys, vals = list(acc), list(acc.values())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string())]
             + [pa.array([k[i] for k in keys], pa.int32() if i == 1 else pa.int64()) for i in (1, 2, 3)]
-            + [pa.array([v[0] for v in vals], pa.int64()), pa.array([_signed(v[1]) for v in vals], pa.int64()), pa.array([_signed(v[2]) for v in vals], pa.int64()), pa.array([v[3] for v in vals], pa.int64())],
-            names=["host", "kind", "key", "path", "pages", "v1", "v2", "chars"],
+            + [pa.array([v[0] for v in vals], pa.int64()), pa.array([_signed(v[1]) for v in vals], pa.int64()), pa.array([_signed(v[2]) for v in vals], pa.int64())],
+            names=["host", "kind", "key", "path", "pages", "v1", "v2"],
         )
 
 
-COUNT_SCHEMA = "host string, kind int, key long, path long, pages long, v1 long, v2 long, chars long"
+COUNT_SCHEMA = "host string, kind int, key long, path long, pages long, v1 long, v2 long"
 
 
 def host_of(url: str = "url"):
@@ -246,30 +240,25 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, boilerplate, slot): hashes of the text runs in valid classes with their number of pages, and the path of the main slot. pages: host, html."""
+    """(host, boilerplate): hashes of the text runs in valid classes with their number of pages. pages: host, html."""
     counted = distinct_pages(pages).mapInArrow(_count, COUNT_SCHEMA)
-    stats = counted.groupBy("host", "kind", "key", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"), F.sum("chars").alias("chars"))
-    stats = materialize(stats.where(f"pages >= {MIN_PAGES} or kind = {SLOT}"))
+    stats = counted.groupBy("host", "kind", "key", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"))
+    stats = materialize(stats.where(f"pages >= {MIN_PAGES}"))
     n_pages = pages.select("host", *_marks()).distinct().groupBy("host").agg(F.count("*").alias("n"))
-    frequent = stats.where(f"kind in ({TAG}, {TEXT})").join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("n")))
+    frequent = stats.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("n")))
     classes = frequent.groupBy("host", "pages", "v1", "v2").agg(F.count("*").alias("members"), F.sum(F.when(F.col("kind") == TAG, 1).otherwise(0)).alias("tags")).where(f"members >= {MIN_CLASS} and tags > 0")
     valid = frequent.join(classes.drop("members", "tags"), ["host", "pages", "v1", "v2"])
     # Nested: the container that holds a text run is itself a tag of a valid class of the host.
     held = valid.where(f"kind = {TAG}").select("host", F.col("key").alias("path")).distinct()
     texts = valid.where(f"kind = {TEXT}").join(held, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set(F.struct("key", "pages")).alias("boilerplate"))
-    slots = stats.where(f"kind = {SLOT}").groupBy("host").agg(F.max_by("key", F.struct("chars", "key")).alias("slot"))
-    return n_pages.select("host").join(texts, "host", "left").join(slots, "host", "left")
+    return n_pages.select("host").join(texts, "host", "left")
 
 
-def main_text(html: str, boilerplate: dict[int, int] | None = None, slot: int | None = None) -> str:
+def main_text(html: str, boilerplate: dict[int, int] | None = None) -> str:
     """boilerplate: number of pages by hash of the text run."""
     rows = blocks(html)
     if any(b[2] for b in rows):
         return "\n\n".join(b[0] for b in rows if b[2])
-    if slot is not None:
-        rows = blocks(html, slot)
-        if any(b[2] for b in rows):
-            rows = [b for b in rows if b[2]]
     if boilerplate:
         on = [boilerplate.get(_signed(_hash(f"{b[1]} {b[0]}")), 0) for b in rows]
         least = min(on, default=0)  # 0 unless all of the page is boilerplate
@@ -287,7 +276,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run(batches):
         known: dict[str, dict[int, int]] = {}
         for batch in batches:
-            host, page, link, slot = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            host, page, link = (batch.column(i).to_pylist() for i in (0, 1, 2))
             text = []
             for i in range(batch.num_rows):
                 h = host[i]
@@ -295,10 +284,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     if len(known) > 10_000:
                         known.clear()
                     known[h] = {x["key"]: x["pages"] for x in batch.column(4)[i].as_py() or ()}
-                text.append(main_text(batch.column(3)[i].as_py() or "", known[h], slot[i]))
+                text.append(main_text(batch.column(3)[i].as_py() or "", known[h]))
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(link, pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(host, pa.string())], names=["page_id", "url", "text", "n_chars", "host"])
 
-    return both.select("host", "page_id", "url", "html", "boilerplate", "slot").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
+    return both.select("host", "page_id", "url", "html", "boilerplate").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,12 @@ def test_repeated_articles_stay(spark):
     assert got[22:] == [f"a story {i * (i > 6)} of its own" for i in range(10)]
 
 
+def test_all_slots_stay(spark):
+    terms = "<div class=legal><p>" + "the same terms again and again " * 20 + "</p><p>and more</p></div>"
+    page = lambda i: f"<body>{terms}<div class=post><h1>Title {i}</h1><p class=lead>lead {i}</p><div class=entry><p>story {i}</p></div></div><div class=more><p><a href=x>part {i}</a></div></body>"
+    assert extracted(spark, [("long", page(i)) for i in range(6)]) == [f"Title {i}\n\nlead {i}\n\nstory {i}\n\npart {i}" for i in range(6)]
+
+
 def test_pages_query(spark, sf):
     import html as std
 
