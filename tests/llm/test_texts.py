@@ -114,6 +114,28 @@ def test_plain_words_are_no_disguise():
         assert pii.all_spans(t) == []
 
 
+@pytest.mark.parametrize("text", ["john at example.com", "john<@>example.com", "john@example<.>com", "john\u00a0AT\u00a0example.com", "(one 2 3 4 5 6 7 8 9 1 2 3 4 5 6 seven) plus"])
+def test_pii_gate_sees(text):
+    assert pii.disguised(text)
+
+
+def test_pii_gate_misses_nothing():
+    """Whatever a transducer changes passes the gate, so gated and ungated spans agree."""
+    rng = random.Random(5)
+    parts = "john example com 4111 192 168 1 0 @ . + at AT dot Dot arroba punkt po\u0131nt po\u0130nt point ( ) [ ] { } < > <@> <.> (at) [dot] one Two \u017fix s\u0131x \u017feven plus fünf FÜNF, - _ \t \n \u00a0 \u00ad \u200b а ａ １ ․ é".split(" ") + [" ", " ", " "]
+    changed = 0
+    for _ in range(20_000):
+        t = rng.choice(("", " ")).join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        x = pii.tape(t)
+        for step in pii.TRANSDUCERS:
+            x = step(x)
+        changed += x[0] != t
+        assert x[0] == t or pii.disguised(t), t
+        assert pii.all_spans(t) == pii.added_spans(t, pii.base_spans(t)), t
+    assert changed > 1000
+    assert pii.mask("write to john at example.com or john<@>example.com") == "write to [email] or [email]"
+
+
 def test_pii_frames(spark, docs, none):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "a@b.co a@b.co 1.2.3.4"), (3, "a@b.co a@b.co 1.2.3.4")], "doc_id long, text string")
     got = sorted(map(tuple, pii.find_pii(d).collect()))
