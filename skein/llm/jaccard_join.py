@@ -157,6 +157,7 @@ def choose_boundary(docs: DataFrame, text: str, t: int, width: int) -> int:
 
 
 def _emit(t: int, width: int, boundary: int):
+    """Columns behind the text are passed on."""
     first = bands(boundary)
 
     def run(batches):
@@ -177,9 +178,10 @@ def _emit(t: int, width: int, boundary: int):
                         seen.clear()
                     seen.add((a, b))
                     keys.append(keys_of(u, t, boundary, first).view(np.int64))
+                more = [batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "s1", "s2", "keys"],
+                    [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *more],
+                    names=["doc_id", "n", "s1", "s2", "keys", *batch.schema.names[2:]],
                 )
 
     return run
@@ -274,16 +276,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 90, width: int = 5, boundary: int | None = None) -> DataFrame:
-    """Per document: n_shingles, n_similar (other documents whose sets reach the threshold, in percent) and component_id (least id reachable by links).
+def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, s1, s2, further columns of src) and the classes that have a link or copies: (s1, s2, n_similar, component, root).
 
-    A null id stays null and can't be the least of its component unless all are null.
+    component is the least id and root the least class of the linked ones. src: doc_id, text and any columns to pass on.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if boundary is None:
         boundary = choose_boundary(src, "text", threshold, width)
-    listed = materialize(src.mapInArrow(_emit(threshold, width, boundary), "doc_id long, n long, s1 long, s2 long, keys array<long>"))
-    rows = listed.select("doc_id", "n", "s1", "s2")
+    more = src.drop("doc_id", "text").schema
+    listed = materialize(src.mapInArrow(_emit(threshold, width, boundary), ", ".join(["doc_id long, n long, s1 long, s2 long, keys array<long>", *(f"{c.name} {c.dataType.simpleString()}" for c in more)])))
+    rows = listed.drop("keys")
     classes = materialize(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     entries = listed.where("keys is not null").select(F.explode("keys").alias("k"), "s1", "s2", "n")
     within = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
@@ -302,28 +304,49 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     tree = components(links)
     named = classes.select(_sid().alias("node"), "rep", "copies").join(tree, "node")
     best = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = named.join(best, "root").join(near.withColumnRenamed("a", "node"), "node").select("node.s1", "node.s2", "least", "near")
+    linked = named.join(best, "root").join(near.withColumnRenamed("a", "node"), "node").select("node.s1", "node.s2", "least", "near", "root")
     known = classes.join(linked, ["s1", "s2"], "left").where("copies > 1 or least is not null")
-    known = known.select("s1", "s2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("least", "rep").alias("component"))
+    known = known.select("s1", "s2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("least", "rep").alias("component"), F.coalesce("root", _sid()).alias("root"))
+    return rows, known
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 90, width: int = 5, boundary: int | None = None) -> DataFrame:
+    """Per document: n_shingles, n_similar (other documents whose sets reach the threshold, in percent) and component_id (least id reachable by links).
+
+    A null id stays null and can't be the least of its component unless all are null.
+    """
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, known = _classes(src, threshold, width, boundary)
     # A class of copies may hold a third of all rows.
-    return salted_join(rows, materialize(known), ["s1", "s2"], ["doc_id"]).select(
+    return salted_join(rows, materialize(known.drop("root")), ["s1", "s2"], ["doc_id"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, threshold: int = 90) -> DataFrame:
-    """Of each component of linked documents the row with the least id; its columns as they are.
+    """Of each component of linked documents one row, with the least id that isn't null if there is any; its columns as they are.
 
-    Rows with a null id stay unless they link with a row that has one. Of repeated rows with that id one stays.
+    Decided by row, told by id and text, so rows that share an id or have none don't share their fate. Rows without a set
+    have no links and stay.
     """
-    found = materialize(jaccard_join(docs, threshold=threshold))
-    gone = found.where("doc_id is null and component_id is not null or doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = small(materialize(gone), BROADCAST_ROWS)
-    twice = small(materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))), BROADCAST_ROWS)
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti")
-    again = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    # The literal comes first: a hash seeds that of the next column, so behind it there would be no new bits.
+    marks = lambda d: d.select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__t1"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("__t2"))
+    src = marks(docs).select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
+    rows, known = _classes(src, threshold, 5, None)
+    known = materialize(known.select("s1", "s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2")))
+    # A class of copies may hold a third of all rows; rows of one id and text are counted first.
+    linked = materialize(salted_join(rows, known, ["s1", "s2"], ["doc_id", "t1"]).where("r1 is not null").groupBy("r1", "r2", "doc_id", "t1", "t2").agg(F.count("*").alias("copies")))
+    first = linked.groupBy("r1", "r2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    decided = materialize(salted_join(linked, first, ["r1", "r2"], ["doc_id", "t1"]).select("doc_id", "t1", "t2", "copies", stays.alias("stays")))
+    gone = small(decided.where("not stays").select("doc_id", "t1", "t2"), BROADCAST_ROWS)
+    twice = small(decided.where("stays and copies > 1").select("doc_id", "t1", "t2"), BROADCAST_ROWS)
+    at = lambda d, x: d["__id"].eqNullSafe(x["doc_id"]) & (d["__t1"] == x["t1"]) & (d["__t2"] == x["t2"])
+    marked = marks(docs)
+    kept = marked.join(gone, at(marked, gone), "left_anti")
+    once = kept.join(twice, at(kept, twice), "left_anti")
+    again = kept.join(twice, at(kept, twice), "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
+    return once.unionByName(again).drop("__id", "__t1", "__t2")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_keep_one(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _, _, c in brute(rows, 90) if i == c})
 
 
+def test_keep_one_decides_by_row(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "z"), (None, None), (5, "A A A"), (5, "B B B"), (1, "B B B"), (7, "p q r"), (7, "s t u"), (None, "copy"), (None, "copy"), (8, "x y"), (8, "x y"), (9, ""), (9, "")]
+    kept = j.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(4, "a b c d e f"), (None, "z"), (None, None), (5, "A A A"), (1, "B B B"), (7, "p q r"), (7, "s t u"), (None, "copy"), (8, "x y"), (9, ""), (9, "")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("boundary", j.BOUNDARIES)
 def test_linked_sets_always_share_a_key(boundary):
     """Random pairs at the very edge of the threshold."""
