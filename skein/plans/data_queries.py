@@ -397,7 +397,7 @@ def traffic_report(spark, sf):
 def catalog_round_trip(spark, sf):
     """Save, two deltas, replay, fold, read again."""
     old, new = _old_new(spark, sf)
-    c = catalog.GraphCatalog(spark, shared_path(spark) + "-catalog")
+    c = catalog.GraphCatalog(spark, shared_path(spark) + "/catalog")
     c.save({"orders": old})
     half = new.where("id % 2 = 0").unionByName(old.where("id % 2 != 0"))
     c.save_delta(c.compute_delta({"orders": half}), 1)
@@ -409,7 +409,7 @@ def catalog_round_trip(spark, sf):
 def stream_apply_deltas(spark, sf):
     """A log of four generations followed as a stream onto an older state."""
     old, new = _old_new(spark, sf)
-    log = shared_path(spark) + "-log"
+    log = shared_path(spark) + "/log"
     d = delta.diff_map(old, new)
     for g in range(4):
         d.where(F.pmod("id", F.lit(4)) == g).select(F.lit(g + 1).cast("long").alias("generation"), "op", "id", "status", "price", "priority").coalesce(1).write.mode("append").parquet(log)

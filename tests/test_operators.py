@@ -323,7 +323,7 @@ def test_catalog_finds_damage(spark, tmp_path):
 
 
 def test_stream_refuses_gaps(spark):
-    log = shared_path(spark) + "-log"
+    log = shared_path(spark) + "/log"
     base = spark.createDataFrame([(1, "a")], "id int, v string")
     spark.createDataFrame([(1, "added", 2, "b"), (3, "removed", 1, None)], "generation long, op string, id int, v string").write.parquet(log)
     with pytest.raises(Exception, match="generation 3 after 1"):
@@ -346,3 +346,33 @@ def test_versioned_roots(spark):
     assert one == merkle.versioned_root(5, {"t": d.orderBy(F.desc("id")), "outgoing": d}) != merkle.versioned_root(5, {"t": d.union(d)})
     labels = d.select("id", F.lit(1).alias("component"))
     assert merkle.component_hashes(d.select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("hash")), d, labels).count() == 1
+
+
+def test_shared_folder_and_small(spark, monkeypatch):
+    from skein.functions import shared
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = spark.sparkContext.getConf
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_path(Cluster)
+    d = spark.createDataFrame([("x" * 100, [(1, "abc")], {"k": "v"})] * 3, "s string, a array<struct<n:int,t:string>>, m map<string,string>")
+    assert shared.is_small(d) and not shared.is_small(d, rows=2) and not shared.is_small(d, most=300)
+
+
+def test_spread_join(spark, monkeypatch):
+    from skein.functions import shared
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, None]), i) for i in range(300)], "k int, v int")
+    look = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        want = ids(rows.join(look, "k", how), "k", "v", "w") if how == "inner" else sorted(map(str, rows.join(look, "k", how).collect()))
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+        got = shared.spread_join(rows, look, ["k"], ["v"], how, hot=20)
+        assert (ids(got, "k", "v", "w") if how == "inner" else sorted(map(str, got.select("k", "v", "w").collect()))) == want
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 400_000)
