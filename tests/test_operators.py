@@ -348,15 +348,15 @@ def test_versioned_roots(spark):
     assert merkle.component_hashes(d.select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("hash")), d, labels).count() == 1
 
 
-def test_shared_folder_and_small(spark, monkeypatch):
+def test_shared_folder_and_small(spark):
     from skein.functions import shared
 
     class Cluster:
-        conf = spark.conf
+        conf = {}
 
         class sparkContext:  # noqa: N801
             master = "spark://host:7077"
-            getConf = spark.sparkContext.getConf
+            getConf = dict
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared.shared_path(Cluster)
