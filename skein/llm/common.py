@@ -1,21 +1,19 @@
-"""Shared helpers: zero-copy text access, numpy hashing, shared-folder tables, size-checked joins."""
+"""Shared helpers: zero-copy text access and numpy hashing."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.shared import is_small, materialize, small, spread_join  # noqa: F401, what the operators take from here
+
 #: Texts are handled in slices of about so many bytes, so numpy's temporaries stay small. A longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
-#: A side of a join is broadcast only if it was counted and has at most so many rows.
-BROADCAST_ROWS = 400_000
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,8 +49,8 @@ def offsets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def text_slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) over whole texts; null texts are empty."""
+def text_slices(column: pa.Array, budget: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) over whole texts, at most `rows` at a time; null texts are empty."""
     if pa.types.is_null(column.type):
         column = column.cast(pa.string())
     if column.null_count:
@@ -61,7 +59,7 @@ def text_slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[i
     lo, n = 0, len(column)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + budget, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
@@ -108,57 +106,14 @@ def text_bounds(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares; without spark.checkpoint.dir (tests), below /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:/tmp/skein-shared"
-    return f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark)
-    df.write.parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session is over; the folder is the cluster's to clean
-            pass
-
-    atexit.register(remove)
-
-
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most bound rows, else as it is. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
-def null_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-
-
 def crc_of_id(doc_id: str = "doc_id"):
-    """crc32 of the id as text, as the held-out rules use it."""
+    """crc32 of the id as text, as the held-out rules use it; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], salts: int = 32) -> DataFrame:
-    """Left join of rows with one lookup row per key, where a key may hold a third of all rows.
-
-    A lookup counted to be small is broadcast; else its rows are repeated, so the rows of any key meet them in `salts` tasks.
-    """
-    hinted = small(lookup)
-    if hinted is not lookup:
-        return rows.join(hinted, keys, "left")
-    many = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cut = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return cut.join(many, [*keys, "__salt"], "left").drop("__salt")
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a variant of it that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -2,8 +2,8 @@
 
 Deduction. A page is read as a sequence of tokens: tags with the path of their open containers, and text runs with the
 path they stand on. For every host and token one aggregate keeps the number of pages with the token and a fingerprint of
-its occurrence vector (the exclusive or of hash(page, count) over its pages). Tokens of a host with the same fingerprint
-and page count share their occurrence vector: they form an equivalence class. A class is valid if it has at least
+its occurrence vector (sums of hashes of (page, count) over its pages). Tokens of a host with the same fingerprint and
+page count share their occurrence vector: they form an equivalence class. A class is valid if it has at least
 MIN_CLASS tokens, occurs on at least SUPPORT of the host's pages, and its tokens nest: the container of each text
 run is a tag of a valid class (the containers around it then occur as often, so they are frequent too). Valid classes
 nested by path are the host's template; text runs in it are boilerplate. Pages of a host with equal html count once, and
@@ -12,10 +12,14 @@ class do: they are a story that most pages of the host repeat. All that is left
 are combined before the shuffle and no host's pages are ever gathered in one task.
 
 Extraction. The page's article (or main element) gives blocks as it is; a page without one gives those of all its slots,
-without the template's text. Both go without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, which are told by element, role or class names. Character references are decoded, white space inside a
-block becomes one space, blocks are joined in page order by two newlines. Null html is empty; pages without any text give
-an empty string. Rows with null urls share one unnamed host. Repeated rows repeat their result.
+without the template's text. Both go without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, which are told by element, role or class. Inside an article a class counts only if one of its names is
+as a whole that of such a part (`related-posts`, never `related-work`), and outside it headings are never told by class.
+Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by two
+newlines. Pages are cut in time linear in their length, whatever is left unclosed: a tag with an unclosed quote ends at its
+first `>`, and one that the page breaks off in isn't text. Null html is empty; pages without any text give an empty
+string. Rows with null urls share one unnamed host. Repeated rows repeat their result and change no other page's. Columns
+other than the id, the url and the html aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join, small
+from .common import materialize, small, spread_join
 
 MIN_PAGES = 4
 MIN_CLASS = 3
@@ -46,179 +50,230 @@ _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "o
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _SCOPE = frozenset("ul ol table article section div body html aside nav main td th blockquote form footer header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|comments?|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|skip|search|form|disclaimer|alert|header)(?:[\s_-]|$)", re.I
+#: Names of parts that are no main text, wherever they stand in a class name of an element outside articles.
+_ANYWHERE = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|sidebar|navbar|breadcrumbs?|footer|masthead|comments?|disqus|cookies?|gdpr|popup|modal|newsletter|signup|toolbar|pagination|pager|skip)(?:[_-]|$)", re.I)
+_PART = r"banner|menu|nav|navigation|repl(?:y|ies)|respond|consent|notice|overlay|subscribe|subscription|login|share|sharing|social|related|recommend(?:ed|ations?)|widget|search|form|disclaimer|alert|header"
+#: These only as whole names, with words that say where or as what the part stands.
+_OUTSIDE = re.compile(rf"(?:(?:site|page|main|top|global|primary|secondary|bottom|left|right|user)[_-])*(?:{_PART})(?:[_-](?:bar|box|form|links?|buttons?|list|container|wrapper|panel|block|area|inner|posts?|articles?|stories|items?|media))*", re.I)
+#: Whole names of such parts of an article, and of article elements that aren't the page's.
+_INSIDE = re.compile(
+    r"ads?|advert\w*|adsense|ad[_-]?(?:box|slot|unit|banner|container|wrapper)|sponsor(?:ed)?|promo(?:tion)?s?|(?:share|sharing|social)(?:[_-](?:share|bar|box|links?|buttons?|tools|media|icons))*|related(?:[_-](?:posts?|articles?|links?|stories|content|items?))?|recommend(?:ed|ations?)(?:[_-](?:posts?|articles?|links?|stories))?|"
+    r"newsletter(?:[_-]?(?:signup|form|box))?|subscribe|signup|(?:reader[_-])?comments?(?:[_-]?(?:list|section|form|thread|area|body))?|repl(?:y|ies)|respond|disqus(?:[_-]thread)?|cookies?(?:[_-]?(?:notice|banner|bar|consent))?|consent|notice|popup|modal|overlay|sidebar|widget|breadcrumbs?|pagination|pager|toolbar|menu|nav|navbar|navigation|login|teasers?", re.I
 )
-_NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related|recommend\w*|promo\w*|sponsor\w*|ads?|advert\w*|teasers?)(?:[\s_-]|$)", re.I)
-_OWN_HEADER = re.compile(r"(?:article|entry|post|content|story)[_-]?header", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: What follows a tag's name, up to its end. Only behind an equals sign do quotes enclose.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+>")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _hash(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x)
+def _text_key(path: int, text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{path} {text}"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def unwanted(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element and all in it is no main text, and its class names. inside: within an article or main element."""
+def unwanted(name: str, attrs: str, inside: bool) -> tuple[bool, str, bool]:
+    """Whether an element and all in it is no main text, its class names, and whether its role makes it an article. inside: within an article or main element."""
     if name in _DROP:
-        return True, ""
+        return True, "", False
+    article = name in ("article", "main")
     if name == "header":
-        return not inside, ""
+        return not inside, "", False
     if not attrs or name in ("html", "body"):
-        return False, ""
-    classes = ""
+        return False, "", article
+    classes: list[str] = []
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role":
             if value.lower() in _ROLES:
-                return True, value
+                return True, value, False
+            article |= value.lower() in ("main", "article")
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True, ""
+            return True, "", False
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, ""
+                return True, "", False
         elif key in ("class", "id"):
-            classes += " " + value
-    if classes and name in ("article", "main"):
-        return bool(_NO_ARTICLE.search(classes)), classes
-    if classes and name not in ("h1", "b", "i", "em", "strong") and _NAMES.search(_OWN_HEADER.sub("", classes)):
-        return True, classes
-    return False, classes
+            classes += value.split()
+    known = " ".join(classes).lower()
+    if name in _HEADINGS or name in ("b", "i", "em", "strong"):
+        return False, known, article
+    if inside or article:
+        return any(_INSIDE.fullmatch(c) for c in classes), known, article
+    return any(_ANYWHERE.search(c) or _OUTSIDE.fullmatch(c) for c in classes), known, article
 
 
-def tokens(html: str):
-    """Events of a page: (kind, name, path hash, unwanted depth, article depth, link depth, text or new path).
+Block = tuple[str, int, bool]
 
-    kind: open, void, close, text.
+
+def parse(html: str, memo: dict) -> tuple[list[Block], list[tuple[int, int]]]:
+    """(text, path, whether in an article) of every block with wanted text, and (path, path around it) of every container.
+
+    memo keeps what tags mean from page to page.
     """
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path hash, unwanted, article, link
-    bad = good = link = 0
-    path, at, n = 0, 0, len(html)
-    find = _TAG.search
-    while at < n:
-        m = find(html, at)
+    if len(memo) > 100_000:
+        memo.clear()
+    blocks: list[Block] = []
+    opens: list[tuple[int, int]] = []
+    parts: list[str] = []
+    stack: list[tuple[str, int, bool, bool]] = []  # name, path, unwanted, article
+    where: dict[str, list[int]] = {}  # positions in the stack by name
+    scopes: list[int] = []
+    bad = good = path = path_of = good_of = 0
+    at = start = 0
+    n, last = len(html), html.rfind(">")
+
+    def cut(to: int) -> None:
+        """Close all elements from a position in the stack on."""
+        nonlocal bad, good, path
+        while len(stack) > to:
+            name, _, u, a = stack.pop()
+            bad -= u
+            good -= a
+            where[name].pop()
+            if name in _SCOPE:
+                scopes.pop()
+        path = stack[-1][1] if stack else 0
+
+    def flush() -> None:
+        nonlocal parts
+        if parts:
+            if t := " ".join(unescape("".join(parts)).split()):
+                blocks.append((t, path_of, good_of > 0))
+            parts = []
+
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            break
+        m = _NAME.match(html, lt + 1)
         if m is None:
-            yield "text", "", path, bad, good, link, html[at:]
-            return
-        if m.start() > at:
-            yield "text", "", path, bad, good, link, html[at : m.start()]
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+            if html.startswith("!--", lt + 1):
+                end = html.find("-->", lt + 2)
+                after = n if end < 0 else end + 3
+            elif html.startswith("![CDATA[", lt + 1):
+                end = html.find("]]>", lt)
+                after = n if end < 0 else end + 3
+            elif lt + 1 < n and html[lt + 1] in "!?":
+                end = html.find(">", lt)
+                after = n if end < 0 else end + 1
+            else:
+                at = lt + 1
+                continue
+            if not bad and lt > start:
+                path_of, good_of = path, good
+                parts.append(html[start:lt])
+            at = start = after
             continue
-        name = name.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, _, u, a, k in stack[i:]:
-                        bad -= u
-                        good -= a
-                        link -= k
-                    del stack[i:]
-                    path = stack[-1][1] if stack else 0
-                    break
-            yield "close", name, path, bad, good, link, ""
+        if lt > start and not bad:
+            path_of, good_of = path, good
+            parts.append(html[start:lt])
+        if m.end() > last:
+            start = n
+            break
+        rest = _REST.match(html, m.end())
+        end = rest.end() - 1 if rest else html.find(">", m.end())
+        name, attrs = m[0].lower(), html[m.end() : end]
+        at = start = end + 1
+        if name[0] == "/":
+            name = name[1:]
+            if where.get(name):
+                cut(where[name][-1])
+            if name in _BLOCK:
+                flush()
             continue
-        attrs = m[3] or m[6] or ""
-        close = _SAME.get(name) or (("p",) if name in _CLOSES_P else ())
-        if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in close:
-                    for _, _, u, a, k in stack[i:]:
-                        bad -= u
-                        good -= a
-                        link -= k
-                    del stack[i:]
-                    path = stack[-1][1] if stack else 0
-                    if name != "tr":
-                        break
-                elif stack[i][0] in _SCOPE and stack[i][0] not in close:
-                    break
-        u, classes = unwanted(name, attrs, good > 0)
+        closes = _SAME.get(name) or (("p",) if name in _CLOSES_P else ())
+        while closes:
+            top = max((where[c][-1] for c in closes if where.get(c)), default=-1)
+            above = next((s for s in reversed(scopes) if s <= top or stack[s][0] not in closes), -1)
+            if top < 0 or above > top:
+                break
+            cut(top)
+            if name != "tr":
+                break
+        tag = name, attrs, good > 0
+        known = memo.get(tag)
+        if known is None:
+            known = unwanted(*tag)
+            if len(attrs) < 500:
+                memo[tag] = known
+        u, classes, article = known
         if name in _RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            at = start = end.end() if end else n
             continue
+        if name in _BLOCK:
+            flush()
         if name in _VOID or attrs.endswith("/"):
-            yield "void", name, path, bad, good, link, ""
+            if name not in _BLOCK and not bad:
+                parts.append(" ")
             continue
-        article = name in ("article", "main") or "role" in attrs and bool(re.search(r"role\s*=\s*[\"']?(?:main|article)", attrs, re.I))
         below = path
         if name in _BLOCK and name not in _LEAF:
-            path = _hash(f"{path} {name} {classes.strip().lower()}")
-        stack.append((name, path, u, article, name == "a"))
+            path = memo.get((below, name, classes))
+            if path is None:
+                path = memo[below, name, classes] = _signed(xxhash.xxh3_64_intdigest(f"{below} {name} {classes}"))
+            opens.append((path, below))
+        where.setdefault(name, []).append(len(stack))
+        if name in _SCOPE:
+            scopes.append(len(stack))
+        stack.append((name, path, u, article))
         bad += u
         good += article
-        link += name == "a"
-        yield "open", name, below, bad, good, link, path
-
-
-def _squeeze(parts: list[str]) -> str:
-    return " ".join(unescape("".join(parts)).split())
-
-
-def blocks(html: str) -> list[tuple[str, int, int]]:
-    """(text, path hash, article depth) of every block with wanted text."""
-    out, parts = [], []
-    path_of = good_of = 0
-    for kind, name, path, bad, good, _, text in tokens(html):
-        if kind == "text":
-            if not bad:
-                path_of, good_of = path, good
-                parts.append(text)
-        elif name in _BLOCK:
-            if parts:
-                if t := _squeeze(parts):
-                    out.append((t, path_of, good_of))
-                parts = []
-        elif kind == "void":
-            parts.append(" ")
-    if parts and (t := _squeeze(parts)):
-        out.append((t, path_of, good_of))
-    return out
+    if start < n and not bad:
+        path_of, good_of = path, good
+        parts.append(html[start:])
+    flush()
+    return blocks, opens
 
 
 TAG, TEXT = 0, 1
 
 
-def page_tokens(html: str) -> dict[tuple[int, int, int], int]:
+def page_tokens(html: str, memo: dict) -> dict[tuple[int, int, int], int]:
     """(kind, key, enclosing path) -> count of the template candidates of a page."""
     out: dict[tuple[int, int, int], int] = {}
-    for kind, name, path, _, _, _, new in tokens(html):
-        if kind == "open" and new != path:
-            key = TAG, _signed(new), _signed(path)
-            out[key] = out.get(key, 0) + 1
-    for text, path, good in blocks(html):
+    blocks, opens = parse(html, memo)
+    for new, above in opens:
+        key = TAG, new, above
+        out[key] = out.get(key, 0) + 1
+    for text, path, good in blocks:
         if not good:
-            key = TEXT, _signed(_hash(f"{path} {text}")), _signed(path)
+            key = TEXT, _text_key(path, text), path
             out[key] = out.get(key, 0) + 1
     return out
 
 
 def _count(batches):
+    memo: dict = {}
     for batch in batches:
         acc: dict[tuple, list[int]] = {}
         for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            for key, n in page_tokens(html.as_py() or "").items():
-                a = acc.setdefault((host, *key), [0, 0, 0])
+            of: dict[int, tuple[int, int, int]] = {}
+            for key, n in page_tokens(html.as_py() or "", memo).items():
+                v = of.get(n)
+                if v is None:
+                    h = xxhash.xxh3_128_intdigest(f"{page} {n}")
+                    v = of[n] = h & 0x7FFFFFFF, h >> 31 & 0x7FFFFFFF, h >> 62 & 0x7FFFFFFF
+                a = acc.setdefault((host, *key), [0, 0, 0, 0])
                 a[0] += 1
-                a[1] ^= _hash(f"{page} {n}")
-                a[2] ^= _hash(f"{n} {page} again")
+                for k in range(3):
+                    a[k + 1] += v[k]
         keys, vals = list(acc), list(acc.values())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string())]
             + [pa.array([k[i] for k in keys], pa.int32() if i == 1 else pa.int64()) for i in (1, 2, 3)]
-            + [pa.array([v[0] for v in vals], pa.int64()), pa.array([_signed(v[1]) for v in vals], pa.int64()), pa.array([_signed(v[2]) for v in vals], pa.int64())],
-            names=["host", "kind", "key", "path", "pages", "v1", "v2"],
+            + [pa.array([v[i] for v in vals], pa.int64()) for i in range(4)],
+            names=["host", "kind", "key", "path", "pages", "v1", "v2", "v3"],
         )
 
 
-COUNT_SCHEMA = "host string, kind int, key long, path long, pages long, v1 long, v2 long"
+COUNT_SCHEMA = "host string, kind int, key long, path long, pages long, v1 long, v2 long, v3 long"
+#: A fingerprint has three sums of 31 bits a page, which can't overflow for fewer than 2^32 pages.
+VECTOR = ["v1", "v2", "v3"]
 
 
 def host_of(url: str = "url"):
@@ -242,52 +297,70 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, boilerplate): hashes of the text runs in valid classes with their number of pages. pages: host, html."""
     counted = distinct_pages(pages).mapInArrow(_count, COUNT_SCHEMA)
-    stats = counted.groupBy("host", "kind", "key", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"))
+    stats = counted.groupBy("host", "kind", "key", "path").agg(F.sum("pages").alias("pages"), *[F.sum(v).alias(v) for v in VECTOR])
     stats = materialize(stats.where(f"pages >= {MIN_PAGES}"))
-    n_pages = pages.select("host", *_marks()).distinct().groupBy("host").agg(F.count("*").alias("n"))
-    frequent = stats.join(n_pages, "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("n")))
-    classes = frequent.groupBy("host", "pages", "v1", "v2").agg(F.count("*").alias("members"), F.sum(F.when(F.col("kind") == TAG, 1).otherwise(0)).alias("tags")).where(f"members >= {MIN_CLASS} and tags > 0")
-    valid = frequent.join(classes.drop("members", "tags"), ["host", "pages", "v1", "v2"])
+    n_pages = materialize(pages.select("host", *_marks()).distinct().groupBy("host").agg(F.count("*").alias("n")).where(f"n >= {MIN_PAGES}"))
+    # A host may hold a third of all pages, and so of all tokens.
+    frequent = spread_join(stats, n_pages, ["host"], ["key"]).where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("n")))
+    classes = frequent.groupBy("host", "pages", *VECTOR).agg(F.count("*").alias("members"), F.sum(F.when(F.col("kind") == TAG, 1).otherwise(0)).alias("tags")).where(f"members >= {MIN_CLASS} and tags > 0")
+    valid = frequent.join(classes.drop("members", "tags"), ["host", "pages", *VECTOR])
     # Nested: the container that holds a text run is itself a tag of a valid class of the host.
     held = valid.where(f"kind = {TAG}").select("host", F.col("key").alias("path")).distinct()
-    texts = valid.where(f"kind = {TEXT}").join(held, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set(F.struct("key", "pages")).alias("boilerplate"))
-    return n_pages.select("host").join(texts, "host", "left")
+    # What a host repeats on most of its pages is no more than two thirds beyond the size of one page.
+    return valid.where(f"kind = {TEXT}").join(held, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set(F.struct("key", "pages")).alias("boilerplate"))
+
+
+def slots(blocks: list[tuple[str, int]], boilerplate: dict[int, int]) -> str:
+    """Text of the (text, key) blocks of a page without an article. boilerplate: number of pages by key of the text run."""
+    on = [boilerplate.get(key, 0) for _, key in blocks]
+    least = min(on, default=0)  # 0 unless all of the page is boilerplate
+    return "\n\n".join(b[0] for b, n in zip(blocks, on) if n == least)
+
+
+def read_page(html: str, memo: dict) -> tuple[str | None, list[tuple[str, int]]]:
+    """The article's text, or None and all (text, key) blocks of a page without one."""
+    blocks, _ = parse(html, memo)
+    if any(b[2] for b in blocks):
+        return "\n\n".join(b[0] for b in blocks if b[2]), []
+    return None, [(b[0], _text_key(b[1], b[0])) for b in blocks]
 
 
 def main_text(html: str, boilerplate: dict[int, int] | None = None) -> str:
-    """boilerplate: number of pages by hash of the text run."""
-    rows = blocks(html)
-    if any(b[2] for b in rows):
-        return "\n\n".join(b[0] for b in rows if b[2])
-    if boilerplate:
-        on = [boilerplate.get(_signed(_hash(f"{b[1]} {b[0]}")), 0) for b in rows]
-        least = min(on, default=0)  # 0 unless all of the page is boilerplate
-        rows = [b for b, n in zip(rows, on) if n == least]
-    return "\n\n".join(b[0] for b in rows)
+    text, blocks = read_page(html, {})
+    return slots(blocks, boilerplate or {}) if text is None else text
+
+
+def _read(batches):
+    memo: dict = {}
+    for batch in batches:
+        rows = [read_page(h.as_py() or "", memo) for h in batch.column(3)]
+        kind = pa.list_(pa.struct([("t", pa.string()), ("k", pa.int64())]))
+        blocks = pa.array([None if t is not None else [{"t": x, "k": k} for x, k in b] for t, b in rows], kind)
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array([t for t, _ in rows], pa.string()), blocks], names=["page_id", "url", "host", "text", "blocks"])
+
+
+def _fill(batches):
+    known: dict[str, dict[int, int]] = {}
+    for batch in batches:
+        text = []
+        for host, blocks, rules in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            if host not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[host] = {x["key"]: x["pages"] for x in rules.as_py() or ()}
+            text.append(slots([(b["t"], b["k"]) for b in blocks.as_py()], known[host]))
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(text, pa.string())], names=["page_id", "url", "host", "text"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, host) of every page."""
-    src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), host_of(url).alias("host"))
-    rules = materialize(templates(src))
-    # A host may hold a third of all pages.
-    both = salted_join(src, rules, ["host"], ["page_id", "url"])
-
-    def run(batches):
-        known: dict[str, dict[int, int]] = {}
-        for batch in batches:
-            host, page, link = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            text = []
-            for i in range(batch.num_rows):
-                h = host[i]
-                if h not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[h] = {x["key"]: x["pages"] for x in batch.column(4)[i].as_py() or ()}
-                text.append(main_text(batch.column(3)[i].as_py() or "", known[h]))
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(link, pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(host, pa.string())], names=["page_id", "url", "text", "n_chars", "host"])
-
-    return both.select("host", "page_id", "url", "html", "boilerplate").mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
+    src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(url).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    rules = materialize(templates(src.select("host", "html")))
+    read = materialize(src.mapInArrow(_read, "page_id long, url string, host string, text string, blocks array<struct<t:string,k:long>>"))
+    # Only pages without an article meet the templates, and only with their blocks. A host may hold a third of them.
+    rest = spread_join(read.where("text is null").drop("text"), rules, ["host"], ["page_id", "url"], "left")
+    filled = rest.select("page_id", "url", "host", "blocks", "boilerplate").mapInArrow(_fill, "page_id long, url string, host string, text string")
+    return read.where("text is not null").drop("blocks").unionByName(filled).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

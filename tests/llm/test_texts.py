@@ -247,6 +247,54 @@ def test_all_slots_stay(spark):
     assert extracted(spark, [("long", page(i)) for i in range(6)]) == [f"Title {i}\n\nlead {i}\n\nstory {i}\n\npart {i}" for i in range(6)]
 
 
+def pages_frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_repeated_rows_change_nothing(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(10).select("page_id", "url", "html")
+    bare = [(1000 + i, "http://bare.example/", f"<body><div class=wrap><p>Welcome<p>Read more</div><div class=a><p>story {i // 2}</p></div></body>") for i in range(12)]
+    d = pages.unionByName(pages_frame(spark, bare)).cache()
+    once = {r.page_id: r.text for r in html.extract(d).collect()}
+    twice = html.extract(d.union(d)).collect()
+    assert len(twice) == 2 * len(once) and all(r.text == once[r.page_id] for r in twice) and once[1004] == "story 2"
+    alone = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(once[k] == v for k, v in alone.items())
+
+
+def test_classes_inside_and_outside_of_articles():
+    keep = "<h2 class='section-header'>Methods</h2><section class='related-work'><p>before</p></section><div class='search-results'><p>found</p></div><h3 class=related>More</h3>"
+    drop = "<div class='related-posts'>x</div><div class='post comments'>x</div><div id=share>x</div><div class='ad-slot'>x</div><div class=newsletter-signup>x</div>"
+    assert html.main_text(PAGE.format(body=f"<article>{keep}{drop}</article>")) == "Methods\n\nbefore\n\nfound\n\nMore"
+    outside = "<div class=site-header>x</div><div class='search-box'>x</div><div class='left-sidebar'>x</div><div class='cookie-bar'>x</div><div class=main-nav>x</div>"
+    assert html.main_text(PAGE.format(body=keep + outside)) == "Methods\n\nbefore\n\nfound\n\nMore"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", '<a b="', "<b>", "<td>", "</x>", "<div></p>", "<table><b><p>", "<a =\"'>", "<!--", "<p class=x", "< ", "<![CDATA["])
+def test_broken_pages_are_read_in_linear_time(unit):
+    import time
+
+    began = time.thread_time()
+    html.main_text("<p>text" + unit * (300_000 // len(unit)))
+    half = time.thread_time() - began
+    html.main_text("<p>text" + unit * (600_000 // len(unit)))
+    assert time.thread_time() - began - half < 4 * half + 1.5
+
+
+@pytest.mark.parametrize(("page", "want"), [("<p>a<p class='x", "a"), ("<p>a</p><a href=it's>b</a> don't", "a\n\nb don't"), ("a <a t=\"x>b</a> c", "a b c"), ("x<!-->y-->z", "xy-->z"), ("1 < 2 </ 3", "1 < 2 </ 3"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"), (None, "")])
+def test_broken_markup(page, want):
+    assert html.main_text(page or "") == want
+
+
+def test_templates_beyond_the_broadcast_bound(spark, monkeypatch):
+    from skein.functions import shared
+
+    page = lambda i: f"<body><div class=wrap><p>Welcome to our site<p>Read more here<div class=inner><p>story {i}</div></div></body>"
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    assert extracted(spark, [("h", page(i)) for i in range(12)]) == [f"story {i}" for i in range(12)]
+
+
 def test_pages_query(spark, sf):
     import html as std
 
