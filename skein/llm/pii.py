@@ -6,12 +6,17 @@ character of its output the span of source characters that it came from: homogly
 digits, and at/dot disguises. Identifiers found on the normalised text are mapped back to source characters and added
 unless they overlap a base one of their kind. Offsets count code points, ends are exclusive. Null texts are empty.
 Repeated rows give repeated results; other columns aren't read.
+
+The words `at` and `dot` alone are prose as well: `x at y.z` (or `x @ y.z`) is an address only if it ends in the suffix of a
+domain (and, if the last dot isn't spelled, in none that is a file's suffix too). With a closed-up @ or brackets any will do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,8 +98,38 @@ def base_spans(t: str) -> list[Span]:
     return out
 
 
-# Transducers. A tape is (text, starts, ends): character i came from source characters starts[i] to ends[i].
-Tape = tuple[str, list[int], list[int]]
+class Layer(NamedTuple):
+    """One pass of disjoint edits in order: where each replacement stands in the new text, its end, and the span of the old text that it's for."""
+
+    start: list[int]
+    end: list[int]
+    old_start: list[int]
+    old_end: list[int]
+
+    def back(self, at: int) -> tuple[int, int]:
+        """The span of the old text that a character of the new one came from."""
+        i = bisect_right(self.start, at) - 1
+        if i < 0:
+            return at, at + 1
+        if at < self.end[i]:
+            return self.old_start[i], self.old_end[i]
+        at += self.old_end[i] - self.end[i]
+        return at, at + 1
+
+
+class Tape(NamedTuple):
+    """A text and the edits that led to it. Memory grows with the edits, not with the text."""
+
+    text: str
+    layers: tuple[Layer, ...] = ()
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the first text that a span of this one came from."""
+        first, last = start, end - 1
+        for layer in reversed(self.layers):
+            first, last = layer.back(first)[0], layer.back(last)[1] - 1
+        return first, last + 1
+
 
 _HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅ", "aeopcyxijshdqwABEKMHOPCTXIJS")) | dict(zip("αοορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aooprikABEZHIKMNOPTYX"))
 _HOMOGLYPHS["ν"], _HOMOGLYPHS["ι"], _HOMOGLYPHS["κ"] = "v", "i", "k"
@@ -110,12 +145,18 @@ _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORD})(?:[\s,-]+(?:{_WORD}|[0-9])
 _ONE_WORD = re.compile(rf"{_WORD}|plus|[0-9]", re.I)
 _AT = re.compile(r"\s*[\[({<] ?(?:at|@|arroba) ?[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*|\s*[\[({<]\.[\])}>]\s*", re.I)
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]{1,63})+", re.I)
-_PLAIN_IP = re.compile(r"\b[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}\b", re.I)
-_PLAIN_PART = re.compile(r"\s+at\s+|\s+dot\s+", re.I)
-#: What every match of _AT or _DOT holds, and what every edit of _PLAIN or _PLAIN_IP replaces.
+_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s++at\s++|\s*+@\s*+)([A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++)", re.I)
+_PLAIN_IP = re.compile(r"(?<!\w)[0-9]{1,3}(?:\s++dot\s++[0-9]{1,3}){3}\b", re.I)
+_PLAIN_DOT = re.compile(r"\s+dot\s+", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+SUFFIXES = frozenset(
+    "com org net edu gov mil int info biz name pro io co dev app ai me tv xyz online site tech eu uk us ca au nz ie de at ch fr be nl lu it es pt dk se no fi is pl cz sk hu ro bg gr tr ru ua by lt lv ee si hr rs ba mk al md in pk bd lk cn hk tw jp kr sg my th vn id ph il ae sa eg za ng ke ma br ar mx cl pe ve uy".split()
+)
+#: Suffixes of domains that are those of files too.
+FILE_LIKE = frozenset("pl rs md".split())
+#: What every match of _AT or _DOT holds, and what every edit of _plain() or _PLAIN_IP replaces.
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|dot|punkt|punto|point|\.)\s*[\])}>]", re.I)
-_BETWEEN = re.compile(r"\s(?:at|dot)\s", re.I)
+_BETWEEN = re.compile(r"\s(?:at|dot)\s|\s@|@\s", re.I)
 #: All odd characters but the soft hyphen lie here; this search is a hundred times as fast as theirs.
 _FAR = re.compile(r"[^\x00-\u024f]")
 _DIGIT_WORDS = frozenset(_WORDS)
@@ -134,29 +175,35 @@ def disguised(t: str) -> bool:
 
 
 def tape(t: str) -> Tape:
-    return t, list(range(len(t))), list(range(1, len(t) + 1))
+    return Tape(t)
 
 
 def rewrite(x: Tape, edits: list[tuple[int, int, str]]) -> Tape:
     """Replace disjoint, ordered spans; every new character covers the whole span that it stands for."""
-    t, lo, hi = x
-    parts, a, b, at = [], [], [], 0
+    if not edits:
+        return x
+    t, parts, layer, at, size = x.text, [], Layer([], [], [], []), 0, 0
     for s, e, new in edits:
         parts += [t[at:s], new]
-        a += lo[at:s] + [lo[s]] * len(new)
-        b += hi[at:s] + [hi[e - 1]] * len(new)
+        size += s - at
+        layer.start.append(size)
+        size += len(new)
+        layer.end.append(size)
+        layer.old_start.append(s)
+        layer.old_end.append(e)
         at = e
-    return "".join(parts) + t[at:], a + lo[at:], b + hi[at:]
+    parts.append(t[at:])
+    return Tape("".join(parts), (*x.layers, layer))
 
 
 def _glyphs(x: Tape) -> Tape:
-    return rewrite(x, [(m.start(), m.end(), _HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(x[0])])
+    return rewrite(x, [(m.start(), m.end(), _HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(x.text)])
 
 
 def _spelled(x: Tape) -> Tape:
     edits = []
-    for run in _SPELLED.finditer(x[0]):
-        words = list(_ONE_WORD.finditer(x[0], run.start(), run.end()))
+    for run in _SPELLED.finditer(x.text):
+        words = list(_ONE_WORD.finditer(x.text, run.start(), run.end()))
         for i, m in enumerate(words):
             end = words[i + 1].start() if i + 1 < len(words) else m.end()
             edits.append((m.start(), m.end(), {"plus": "+"}.get(m[0].lower()) or _WORDS.get(m[0].lower(), m[0])))
@@ -165,13 +212,28 @@ def _spelled(x: Tape) -> Tape:
     return rewrite(x, edits)
 
 
+def _plain(t: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses whose at or dots are words."""
+    edits = []
+    for m in _PLAIN.finditer(t):
+        word = m[1] != "@"
+        own = [(m.start(1), m.end(1), "@")] if word else []
+        labels = list(_LABEL.finditer(t, m.start(2), m.end(2)))
+        last = len(labels) - 1
+        if word:
+            spelled = lambda k: t[labels[k].start() - 1] != "."
+            last = next((k for k in range(last, 0, -1) if (x := labels[k][0].lower()) in SUFFIXES and (spelled(k) or x not in FILE_LIKE)), 0)
+        if last:
+            own += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(t, m.start(2), labels[last].end())]
+            edits += own
+    return edits
+
+
 def _signs(x: Tape) -> Tape:
-    x = rewrite(x, sorted([(m.start(), m.end(), "@") for m in _AT.finditer(x[0])]))
-    x = rewrite(x, [(m.start(), m.end(), ".") for m in _DOT.finditer(x[0])])
-    for whole in (_PLAIN, _PLAIN_IP):
-        edits = [(p.start(), p.end(), "@" if p[0].strip().lower() == "at" else ".") for m in whole.finditer(x[0]) if _PLAIN_PART.search(m[0]) for p in _PLAIN_PART.finditer(x[0], m.start(), m.end())]
-        x = rewrite(x, edits)
-    return x
+    x = rewrite(x, [(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
+    x = rewrite(x, [(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
+    x = rewrite(x, _plain(x.text))
+    return rewrite(x, [(d.start(), d.end(), ".") for m in _PLAIN_IP.finditer(x.text) for d in _PLAIN_DOT.finditer(x.text, m.start(), m.end())])
 
 
 TRANSDUCERS = (_glyphs, _spelled, _signs)
@@ -182,12 +244,23 @@ def added_spans(t: str, base: list[Span]) -> list[Span]:
     x = tape(t)
     for step in TRANSDUCERS:
         x = step(x)
-    out = list(base)
-    for kind, s, e in base_spans(x[0]):
-        a, b = x[1][s], x[2][e - 1]
-        if not any(k == kind and a < f and b > g for k, g, f in out):
-            out.append((kind, a, b))
-    return sorted(out, key=lambda p: (KINDS.index(p[0]), p[1], p[2]))
+    if not x.layers:
+        return list(base)
+    out = []
+    shown = base_spans(x.text)
+    for kind in KINDS:
+        own = [p for p in base if p[0] == kind]
+        starts, reached = [p[1] for p in own], -1
+        fresh = []
+        for k, s, e in shown:
+            if k == kind:
+                a, b = x.source(s, e)
+                i = bisect_left(starts, b) - 1  # spans of a kind are ordered and disjoint, so only the last that starts before b can overlap
+                if a >= reached and (i < 0 or own[i][2] <= a):
+                    fresh.append((kind, a, b))
+                    reached = b
+        out += sorted(own + fresh, key=lambda p: p[1]) if fresh else own
+    return out
 
 
 def all_spans(t: str, base: list[Span] | None = None) -> list[Span]:

@@ -87,7 +87,7 @@ def test_pii_base():
             t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
             assert pii.base_spans(t) == brute_pii(t), t
     assert pii.base_spans("4111 1111 1111 1111") == [("card", 0, 19)]
-    assert pii.base_spans("1" * 50_000 + "@" * 10) == [] or True
+    assert pii.base_spans("1" * 50_000 + "@" * 10) == []
 
 
 @pytest.mark.parametrize(
@@ -129,13 +129,80 @@ def test_pii_gate_misses_nothing():
         x = pii.tape(t)
         for step in pii.TRANSDUCERS:
             x = step(x)
-        changed += x[0] != t
-        assert x[0] == t or pii.disguised(t), t
+        changed += x.text != t
+        assert x.text == t or pii.disguised(t), t
         assert pii.all_spans(t) == pii.added_spans(t, pii.base_spans(t)), t
     assert changed > 1000
     assert pii.mask("write to john at example.com or john<@>example.com") == "write to [email] or [email]"
 
 
+def plain_tape(t):
+    """The transducers' result with the source span of every character, by rewriting lists of characters."""
+    x, chars = pii.tape(t), [(c, i, i + 1) for i, c in enumerate(t)]
+    for step in pii.TRANSDUCERS:
+        before = len(x.layers)
+        x = step(x)
+        for layer in x.layers[before:]:
+            out, at, shift = [], 0, 0
+            for s, e, old_s, old_e in zip(*layer):
+                out += chars[at:old_s]
+                out += [("?", chars[old_s][1], chars[old_e - 1][2])] * (e - s)
+                at = old_e
+            chars = out + chars[at:]
+    return x, chars
+
+
+def test_spans_map_back_like_character_by_character():
+    rng = random.Random(7)
+    parts = "john example com 4111 1 0 @ . at dot (at) [dot] one two six plus - \u200b а １ ․ é".split(" ") + [" ", " "]
+    for _ in range(4000):
+        t = rng.choice(("", " ")).join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        x, chars = plain_tape(t)
+        assert len(chars) == len(x.text)
+        for i in range(len(chars)):
+            assert x.source(i, i + 1) == chars[i][1:]
+        out = base = pii.base_spans(t)
+        for k, s, e in pii.base_spans(x.text):
+            a, b = chars[s][1], chars[e - 1][2]
+            if not any(k == kk and a < f and b > g for kk, g, f in out):
+                out = [*out, (k, a, b)]
+        assert pii.all_spans(t, base) == sorted(out, key=lambda p: (pii.KINDS.index(p[0]), p[1], p[2])), t
+
+
+def test_unrelated_sentences_change_no_span():
+    rng = random.Random(8)
+    texts = ["write to mary at mail.example.org now", "john (at) example [dot] com", "dial plus one five five five one two three four five six seven ok", "host 10 dot 0 dot 0 dot 7 up", "a@b.co", "jo\u200bhn@example.com", "look at node.js now", "at a point"]
+    more = ["An anecdote. ", "Look at node.js now. ", "It is (at) noon [dot]. ", "Two plus one. ", "See setup.py at work. ", "Ünïcode а. ", "mail me @ home. "]
+    for t in texts:
+        want = pii.all_spans(t)
+        for _ in range(40):
+            head, tail = "".join(rng.sample(more, rng.randrange(4))), "".join(rng.sample(more, rng.randrange(3)))
+            got = pii.all_spans(head + t + ". " + tail)
+            assert got == [(k, a + len(head), b + len(head)) for k, a, b in want], (head, t, tail)
+
+
+def test_disguises_without_caps():
+    for n in (64, 65, 5000):
+        assert pii.all_spans("x" * n + " at example dot com") == [("email", 0, n + 19)]
+        assert pii.all_spans("a at " + "y" * n + ".org. Then") == [("email", 0, n + 9)]
+    for t in ("an anecdote. look at node.js now", "look at main.rs", "see it at www.thing.py", "he is at home.Then dot"):
+        assert pii.all_spans(t) == []
+    assert pii.all_spans("me at x dot rs") == [("email", 0, 14)] and pii.all_spans("me@x dot internal") == [("email", 0, 17)]
+    assert pii.all_spans("me @ x.y dot org") == [("email", 0, 16)] and pii.all_spans("see you @ 10.30") == []
+
+
+@pytest.mark.parametrize("unit", ["a at b ", "a@b.co ", "one two ", "(at) ", "a dot ", "at  ", "1.1.1.1 dot ", "+1 ", "x.", "\u200b", "a-"])
+def test_pii_is_linear(unit):
+    import time
+
+    took = []
+    for n in (100_000, 200_000):
+        began = time.thread_time()
+        pii.all_spans("a@b.co dot " + unit * (n // len(unit)))
+        took.append(time.thread_time() - began)
+    assert took[1] < 4 * took[0] + 0.5
+
+
 def test_pii_frames(spark, docs, none):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "a@b.co a@b.co 1.2.3.4"), (3, "a@b.co a@b.co 1.2.3.4")], "doc_id long, text string")
     got = sorted(map(tuple, pii.find_pii(d).collect()))
