@@ -2,9 +2,10 @@
 
 Reading: ID3v2 and APEv2 tags ahead of the audio and ID3v1 after it are skipped over and reported; frame headers of
 MPEG 1, 2 and 2.5, layers I to III, are resynchronised by accepting a header only if the next one (or the end of the
-audio) stands where its length says; Xing, Info and VBRI tables are parsed; layer III checksums are verified. Durations
-are exact fractions (samples / rate) and seek offsets are the byte positions of all frames. Bytes that are no audio give
-zero frames.
+audio) stands where its length says; Xing, Info and VBRI tables are parsed; checksums of all three layers are verified (of
+layer I over the allocation, of layer II over allocation and scale factor selection, of layer III over the side
+information, each with the header's last two bytes). Durations are exact fractions (samples / rate) and seek offsets are the byte positions of all frames. Any bytes can be read: a table
+that its frame cuts off is none, and bytes that are no audio give zero frames.
 
 Writing: payload bytes travel as ancillary data of silent layer III frames (MPEG 1, mono, 32 kHz, checksum on), in units
 of 192 bytes, at most seven a frame; the bitrate follows the units, so streams are truly variable and carry a Xing table.
@@ -61,6 +62,52 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(head: bytes, data: bytes, bits: int) -> int:
+    """The checksum of head and the first bits of data."""
+    c = crc16(head + data[: bits // 8])
+    for k in range(bits & ~7, bits):
+        top = (c >> 15) ^ (data[k >> 3] >> (7 - (k & 7)) & 1)
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+#: Bits of allocation by subband of layer II: (subbands, bits) runs of the tables B.2a to B.2d and that of the lower rates.
+LAYER2_BITS = tuple(tuple(n for count, n in runs for _ in range(count)) for runs in (((11, 4), (12, 3), (4, 2)), ((11, 4), (12, 3), (7, 2)), ((2, 4), (6, 3)), ((2, 4), (10, 3)), ((4, 4), (7, 3), (19, 2))))
+
+
+def layer2_table(version: int, kbps: int, channels: int, rate: int) -> tuple[int, ...]:
+    each = kbps // channels
+    if version != 3:
+        return LAYER2_BITS[4]
+    if rate == 48000 and each >= 56 or 56 <= each <= 80:
+        return LAYER2_BITS[0]
+    if rate != 48000 and each >= 96:
+        return LAYER2_BITS[1]
+    return LAYER2_BITS[2] if rate != 32000 and each <= 48 else LAYER2_BITS[3]
+
+
+def checked_bits(b: bytes, at: int, end: int) -> int | None:
+    """How many bits behind the checksum of the frame from at to end the checksum covers; None if the frame is too short for them."""
+    _, _, rate, version, layer, _, mono, index, _ = frame_header(b, at)
+    mode, bound = b[at + 3] >> 6, ((b[at + 3] >> 4 & 3) + 1) * 4
+    channels, body = 1 if mono else 2, b[at + 6 : end]
+    if layer == 1:
+        bits = 8 * ((SIDE_MONO if mono else 32) if version == 3 else (9 if mono else 17))
+    elif layer == 3:
+        shared = bound if mode == 1 else 32
+        bits = 4 * (shared * channels + 32 - shared if channels == 2 else 32)
+    else:
+        table = layer2_table(version, KBPS[3 if version == 3 else 2, layer][index], channels, rate)
+        shared, bits, used, value = min(bound, len(table)) if mode == 1 else len(table), 0, 0, int.from_bytes(body[:48].ljust(48, b"\0"))
+        for band, n in enumerate(table):
+            for _ in range(channels if band < shared else 1):
+                if value >> (384 - bits - n) & ((1 << n) - 1):
+                    used += channels if band >= shared else 1
+                bits += n
+        bits += 2 * used
+    return bits if bits <= 8 * len(body) else None
+
+
 def frame_header(b: bytes, at: int) -> tuple | None:
     """(length, samples, rate, version, layer, crc, mono, bitrate index, private) of the header at a position, or None."""
     if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
@@ -120,11 +167,12 @@ def parse_stream(b: bytes) -> dict:
         locked = frame_header(b, at + length) is not None or at + length == hi
         side = (SIDE_MONO if mono else 32) if version == 3 else (9 if mono else 17)
         body = at + 4 + 2 * crc
-        if crc and layer == 1:
-            good = crc16(b[at + 2 : at + 4] + b[body : body + side]) == struct.unpack(">H", b[at + 4 : at + 6])[0]
+        if crc:
+            bits = checked_bits(b, at, at + length)
+            good = bits is not None and crc16_bits(b[at + 2 : at + 4], b[at + 6 : at + length], bits) == int.from_bytes(b[at + 4 : at + 6])
             ok, bad = ok + good, bad + (not good)
         if not offsets and table is None and layer == 1:
-            table = _table(b, at, body + side)
+            table = _table(b[at : at + length], body + side - at)
             if table is not None:
                 at += length
                 continue
@@ -139,19 +187,21 @@ def parse_stream(b: bytes) -> dict:
     }
 
 
-def _table(b: bytes, at: int, xing: int) -> dict | None:
-    if b[xing : xing + 4] in (b"Xing", b"Info"):
-        flags, p = struct.unpack(">I", b[xing + 4 : xing + 8])[0], xing + 8
-        out = {"kind": b[xing : xing + 4].decode()}
+def _table(frame: bytes, xing: int) -> dict | None:
+    """The table in the first frame, if there is one and the frame holds all that its flags announce."""
+    if frame[xing : xing + 4] in (b"Xing", b"Info") and xing + 8 <= len(frame):
+        flags, p = int.from_bytes(frame[xing + 4 : xing + 8]), xing + 8
+        if p + 4 * (flags & 1) + 2 * (flags & 2) + 25 * (flags & 4) > len(frame):
+            return None
+        out = {"kind": frame[xing : xing + 4].decode()}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name], p = struct.unpack(">I", b[p : p + 4])[0], p + 4
+                out[name], p = int.from_bytes(frame[p : p + 4]), p + 4
         if flags & 4:
-            out["toc"] = tuple(b[p : p + 100])
+            out["toc"] = tuple(frame[p : p + 100])
         return out
-    if b[at + 36 : at + 40] == b"VBRI":
-        size, frames = struct.unpack(">II", b[at + 46 : at + 54])
-        return {"kind": "VBRI", "bytes": size, "frames": frames}
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
+        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50]), "frames": int.from_bytes(frame[50:54])}
     return None
 
 

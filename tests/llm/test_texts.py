@@ -248,6 +248,53 @@ def test_audio_resynchronises_and_checks():
     assert mp.crc16(b"frame") == crc and bits(b"\x01") == 1
 
 
+def with_crc(head, body, bits, length):
+    crc = 0xFFFF
+    data = int.from_bytes(head[2:] + body)
+    total = 16 + 8 * len(body)
+    for k in range(16 + bits):
+        top = (crc >> 15) ^ (data >> (total - 1 - k) & 1)
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if top else 0)
+    return (head + crc.to_bytes(2) + body).ljust(length, b"\0")
+
+
+def test_checksums_of_layers_one_and_two():
+    # Layer I, 32 kHz, 32 kbit/s: 48 bytes a frame; mono has 32 allocations of 4 bits.
+    head = bytes((0xFF, 0xFE, 1 << 4 | 2 << 2, 0xC0))
+    frame = with_crc(head, bytes(range(40)), 128, 48)
+    assert mp.frame_header(frame, 0)[0] == 48
+    good = mp.parse_stream(frame * 3)
+    assert (good["crc_ok"], good["crc_bad"], good["samples"]) == (3, 0, 1152)
+    assert mp.parse_stream(frame * 2 + frame[:10] + b"\x55" + frame[11:])["crc_bad"] == 1
+    # Joint stereo with bound 4: four pairs of allocations, then 28 shared ones.
+    joint = with_crc(head[:3] + bytes((0x40,)), bytes(range(40)), 4 * (8 + 28), 48)
+    assert mp.parse_stream(joint * 3)["crc_ok"] == 3
+    # Layer II, 48 kHz, 32 kbit/s, mono: table of eight subbands, 4 4 3 3 3 3 3 3 bits; two of them used.
+    head = bytes((0xFF, 0xFC, 1 << 4 | 1 << 2, 0xC0))
+    body = int.to_bytes((0b0001_0000_101_000_000_000_000_000 << 6), 4) + bytes(60)
+    assert mp.layer2_table(3, 32, 1, 48000) == (4, 4, 3, 3, 3, 3, 3, 3)
+    length = mp.frame_header(head + bytes(8), 0)[0]
+    frame = with_crc(head, body, 26 + 4, length)
+    assert mp.parse_stream(frame * 3)["crc_ok"] == 3 and mp.parse_stream(frame * 2 + frame[:6] + b"\xf0" + frame[7:])["crc_bad"] == 1
+    assert [len(t) for t in mp.LAYER2_BITS] == [27, 30, 8, 12, 30] and [sum(t) for t in mp.LAYER2_BITS] == [88, 94, 26, 38, 75]
+
+
+def test_any_bytes_can_be_read():
+    rng = random.Random(12)
+    cut = bytes((0xFF, 0xE3, 8 << 4 | 2 << 2, 0xC0)).ljust(36, b"\0") + b"VBRI" + bytes(8)
+    assert mp.parse_stream(cut)["table"] is None
+    for _ in range(3000):
+        b = bytearray(rng.choice((b"", mp.ID3, b"ID3", b"APETAGEX", mp.encode(mp.pad(b"x" * rng.randrange(600))))) + rng.randbytes(rng.randrange(80)))
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at] = rng.choice((b"\xff\xfb", b"\xff\xe3\x84\xc0", b"\xff\xfc\x14\xc0", b"\xff\xfe\x18\x40", b"Xing", b"VBRI", b"TAG", b"\0" * 40, rng.randbytes(3)))
+        if rng.random() < 0.5:
+            b = b[: rng.randrange(len(b) + 1)]
+        s = mp.parse_stream(bytes(b))
+        assert all(mp.frame_header(bytes(b), o) for o in s["offsets"]) and s["crc_ok"] + s["crc_bad"] <= len(s["offsets"]) + 1
+        mp.decode(bytes(b))
+
+
 def test_audio_columns(spark, docs, none):
     rows = {r.doc_id: r for r in mp.digests(mp.store(docs)).collect()}
     for r in docs.collect():
