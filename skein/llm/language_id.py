@@ -5,10 +5,11 @@ scaled to length one. A first level of one-versus-rest linear support vector mac
 the family, one-versus-one linear machines for each pair of its languages vote, ties going to the larger summed margin,
 then to the first name. All machines are trained by dual coordinate descent with the squared hinge loss.
 
-Learned from text and non-null lang only, of rows whose crc32(doc_id) mod 4 isn't 2, per language about per_lang rows
-chosen by id hash and at most max_langs languages (the most frequent ones): a bounded sample, the bound being what the
-driver holds. Every whole text is predicted. `und` with score 0 if a text is null, empty or has no letter, or if nothing
-could be learned. Ids, languages and sources are no inputs. Repeated rows repeat their result.
+Learned from text and non-null lang only, of rows whose crc32(doc_id) mod 4 isn't 2: of every language about
+min(per_lang, max_rows / languages) rows, one at least, chosen by id hash. max_rows bounds what the driver holds (16 kB a
+row); no language is left out. Every whole text is predicted, a few hundred at a time, so that memory doesn't depend on how
+short texts are. `und` with score 0 if a text is null, empty or has no letter, or if nothing could be learned. Ids,
+languages and sources are no inputs. A null id isn't held out, nor learned from. Repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, text_slices
+from .common import crc_of_id, materialize, spread_join, text_slices
 
 DIMS = 4096
+#: Feature rows that are made at once: 8 MB of counts.
+SLICE_ROWS = 256
+PER_LANG = 500
+MAX_ROWS = 16_000
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb",
     "romance": "fr es it pt ro ca gl oc",
@@ -70,16 +75,16 @@ def trigram_features(buf: np.ndarray, off: np.ndarray, dims: int = DIMS) -> np.n
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by dual coordinate descent; y is +-1."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)]).astype(np.float64)
-    q = (x * x).sum(axis=1) + 1 / (2 * c)
-    a, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    q = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1 + 1 / (2 * c)
+    a, w = np.zeros(len(x)), np.zeros(x.shape[1] + 1)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + a[i] / (2 * c)
+            row = np.append(x[i], 1.0)  # one row at a time in double precision, so that the sample isn't copied
+            g = y[i] * (row @ w) - 1 + a[i] / (2 * c)
             new = max(0.0, a[i] - g / q[i])
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w += (new - a[i]) * y[i] * row
                 a[i] = new
     return w
 
@@ -138,29 +143,28 @@ def has_letter(t: str) -> bool:
     return any(c.isalpha() for c in t)
 
 
-def train(docs: DataFrame, per_lang: int = 500, max_langs: int = 200, left_out: tuple[int, int] = (4, 2)) -> Model | None:
-    """Fit on about per_lang rows of each language; rows whose crc32(doc_id) mod left_out[0] is left_out[1] aren't used."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, left_out: tuple[int, int] = (4, 2)) -> Model | None:
+    """Fit on about per_lang rows of each language, max_rows in all; rows whose crc32(doc_id) mod left_out[0] is left_out[1] aren't used."""
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.pmod(crc_of_id(), F.lit(left_out[0])) != left_out[1])
     )
-    counts = use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
-        return None
-    # One hash threshold per language: a sample of bounded expected size without ranking any language's rows.
-    part = {r["lang"]: min(1.0, per_lang / r["count"]) for r in counts}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(v) for k, p in part.items() for v in (k, p)])[F.col("lang")]
+    counts = use.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", F.lit(17))).alias("first"))
+    each = F.least(F.lit(float(per_lang)), F.greatest(F.lit(1.0), F.lit(float(max_rows)) / F.lit(max(1, counts.count()))))
+    # One hash threshold per language: a sample of bounded expected size without ranking any language's rows. The row of least hash is always in.
+    parts = counts.select("lang", "first", F.least(F.lit(1.0), each / F.col("n")).alias("share"))
+    h = F.xxhash64("doc_id", F.lit(17))
 
     def measure(batches):
         for batch in batches:
-            for lo, hi, buf, off in text_slices(batch.column(2)):
+            for lo, hi, buf, off in text_slices(batch.column(2), rows=SLICE_ROWS):
                 x = trigram_features(buf, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = use.where(draw < share).select("doc_id", "lang", "text").mapInArrow(measure, "doc_id long, lang string, x binary").toPandas()
+    drawn = spread_join(use, materialize(parts), ["lang"], ["doc_id"]).where((F.pmod(h, F.lit(1 << 30)) / (1 << 30) < F.col("share")) | (h == F.col("first")))
+    rows = drawn.select("doc_id", "lang", "text").mapInArrow(measure, "doc_id long, lang string, x binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["doc_id", "lang"], kind="stable")
+    rows = rows.sort_values(["doc_id", "lang", "x"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
     return fit(x, rows["lang"].tolist())
 
@@ -171,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     def run(batches):
         for batch in batches:
             ids, col = batch.column(0), batch.column(1)
-            for lo, hi, buf, off in text_slices(col):
+            for lo, hi, buf, off in text_slices(col, rows=SLICE_ROWS):
                 n = hi - lo
                 pred, score = ["und"] * n, np.zeros(n)
                 if model is not None:
@@ -191,4 +195,4 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train(docs))
-    return found.select("doc_id", (F.pmod(crc_of_id(), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

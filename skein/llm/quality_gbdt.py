@@ -6,7 +6,7 @@ logistic gradients, then flattened into arrays (feature, threshold, left, right,
 trees level by level with numpy gathers.
 
 Only labelled rows that aren't held out are learned from, and of them at most max_rows (those of least id hash: the bound
-is what the driver holds). Labels, languages, sources and ids are no inputs. Null and empty texts have statistics of zero
+is what the driver holds). Labels, languages, sources and ids are no inputs. A null id isn't held out. Null and empty texts have statistics of zero
 and get a score like any other. Without any usable label every score is 0.5. Repeated rows repeat their result.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_of_id, run_hashes, runs, text_bounds, text_slices
+from .common import crc_of_id, fresh, run_hashes, runs, text_bounds, text_slices
 
 FEATURES = (
     "chars", "words", "word_length", "upper", "digit", "space", "newline", "stop", "comma", "bang", "pipe", "symbol", "quote", "other_punct", "high",
@@ -213,20 +213,20 @@ def with_score(docs: DataFrame, forest: Forest, text: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*batch.schema.names[:-1], name])
 
     keep = docs.schema.fields
-    src = docs.select("*", F.col(text).cast("string").alias("__text"))
+    src = docs.select("*", F.col(text).cast("string").alias(fresh(docs, "__text")))
     return src.mapInArrow(run, StructType([*keep, StructField(name, DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose score is at least `least`; columns as they were."""
     names = docs.columns
-    score = "__quality_score"
+    score = fresh(docs, "__quality_score")
     return with_score(docs, train(docs, labels), name=score).where(F.col(score) >= least).select(*[f"`{c}`" for c in names])
 
 
 def op2_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     forest = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    src = docs.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "text")
+    src = docs.select("doc_id", F.coalesce(F.pmod(crc_of_id(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "text")
     scored = with_score(src, forest)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
