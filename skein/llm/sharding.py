@@ -5,11 +5,12 @@ tightest remaining capacity that still holds them, found in a balanced tree (a t
 capacity given, shards are opened as needed; with a number of shards given, the capacity is the least one, searched from
 the mean upwards, under which the packing needs no more shards, so their sizes come out nearly equal (law `bytes`).
 
-Scale: packing only depends on the multiset of group sizes. The driver gets (size, number of groups) rows, at most
-sqrt(2 * total bytes) of them since distinct sizes add up to no more than the total, and places equal sizes in runs.
-Each group then looks its run up by its rank among groups of its size, which is counted in hash buckets, so no size and
-no shard is ever ordered in one task. A group larger than a shard can't stay whole: it's cut into pieces of
-whole documents, each as large as fits the mean shard; there are fewer such groups than shards.
+Scale: packing only depends on the multiset of group sizes. For it, sizes are rounded up to SIGNIFICANT leading bits (those
+below 2048 bytes are exact, larger ones too long by less than a thousandth), so that the driver gets at most 1,024 rows
+(size, number of groups) for each doubling of the size, whatever the corpus, and places equal sizes in runs. Each group then
+looks its run up by its rank among groups of its size, which is counted in hash buckets, so no size and no shard is ever
+ordered in one task. A group larger than a shard can't stay whole: it's cut into pieces of whole documents, each as
+large as fits the mean shard; there are fewer such groups than shards.
 
 Size is the UTF-8 length plus 16. Null and empty texts count as equal, with size 16. Repeated rows are documents of their
 own. An empty table gives an empty result. Only the id and the text are read.
@@ -18,13 +19,15 @@ own. An empty table gives an empty result. Only the id and the text are read.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize
 
 SHARDS = 40
 OVERHEAD = 16
+#: Leading bits of a group's size that the packing sees.
+SIGNIFICANT = 11
 
 
 class Treap:
@@ -131,6 +134,12 @@ def pack(sizes: list[tuple[int, int]], shards: int) -> tuple[int, list[tuple[int
     return good, runs
 
 
+def rounded(size: Column) -> Column:
+    """A size rounded up to a multiple of the power of two that leaves it SIGNIFICANT bits."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(size)) - SIGNIFICANT, F.lit(0))).cast("long")
+    return F.ceil(size / unit).cast("long") * unit
+
+
 def number(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
     """df with a gapless number from 0 within each group, by hash bucket and then `order`; no group is ordered in one task."""
     b = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
@@ -161,16 +170,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     whole = rows.join(cut, "key", "left_anti").withColumn("piece", F.lit(0).cast("long"))
     parts = number(rows.join(cut, "key"), ["key"], ["doc_id"], "at", buckets).withColumn("piece", F.floor(F.col("at") / F.col("per_piece")))
     rows = materialize(whole.unionByName(parts.select(whole.columns)))
-    units = rows.groupBy("key", "piece").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"))
-    units = materialize(number(units, ["bytes"], ["key", "piece"], "rank", 16))
+    units = rows.groupBy("key", "piece").agg(F.count("*").alias("copies"), rounded(F.sum("size")).alias("bytes"))
+    units = materialize(number(units, ["bytes"], ["key", "piece"], "rank", buckets))
 
-    sizes = [(r["bytes"], r["count"]) for r in units.groupBy("bytes").count().toLocalIterator()]
+    sizes = [(r["bytes"], r["count"]) for r in units.groupBy("bytes").count().collect()]
     _, runs = pack(sizes, shards)
     plan = pd.DataFrame(runs, columns=["bytes", "shard", "n"])
     plan["last"] = plan.groupby("bytes")["n"].cumsum()
     plan["first"] = plan["last"] - plan["n"]
-    plan = spark.createDataFrame(plan[["bytes", "shard", "first", "last"]])
-    placed = units.join(small(plan), "bytes").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("key", "piece", F.col("shard").cast("int").alias("shard"), "copies")
+    # Bounded by construction: a run for each of the bounded number of sizes, and one more for each shard that a size fills.
+    plan = F.broadcast(spark.createDataFrame(plan[["bytes", "shard", "first", "last"]]))
+    placed = units.join(plan, "bytes").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("key", "piece", F.col("shard").cast("int").alias("shard"), "copies")
     placed = materialize(placed)
 
     # At most a thousand units hold more than a thousandth of the rows each; their documents need no shuffle to find them.
