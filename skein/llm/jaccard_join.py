@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U64, lower, materialize, mix, run_hashes, runs, salted_join, small, text_bounds, text_slices
+from .common import U64, lower, materialize, mix, run_hashes, runs, small, spread_join, text_bounds, text_slices
 
 BOUNDARIES = (9, 19, 29)
 #: What a list entry costs against an emitted subset: it is shuffled as well, and its list is scanned.

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,8 +57,43 @@ def test_mixing_frames(spark, docs, none):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and mixing.sample(none).count() == 0
     every = mixing.sample(docs, keep=1.0)
     assert every.count() == docs.count()
-    t = spark.createDataFrame([("licensed @ me | you", "contact"), ("a licens copyright @", "licensing"), (None, "prose"), ("x | y", "tabular")], "t string, want string")
-    assert all(r.want == r.got for r in t.select("want", mixing.topic_of(F.col("t")).alias("got")).collect() if r.want != "contact")
+    odd = docs.withColumn("__draw", F.lit("x")).withColumn("__TEXT", F.lit(1)).withColumn("__source", F.lit(None).cast("string"))
+    assert mixing.sample(odd).columns == odd.columns and mixing.sample(odd).count() == kept.count()
+
+
+def plain_topic(t):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    hits = [sum(w in ws.split() for w in words) for ws in mixing.TOPICS.values()]
+    return list(mixing.TOPICS)[hits.index(max(hits))] if max(hits) else "general"
+
+
+def test_topics_equal_a_scalar_version():
+    rng = random.Random(4)
+    vocab = [w for ws in mixing.TOPICS.values() for w in ws.split()] + ["the", "Ünd", "x1", "liga,", "LICENSE", "río.", "(tier)"]
+    texts = ["", "  ", "liga", None, "contrato-ley"] + [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    raw = [(t or "").encode() for t in texts]
+    got, tokens = mixing.Lexicon(mixing.TOPICS).measure(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert got == [plain_topic(t) for t in texts] and tokens.tolist() == [len((t or "").split()) for t in texts]
+    assert len(mixing.TOPICS) > 4 and len(set(got)) > 10
+
+
+def test_raking_ends_when_the_targets_are_met():
+    for seed in range(5):
+        c = cells(400, seed)
+        m = mixing.marginals(c, mixing.rake(c))
+        assert np.allclose(m["weighted"], m["target"], rtol=1e-9) and set(m["dimension"]) == set(mixing.DIMENSIONS)
+    apart = pd.DataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], columns=["source", "lang", "topic", "tokens"])
+    m = mixing.marginals(apart, mixing.rake(apart, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}), {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+    assert (m["weighted"] / m["target"] - 1).abs().max() > 0.5  # out of reach, and reported
+
+
+def test_a_hot_source_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    from skein.functions import shared
+
+    want = sorted(r.doc_id for r in mixing.sample(docs).where("doc_id is not null").collect())
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    assert sorted(r.doc_id for r in mixing.sample(docs).where("doc_id is not null").collect()) == want
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -93,6 +129,24 @@ def test_best_fit_equals_one_by_one(seed):
     assert got == plain_best_fit(sizes, 60)
 
 
+def test_sizes_are_rounded_up_to_leading_bits(spark):
+    sizes = [1, 16, 2047, 2048, 2049, 2051, 4095, 4097, 10**6, 10**9 + 7, 2**40 + 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(sharding.rounded(F.col("x"))).collect()]
+    for x, y in zip(sizes, got):
+        unit = 1 << max(0, x.bit_length() - sharding.SIGNIFICANT)
+        assert y == -(-x // unit) * unit and x <= y < x * (1 + 2**-10) + 1
+
+
+def test_packing_is_quick_for_any_corpus():
+    import time
+
+    sizes = [(k << e, 1 + (k * 7919) % 50) for e in range(24) for k in range(1024, 2048)]
+    began = time.thread_time()
+    capacity, runs = sharding.pack(sizes, 40)
+    assert time.thread_time() - began < 60 and sum(n for _, _, n in runs) == sum(n for _, n in sizes)
+    assert capacity <= 1.001 * max(sum(s * n for s, n in sizes) / 40, max(s for s, _ in sizes)) + 1
+
+
 def test_treap():
     t, held, rng = sharding.Treap(), [], random.Random(0)
     for _ in range(2000):
