@@ -59,6 +59,8 @@ def _bytes(c: Column, kind: T.DataType) -> Column:
             out = out + _bytes(c[f.name], f.dataType)
         return out
     if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.lit(8) * F.greatest(F.size(c), F.lit(1)).cast("long")
         return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(8))
     if isinstance(kind, T.MapType):
         return _bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + _bytes(F.map_values(c), T.ArrayType(kind.valueType))
@@ -81,18 +83,18 @@ def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> Da
     return F.broadcast(df) if is_small(df, rows, most) else df
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], how: str = "inner", hot: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], how: str = "inner", hot: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with lookup, where a key may hold a third of all rows.
 
     A lookup measured to be small is broadcast. Else the keys with more than `hot` rows are counted out (there are at most
     count(rows) / hot of them); only their lookup rows are repeated, once for each task that their rows are spread over.
-    Rows with a null key match nothing.
+    Rows with a null key match nothing. counted: a cheaper table with as many rows of each key, if the lookup is known to be large.
     """
-    hinted = small(lookup)
+    hinted = small(lookup) if counted is None else lookup
     if hinted is not lookup:
         return rows.join(hinted, keys, how)
     hot = HOT_ROWS if hot is None else hot
-    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__salts")))
+    counts = materialize((rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__salts")))
     if counts.isEmpty():
         return rows.join(lookup, keys, how)
     counts = small(counts)
