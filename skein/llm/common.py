@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.shared import is_small, materialize, small, spread_join  # noqa: F401, what the operators take from here
 
+#: A filter takes at most so many bits (64 MB), 16 for each member below that.
+FILTER_BITS = 1 << 29
+
 #: Texts are handled in slices of about so many bytes, so numpy's temporaries stay small. A longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -117,3 +121,73 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Members told by two 64-bit hashes: sorted exactly if they are few, else a bit array of bounded size with some false positives.
+#: (bits or None, h, g): plain arrays, so that workers need no class of this package.
+Filter = tuple
+
+
+def passes(level: Filter, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    bits, known_h, known_g = level
+    h, g = h.view(U64), g.view(U64)
+    if bits is None:
+        lo, hi, out = np.searchsorted(known_h, h, "left"), np.searchsorted(known_h, h, "right"), np.zeros(len(h), bool)
+        while (open_ := np.flatnonzero((lo < hi) & ~out)).size:
+            out[open_] = known_g[lo[open_]] == g[open_]
+            lo[open_] += 1
+        return out
+    out, mask = np.ones(len(h), bool), U64(len(bits) * 64 - 1)
+    for x in (h, h >> U64(32), g, g >> U64(32)):
+        at = x & mask
+        out &= (bits[at >> U64(6)] >> (at & U64(63)) & U64(1)).astype(bool)
+    return out
+
+
+def filter_of(members: DataFrame) -> tuple[Filter, bool]:
+    """A filter of the rows (h, g) of a table, and whether it's exact. The bits are made where the rows are; the driver joins words of them."""
+    if is_small(members):
+        rows = members.toPandas()
+        h, g = rows["h"].to_numpy(np.int64).view(U64), rows["g"].to_numpy(np.int64).view(U64)
+        order = np.lexsort((g, h))
+        return (None, h[order], g[order]), True
+    size = min(FILTER_BITS, max(1 << 13, 1 << (16 * members.count()).bit_length()))
+    at = F.explode(F.array("h", F.shiftrightunsigned("h", 32), "g", F.shiftrightunsigned("g", 32)))
+    places = members.select(at.alias("x")).select(F.col("x").bitwiseAND(F.lit(size - 1)).alias("x"))
+    words = places.groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(size // 64, U64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
+    return (bits, None, None), False
+
+
+def belongs(levels: list[Filter], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Membership by a cascade of filters, each of the false positives of the one before."""
+    out, open_ = np.zeros(len(h), bool), np.arange(len(h))
+    for k, level in enumerate(levels):
+        open_ = open_[passes(level, h[open_], g[open_])]
+        out[open_] = k % 2 == 0
+    return out
+
+
+def cascade_of(inside: DataFrame, outside: DataFrame) -> list[Filter] | None:
+    """Filters for belongs() that are exact for all rows (h, g) of both tables, so that no row need be moved; None if there are too many for filters."""
+    levels = []
+    while True:
+        level, exact = filter_of(inside)
+        levels.append(level)
+        if exact:
+            return levels
+        if 8 * inside.count() > FILTER_BITS:
+            return None
+        inside, outside = materialize(outside.where(is_in([level], F.col("h"), F.col("g")))), inside
+
+
+def is_in(levels: list[Filter], h: Column, g: Column) -> Column:
+    """Whether rows belong to the members of a cascade, by their hashes; only these go to Python."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(levels)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(belongs(shared.value, h.to_numpy(np.int64), g.to_numpy(np.int64)))
+
+    return test(h, g)

@@ -11,9 +11,12 @@ A document's set is its distinct word shingles. Documents with equal sets form o
   SPARE empty blocks also list those, so no pair is lost.
 * The boundary is the one of least cost under the measured sizes of the sets: emitted subsets against list entries.
 
-Hot lists are cut into chunks that meet in separate tasks. Candidates are compared exactly; components are found by
-alternating large-star and small-star steps. Null and empty texts have no set and no link. A repeated row counts as
-another document. Columns other than the id and the text aren't read, so they may have any name.
+Only keys that two classes share matter; they are found by an aggregate that combines before the shuffle, and the lists of
+the others are dropped where they were made. Hot lists are cut into chunks that meet in separate tasks. Candidates are
+compared exactly; components are found by alternating large-star and small-star steps, whose hubs are spread over tasks.
+No text is shuffled: which documents to read again, and which to drop, is told by broadcast filters of bounded size.
+Null and empty texts have no set and no link. A repeated row counts as another document. Columns other than the id and the
+text aren't read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lower, materialize, mix, run_hashes, runs, small, spread_join, text_bounds, text_slices
+from .common import U64, cascade_of, filter_of, fresh, is_in, is_small, lower, materialize, mix, passes, run_hashes, runs, spread_join, text_bounds, text_slices
 
-BOUNDARIES = (9, 19, 29)
+#: Up to 9 one subset is emitted, up to 19 subsets lack one element, up to 29 two, up to 39 three.
+BOUNDARIES = (5, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 34, 39)
 #: What a list entry costs against an emitted subset: it is shuffled as well, and its list is scanned.
 ENTRY_COST = 4.0
 BAND_RATIO = 1.3
@@ -189,14 +193,35 @@ def _emit(t: int, width: int, boundary: int):
 
 def _sets(width: int):
     def run(batches):
+        seen: set = set()
         for batch in batches:
             for _, _, buf, off in text_slices(batch.column(0)):
-                us = shingle_sets(buf, off, width)
-                sig = [signature(u) for u in us]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), pa.array([u.view(np.int64) for u in us], pa.list_(pa.int64()))],
-                    names=["s1", "s2", "u"],
-                )
+                rows = []
+                for u in shingle_sets(buf, off, width):
+                    sig = signature(u)
+                    if len(u) and sig not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(sig)
+                        rows.append((*sig, u.view(np.int64)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["s1", "s2", "u"])
+
+    return run
+
+
+def _entries_of(shared):
+    """Rows (k, s1, s2, n) of the listed keys that pass a broadcast filter."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            k = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            keep = passes(shared.value, k, k)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), *(batch.column(i).take(at) for i in range(3))], names=["k", "s1", "s2", "n"])
 
     return run
 
@@ -205,17 +230,18 @@ def _sid(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}s1").alias("s1"), F.col(f"{prefix}s2").alias("s2"))
 
 
-def candidate_pairs(entries: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes that share a key, over rows (k, s1, s2, n); sizes must be within the threshold already held by n_min."""
-    from pyspark.sql import Window
+def shared_entries(listed: DataFrame) -> DataFrame:
+    """Distinct rows (k, s1, s2, n) of the keys that at least two classes list (and some more keys if these are many). listed: s1, s2, n, keys."""
+    keys = listed.select(F.explode("keys").alias("k"), "s1").groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi")
+    shared, _ = filter_of(materialize(keys.select(F.col("k").alias("h"), F.col("k").alias("g"))))
+    found = listed.sparkSession.sparkContext.broadcast(shared)
+    return materialize(listed.select("s1", "s2", "n", "keys").mapInArrow(_entries_of(found), "k long, s1 long, s2 long, n long").distinct())
 
-    w = Window.partitionBy("k")
-    shared = (
-        entries.withColumn("lo", F.min(_sid()).over(w)).withColumn("hi", F.max(_sid()).over(w)).where(F.col("lo") != F.col("hi"))
-    )
-    shared = materialize(shared.select("k", "s1", "s2", "n").distinct())
-    chunks = shared.groupBy("k").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("c"))
-    cut = shared.join(chunks, "k")
+
+def candidate_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs a < b of classes that share a key, with their sizes, over distinct rows (k, s1, s2, n). A key may belong to a third of all classes."""
+    many = entries.groupBy("k").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("c")).where("c > 1")
+    cut = spread_join(entries, materialize(many), ["k"], ["s1", "s2"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
     left = cut.select("k", F.pmod(F.xxhash64("s1", "s2"), F.col("c")).cast("int").alias("chunk"), _sid().alias("a"), F.col("n").alias("na"))
     right = cut.select("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), _sid().alias("b"), F.col("n").alias("nb"))
     return left.join(right, ["k", "chunk"]).where(F.col("a") < F.col("b"))
@@ -232,21 +258,22 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     of = ids.join(hubs, "id", "left").select("id", F.coalesce("hub", "id").alias("hub"))
     core = sets.select(F.col("id").alias("hub"), F.col("u").alias("h"))
+    of = materialize(of)
     diff = (
-        sets.join(of, "id")
-        .join(core, "hub")
+        spread_join(sets.join(of, "id"), core, ["hub"], ["id"], counted=of)
         .select("id", "hub", F.array_except("h", "u").alias("r"), F.array_except("u", "h").alias("d"), F.size("u").cast("long").alias("n"), F.size("h").cast("long").alias("hn"))
     )
     diff = materialize(diff)
     side = lambda x: diff.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("hub", "r", "d", "n", "hn")])
     reach = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * t
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], counted=pairs), side("b"), ["b"], ["a"], counted=pairs)
     same = both.where(F.col("hub_a") == F.col("hub_b")).withColumn(
         "both", F.col("hn_a") - F.size(F.array_union("r_a", "r_b")).cast("long") + F.size(F.array_intersect("d_a", "d_b")).cast("long")
     )
-    apart = pairs.join(of.withColumnRenamed("id", "a"), "a").join(of.select(F.col("id").alias("b"), F.col("hub").alias("hub_b")), "b").where(F.col("hub") != F.col("hub_b")).select("a", "b")
+    apart = spread_join(spread_join(pairs, of.withColumnRenamed("id", "a"), ["a"], ["b"]), of.select(F.col("id").alias("b"), F.col("hub").alias("hub_b")), ["b"], ["a"])
+    apart = materialize(apart.where(F.col("hub") != F.col("hub_b")).select("a", "b"))
     whole = lambda x: sets.select(F.col("id").alias(x), F.col("u").alias(f"u_{x}"), F.size("u").cast("long").alias(f"n_{x}"))
-    other = apart.join(whole("a"), "a").join(whole("b"), "b").withColumn("both", F.size(F.array_intersect("u_a", "u_b")).cast("long"))
+    other = spread_join(spread_join(apart, whole("a"), ["a"], ["b"], counted=apart), whole("b"), ["b"], ["a"], counted=apart).withColumn("both", F.size(F.array_intersect("u_a", "u_b")).cast("long"))
     return same.where(reach).select("a", "b").unionByName(other.where(reach).select("a", "b"))
 
 
@@ -262,9 +289,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = spread_join(both, least, ["a"], ["b"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(low, "a")
+        near = spread_join(large, low, ["a"], ["b"])
         step = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         e = materialize(step)
         now = mark(e)
@@ -274,8 +301,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-
-
 def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, s1, s2, further columns of src) and the classes that have a link or copies: (s1, s2, n_similar, component, root).
 
@@ -287,14 +312,19 @@ def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -
     listed = materialize(src.mapInArrow(_emit(threshold, width, boundary), ", ".join(["doc_id long, n long, s1 long, s2 long, keys array<long>", *(f"{c.name} {c.dataType.simpleString()}" for c in more)])))
     rows = listed.drop("keys")
     classes = materialize(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    entries = listed.where("keys is not null").select(F.explode("keys").alias("k"), "s1", "s2", "n")
     within = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    pairs = materialize(candidate_pairs(entries).where(within).select("a", "b").distinct())
+    pairs = materialize(candidate_pairs(shared_entries(listed.where("keys is not null"))).where(within).select("a", "b").distinct())
 
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select("a.s1", "a.s2")
-    reps = materialize(classes.join(wanted, ["s1", "s2"]).select(F.col("rep"), "s1", "s2"))
-    ids = small(reps.select("rep").distinct(), BROADCAST_ROWS)
-    texts = src.join(ids, src["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+    ids = materialize(classes.join(wanted, ["s1", "s2"]).select("rep").distinct())
+    if is_small(ids):
+        ids = F.broadcast(ids)
+        texts = src.join(ids, src["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+    else:
+        # Documents that the filter lets pass by mistake only give sets that no pair names.
+        marks = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
+        chosen, _ = filter_of(ids.select(*(m.alias(n) for m, n in zip(marks(F.col("rep")), "hg"))))
+        texts = src.where(is_in([chosen], *marks(F.col("doc_id")))).select("text")
     sets = materialize(texts.mapInArrow(_sets(width), "s1 long, s2 long, u array<long>").dropDuplicates(["s1", "s2"]))
     links = materialize(verified(pairs, sets.select(_sid().alias("id"), "u"), threshold))
 
@@ -304,7 +334,7 @@ def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -
     tree = components(links)
     named = classes.select(_sid().alias("node"), "rep", "copies").join(tree, "node")
     best = named.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = named.join(best, "root").join(near.withColumnRenamed("a", "node"), "node").select("node.s1", "node.s2", "least", "near", "root")
+    linked = spread_join(named, best, ["root"], ["node"]).join(near.withColumnRenamed("a", "node"), "node").select("node.s1", "node.s2", "least", "near", "root")
     known = classes.join(linked, ["s1", "s2"], "left").where("copies > 1 or least is not null")
     known = known.select("s1", "s2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("least", "rep").alias("component"), F.coalesce("root", _sid()).alias("root"))
     return rows, known
@@ -318,7 +348,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows, known = _classes(src, threshold, width, boundary)
     # A class of copies may hold a third of all rows.
-    return salted_join(rows, materialize(known.drop("root")), ["s1", "s2"], ["doc_id"]).select(
+    return spread_join(rows, materialize(known.drop("root")), ["s1", "s2"], ["doc_id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
@@ -330,23 +360,34 @@ def keep_one(docs: DataFrame, threshold: int = 90) -> DataFrame:
     have no links and stay.
     """
     # The literal comes first: a hash seeds that of the next column, so behind it there would be no new bits.
-    marks = lambda d: d.select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__t1"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("__t2"))
-    src = marks(docs).select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    src = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     rows, known = _classes(src, threshold, 5, None)
     known = materialize(known.select("s1", "s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2")))
     # A class of copies may hold a third of all rows; rows of one id and text are counted first.
-    linked = materialize(salted_join(rows, known, ["s1", "s2"], ["doc_id", "t1"]).where("r1 is not null").groupBy("r1", "r2", "doc_id", "t1", "t2").agg(F.count("*").alias("copies")))
+    linked = materialize(spread_join(rows, known, ["s1", "s2"], ["doc_id", "t1"]).groupBy("r1", "r2", "doc_id", "t1", "t2").agg(F.count("*").alias("copies")))
     first = linked.groupBy("r1", "r2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
-    decided = materialize(salted_join(linked, first, ["r1", "r2"], ["doc_id", "t1"]).select("doc_id", "t1", "t2", "copies", stays.alias("stays")))
-    gone = small(decided.where("not stays").select("doc_id", "t1", "t2"), BROADCAST_ROWS)
-    twice = small(decided.where("stays and copies > 1").select("doc_id", "t1", "t2"), BROADCAST_ROWS)
-    at = lambda d, x: d["__id"].eqNullSafe(x["doc_id"]) & (d["__t1"] == x["t1"]) & (d["__t2"] == x["t2"])
-    marked = marks(docs)
-    kept = marked.join(gone, at(marked, gone), "left_anti")
-    once = kept.join(twice, at(kept, twice), "left_anti")
-    again = kept.join(twice, at(kept, twice), "left_semi").dropDuplicates(["__id", "__t1", "__t2"])
-    return once.unionByName(again).drop("__id", "__t1", "__t2")
+    decided = spread_join(linked, first, ["r1", "r2"], ["doc_id", "t1"]).select("doc_id", "t1", "t2", "copies", stays.alias("stays"))
+    marks = lambda: [F.xxhash64("doc_id", "t1").alias("h"), F.xxhash64(F.lit(2), F.col("doc_id"), F.col("t2")).alias("g")]
+    decided = materialize(decided.select(*marks(), "copies", "stays"))
+    gone, twice = decided.where("not stays").select("h", "g"), decided.where("stays and copies > 1").select("h", "g")
+
+    h, g = fresh(docs, "__h"), fresh(docs, "__g")
+    marked = docs.select("*", F.xxhash64(id_, F.xxhash64(text)).alias(h), F.xxhash64(F.lit(2), id_, F.xxhash64(F.lit(1), text)).alias(g))
+    dropped = cascade_of(gone, rows.select(*marks()).join(gone, ["h", "g"], "left_anti"))
+    if dropped is not None:
+        kept = marked.where(~is_in(dropped, F.col(h), F.col(g)))
+    else:
+        far = gone.select(F.col("h").alias(h), F.col("g").alias(g))
+        kept = marked.join(far, [h, g], "left_anti")
+    if twice.isEmpty():
+        return kept.drop(h, g)
+    # One of rows with the same id and text: only these are shuffled.
+    again, _ = filter_of(twice)
+    kept = kept.withColumn(fresh(kept, "__again"), is_in([again], F.col(h), F.col(g)))
+    flag = kept.columns[-1]
+    return kept.where(~F.col(flag)).unionByName(kept.where(F.col(flag)).dropDuplicates([h, g])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,62 @@ def test_linked_sets_always_share_a_key(boundary):
 
 def test_cost_prefers_lists_for_large_sets():
     assert min(j.BOUNDARIES, key=lambda b: j.cost({25: 10**6}, b, 90)) < 29
-    assert min(j.BOUNDARIES, key=lambda b: j.cost({12: 10**6}, b, 90)) >= 19
+    assert min(j.BOUNDARIES, key=lambda b: j.cost({12: 10**6}, b, 90)) >= 12
+    assert len({min(j.BOUNDARIES, key=lambda b: j.cost({n: 10**6, 2 * n: 10**5}, b, 90)) for n in range(3, 40)}) > 3
+
+
+def shuffled(df):
+    """The columns that the exchanges of a plan move."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return set(re.findall(r"(\w+)#", " ".join(re.findall(r"\n\(\d+\) Exchange *\nInput \[\d+\]: \[(.*?)\]\n", plan))))
+
+
+def test_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    """Nothing fits a broadcast, every key is hot, lists are cut: the same links and rows, and no text moves."""
+    from skein.functions import shared
+
+    seen, real = [], shared.materialize
+    docs = real(docs.select("doc_id", "text"))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(j, "CHUNK", 4)
+    monkeypatch.setattr(j, "materialize", lambda df: seen.append(shuffled(df)) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        want = brute(rows, 90)
+        assert sorted(map(tuple, j.jaccard_join(docs, boundary=19).collect()), key=str) == want
+        assert any("k" in c for c in seen) and any("u" in c for c in seen) and not any("text" in c for c in seen)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cascade_is_exact_and_moves_no_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from skein.functions import shared
+    from skein.llm import common
+
+    d = spark.range(60_000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.lit(1), F.col("id")).alias("g"), (F.col("id") % 5 == 0).alias("in"))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 17)
+    levels = common.cascade_of(d.where("in").select("h", "g"), d.where("not in").select("h", "g"))
+    assert len(levels) > 2 and levels[0][0] is not None and levels[-1][0] is None
+    marked = d.withColumn("got", common.is_in(levels, F.col("h"), F.col("g")))
+    assert marked.where("got != in").count() == 0 and not shuffled(marked)
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 13)
+    assert common.cascade_of(d.where("in").select("h", "g"), d.where("not in").select("h", "g")) is None
+
+
+def test_keep_one_with_filters(spark, docs, monkeypatch):
+    from skein.functions import shared
+
+    odd = docs.withColumn("__h", docs["n"]).withColumn("__G", docs["n"]).withColumn("__again", docs["n"])
+    want = sorted(((r.doc_id, r.text) for r in j.keep_one(docs).collect()), key=str)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 2)
+    for filters in (j.cascade_of, lambda a, b: None):
+        monkeypatch.setattr(j, "cascade_of", filters)
+        kept = j.keep_one(odd)
+        assert kept.columns == odd.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
 
 
 def test_components_of_a_chain(spark):
