@@ -4,11 +4,13 @@ Index. Each benchmark item is a document of the index; an impact is its BM25 ter
 divided by the item's own total, so a score of 1 means that a passage holds every distinct word of the item and one
 threshold serves items of any length. Postings are ordered by item number in blocks that keep their largest impact.
 
-Search. Every text is cut into windows that overlap by at least the longest item, so any item that a text holds lies whole in
-one. A window is a query; all items whose score reaches the threshold are retrieved, none is ruled out by a top-k. Items
-are numbered by length and cut into at most GROUPS ranges; block maxima per term and range settle most windows in one
-numpy step: an item's most common words, up to COMMON of its weight, are set aside as if present, and the largest impacts
-of the window's other distinct words must add up to the rest. Ranges that remain are searched by block-max WAND, whose
+Search. Items are classed by length, in powers of two: those of up to L words are looked for in windows of 2 L words that
+start every L words, so an item that a text holds lies whole in one, and its own length alone decides where it is looked
+for: no result depends on what else is in the benchmark, but for the statistics of words. A window is a query; all
+items of its class whose score reaches the threshold are retrieved, none is ruled out by a top-k. The items of a class are cut
+into ranges, at most GROUPS for each; block maxima per term and range settle most texts, and then most windows, in one numpy
+step: an item's most common words, up to COMMON of its weight, are set aside as if present, and the largest impacts
+of the other distinct words must add up to the rest. Ranges that remain are searched by block-max WAND, whose
 pivots skip items and blocks that can't reach the threshold.
 
 Verification. The last sentence of an item is its answer, the words before it the question (an item of one sentence is
@@ -16,8 +18,9 @@ cut at two thirds). Of both, the share of word trigrams that the window holds mu
 
 Words are runs of ASCII letters, digits and bytes from 128 up, in lower case, without general punctuation (U+2000 to
 U+206F). Null and empty texts match nothing. Null, empty and wordless items are never found; equal items are each found.
-Repeated rows repeat their result. An empty benchmark gives an empty result. The benchmark is read in blocks of
-ITEM_BLOCK items, so that what is broadcast is bounded, with statistics counted over all items.
+Repeated rows repeat their result. An empty benchmark gives an empty result. The benchmark is handled in blocks of about
+ITEM_BLOCK items and WORD_BLOCK words at most (a longer item is a block of its own), so that what is broadcast is bounded,
+with statistics counted over all items; every block takes one pass over the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, run_hashes, runs, text_bounds, text_slices
+from .common import U64, fresh, materialize, mix, run_hashes, runs, text_bounds, text_slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -40,6 +43,8 @@ COMMON = 0.3
 GROUPS = 32
 POSTINGS_BLOCK = 16
 ITEM_BLOCK = 20_000
+#: 16 bytes for each posting and its verification: about 64 MB.
+WORD_BLOCK = 2_000_000
 
 _FOLD = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -97,7 +102,6 @@ class Index:
         kept = [(i, *split_item(t or "")) for i, t in zip(ids, texts)]
         kept = sorted((k for k in kept if len(k[1])), key=lambda k: len(k[1]))
         self.ids = [k[0] for k in kept]
-        self.longest = max((len(k[1]) for k in kept), default=1)
         self.question = [grams(k[2]) for k in kept]
         self.answer = [grams(k[3]) for k in kept]
         rows, essential = [], []
@@ -119,11 +123,18 @@ class Index:
         self.terms, first = np.unique(term, return_index=True)
         self.first = np.append(first, len(term))
         rest = np.concatenate(essential)[order] if essential else np.zeros(0)
-        groups = min(GROUPS, max(1, len(kept)))
-        self.group_of = np.arange(len(kept)) * groups // max(1, len(kept))
+        #: Length classes: (words of the longest item that belongs, first range, end of ranges); ranges never mix classes.
+        self.classes, parts, groups = [], [], 0
+        size = np.array([max(8, 1 << (len(k[1]) - 1).bit_length()) for k in kept], np.int64)
+        for longest, count in zip(*np.unique(size, return_counts=True)):
+            own = min(GROUPS, int(count))
+            parts.append(groups + np.arange(count) * own // count)
+            self.classes.append((int(longest), groups, groups + own))
+            groups += own
+        self.group_of = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         #: Largest impact of a term within a range of items: of all words, and without those set aside as common.
-        self.top = np.zeros((len(self.terms) + 1, groups), np.float32)
-        self.bound = np.zeros((len(self.terms) + 1, groups), np.float32)
+        self.top = np.zeros((len(self.terms) + 1, max(1, groups)), np.float32)
+        self.bound = np.zeros((len(self.terms) + 1, max(1, groups)), np.float32)
         slot = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
         np.maximum.at(self.top, (slot, self.group_of[self.item]), self.impact)
         np.maximum.at(self.bound, (slot, self.group_of[self.item]), rest)
@@ -207,12 +218,6 @@ def term_ids(h: np.ndarray, index: Index) -> np.ndarray:
     return np.where(index.terms[at] == h, at, -1)
 
 
-def window_starts(n: int, longest: int) -> tuple[np.ndarray, int]:
-    """Starts of the windows of a text of n words, and their length: every run of `longest` words lies in one of them."""
-    width, step = 2 * longest, longest
-    return np.arange(0, max(1, n - longest + 1), step), width
-
-
 def match_text(h: np.ndarray, index: Index, min_overlap: float, ids: np.ndarray | None = None) -> dict[int, tuple[float, float, float, int]]:
     """item number -> best (score, question overlap, answer overlap, first word of the window) of the verified matches of a text's words."""
     found: dict[int, tuple[float, float, float, int]] = {}
@@ -221,21 +226,32 @@ def match_text(h: np.ndarray, index: Index, min_overlap: float, ids: np.ndarray
         return found
     if ids is None:
         ids = term_ids(h, index)
-    starts, width = window_starts(n, index.longest)
     least = index.threshold - COMMON - 1e-5
-    for s in starts.tolist():
-        terms = np.unique(ids[s : s + width])
-        terms = terms[1:] if terms[0] < 0 else terms
-        live = np.flatnonzero(index.bound[terms].sum(axis=0) >= least)
-        hits = [x for group in live.tolist() for x in index.search(terms, group)]
-        if hits:
-            g = grams(h[s : s + width])
-            for item, score in hits:
-                q, a = index.question[item], index.answer[item]
-                qo = float(np.isin(q, _with_short(g, q, h[s : s + width])).mean()) if len(q) else 1.0
-                ao = float(np.isin(a, _with_short(g, a, h[s : s + width])).mean()) if len(a) else 1.0
-                if qo >= min_overlap and ao >= min_overlap and (item not in found or (score, qo, ao) > found[item][:3]):
-                    found[item] = (score, qo, ao, s)
+    known = np.flatnonzero(ids >= 0)
+    if not len(known):
+        return found
+    # A window can't reach what the whole text doesn't.
+    whole = index.bound[np.unique(ids[known])].sum(axis=0) >= least
+    for longest, first, end in index.classes:
+        live = first + np.flatnonzero(whole[first:end])
+        if not len(live):
+            continue
+        for s in range(0, max(1, n - longest + 1), longest):
+            a, b = np.searchsorted(known, (s, s + 2 * longest))
+            if a == b:
+                continue
+            terms = np.unique(ids[known[a:b]])
+            some = live[index.bound[terms[:, None], live].sum(axis=0) >= least] if len(live) < 8 else live[index.bound[terms][:, live].sum(axis=0) >= least]
+            hits = [x for group in some.tolist() for x in index.search(terms, group)]
+            if hits:
+                words = h[s : s + 2 * longest]
+                g = grams(words)
+                for item, score in hits:
+                    q, a_ = index.question[item], index.answer[item]
+                    qo = float(np.isin(q, _with_short(g, q, words)).mean()) if len(q) else 1.0
+                    ao = float(np.isin(a_, _with_short(g, a_, words)).mean()) if len(a_) else 1.0
+                    if qo >= min_overlap and ao >= min_overlap and (item not in found or (score, qo, ao) > found[item][:3]):
+                        found[item] = (score, qo, ao, s)
     return found
 
 
@@ -245,31 +261,35 @@ def _with_short(g: np.ndarray, part: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def build(benchmark: DataFrame, threshold: float = THRESHOLD, item_id: str = "item_id", text: str = "text"):
-    """Yield indexes of at most ITEM_BLOCK items each, under statistics of all items."""
+    """Yield indexes of about ITEM_BLOCK items and WORD_BLOCK words at most, under statistics of all items."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         for batch in batches:
             terms, n = [], []
-            for _, _, buf, off in text_slices(batch.column(0)):
+            for _, _, buf, off in text_slices(batch.column(1)):
                 h, bound = words_of(buf, off)
                 for d in range(len(off) - 1):
                     w = h[bound[d] : bound[d + 1]]
                     terms.append(np.unique(w).view(np.int64))
                     n.append(len(w))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["terms", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["item_id", "text", "terms", "n"])
 
-    counted = items.select("text").mapInArrow(count, "terms array<long>, n long").where("n > 0")
-    head = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), F.count("*").alias("items")).first()
+    counted = items.select("item_id", "text").mapInArrow(count, "item_id long, text string, terms array<long>, n long").where("n > 0")
+    head = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), F.sum("n").alias("words")).first()
     if not head["total"]:
         return
+    blocks = max(-(-head["total"] // ITEM_BLOCK), -(-head["words"] // WORD_BLOCK))
+    if blocks > 1:
+        counted = materialize(counted.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
     df = counted.select(F.explode("terms").alias("t")).groupBy("t").count()
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    if blocks > 1:
+        df = materialize(df)
     for k in range(blocks):
-        rows = numbered.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        own = {int(t) for r in rows for t in words_of_text(r["text"])}
-        part = df.join(F.broadcast(df.sparkSession.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in own], "t long")), "t") if blocks > 1 and own else df
+        own = counted if blocks == 1 else counted.where(F.col("block") == k)
+        rows = own.select("item_id", "text").orderBy("item_id", "text").collect()
+        # One row for each distinct word of the block; which side is moved is left to the sizes that the plan knows.
+        part = df if blocks == 1 else own.select(F.explode("terms").alias("t")).distinct().join(df, "t")
         counts = {r["t"] & 0xFFFFFFFFFFFFFFFF: r["count"] for r in part.collect()}
         yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], head["total"], head["mean"], counts, threshold)
 
@@ -329,7 +349,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-        docs = docs.select("*", F.col("text").cast("string").alias("__words")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.col("text").cast("string").alias(fresh(docs, "__words"))).mapInArrow(run, docs.schema)
     return docs
 
 

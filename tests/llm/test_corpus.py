@@ -227,6 +227,59 @@ def test_search_finds_all_above_the_threshold():
             assert {int(ix.group_of[ix.ids.index(i)]) for i in want} <= live
 
 
+def plain_leaks(docs, items, threshold=0.6, overlap=0.6):
+    """(doc, item) by scoring every item against all windows of its own length class, one by one."""
+    split = {i: dec.split_item(t or "") for i, t in items}
+    split = {i: p for i, p in split.items() if len(p[0])}
+    words = {i: [int(x) for x in p[0]] for i, p in split.items()}
+    df = collections.Counter(x for w in words.values() for x in set(w))
+    stats = len(words), float(np.mean([len(w) for w in words.values()])), df
+    out = set()
+    for d, t in docs:
+        h = dec.words_of_text(t or "")
+        for i, w in words.items():
+            size = max(8, 1 << (len(w) - 1).bit_length())
+            for s in range(0, max(1, len(h) - size + 1), size):
+                part = h[s : s + 2 * size]
+                if len(part) and brute_scores({int(x) for x in part}, {i: w}, stats)[i] >= threshold - 1e-6:
+                    g = {tuple(part[k : k + n].tolist()) for n in (1, 2, 3) for k in range(len(part) - n + 1)}
+                    share = lambda x: np.mean([v in g for v in {tuple(x[k : k + min(3, len(x))].tolist()) for k in range(len(x) - min(3, len(x)) + 1)}]) if len(x) else 1.0
+                    if share(split[i][1]) >= overlap and share(split[i][2]) >= overlap:
+                        out.add((d, i))
+    return out
+
+
+def leaky(seed):
+    """Texts with whole items, halves of items, and questions far from their answers; items of 5 to 3,000 words."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(k, f"{say(n)}. {say(max(1, n // 3))}.") for k, n in enumerate([4, 6, 9, 14, 20, 30, 50, 90, 14, 20])]
+    docs = []
+    for k in range(40):
+        q, a, _ = rng.choice(items)[1].split(".")
+        gap = rng.choice([0, 0, 5, 40, 500])
+        docs.append((k, f"{say(rng.randrange(200))} {q if rng.random() < 0.8 else ''} {say(gap)} {a if rng.random() < 0.8 else ''} {say(rng.randrange(60))}"))
+    return docs, items, [(99, f"{say(2600)}. {say(400)}.")]
+
+
+def test_leaks_equal_a_search_of_every_window(spark, monkeypatch):
+    docs, items, more = leaky(3)
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    run = lambda own: {(r.doc_id, r.item_id): (r.first_word, r.question_overlap) for r in dec.find_leaks(frame(docs, "doc_id"), frame(own, "item_id")).collect()}
+    got = run(items)
+    assert set(got) == plain_leaks(docs, items) and len(got) > 5
+    # An unrelated long item changes the windows of no other; neither do blocks.
+    assert {k: v for k, v in run(items + more).items() if k[1] != 99} == got
+    monkeypatch.setattr(dec, "ITEM_BLOCK", 1)
+    assert run(items) == got
+    monkeypatch.setattr(dec, "ITEM_BLOCK", 100)
+    monkeypatch.setattr(dec, "WORD_BLOCK", 60)
+    assert run(items) == got
+    odd = frame(docs, "doc_id").selectExpr("*", "1 as __words", "2 as __WORDS_")
+    assert dec.clean(odd, frame(items, "item_id")).columns == odd.columns
+
+
 def test_leaks(spark, docs, none):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     filler = "lorem ipsum dolor sit amet " * 30
