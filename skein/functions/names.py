@@ -22,19 +22,23 @@ def name_matches(name: Column, pattern: str) -> Column:
     return {"suffix": low.endswith, "prefix": low.startswith, "contains": low.contains}[mode](needle)
 
 
+# Letters of any script with their marks, and digits.
+_HUMP, _CAPS, _REST = r"([\p{Ll}\p{N}])(\p{Lu})", r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"[^\p{L}\p{M}\p{N}]+"
+
+
 def tokens(name: Column) -> Column:
     """Lower-case pieces of camelCase, snake_case and paths, with repeats."""
-    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: t != "")
+    spaced = F.regexp_replace(F.regexp_replace(name, _HUMP, "$1 $2"), _CAPS, "$1 $2")
+    return F.filter(F.split(F.lower(spaced), _REST), lambda t: t != "")
 
 
 def tokens_sql(expr: str) -> str:
-    inner = rf"regexp_replace(regexp_replace({expr}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
-    return f"list_filter(regexp_split_to_array(lower({inner}), '[^a-z0-9]+'), lambda t: t <> '')"
+    inner = rf"regexp_replace(regexp_replace({expr}, '{_HUMP}', '\1 \2', 'g'), '{_CAPS}', '\1 \2', 'g')"
+    return f"list_filter(regexp_split_to_array(lower({inner}), '{_REST}'), lambda t: t <> '')"
 
 
 def python_tokens(text: str) -> list[str]:
-    import re
+    import regex
 
-    text = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", text))
-    return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
+    text = regex.sub(_CAPS, r"\1 \2", regex.sub(_HUMP, r"\1 \2", text))
+    return [t for t in regex.split(_REST, text.lower()) if t]

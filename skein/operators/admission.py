@@ -6,11 +6,14 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.paths import is_control
 from skein.functions.secrets import finding
+from skein.functions.shared import small
 
 
 @dataclass(frozen=True)
@@ -78,50 +81,60 @@ def compile_rules(sets: list[tuple[str, str | None, str]], fold: bool = False) -
     return rules
 
 
-def _last_match(path: Column, is_dir: Column, rules: list[Rule]) -> Column:
-    """The number of the last rule that matches, or -1."""
-    out = F.lit(-1)
-    for r in rules:
-        hit = path.rlike(r.regex) & (is_dir if r.only_dirs else F.lit(True))
-        out = F.when(hit, r.order).otherwise(out)
-    return out
+def _decider(rules: list[Rule]):
+    """Numbers of the deciding rules of paths: (last rule that matches the path, first ignored ancestor's rule), -1 for none.
+
+    Patterns are compiled once a task and looked at from the last on, so the first hit decides; what was found for a directory
+    is kept, since many paths share it. The plan doesn't grow with the rules.
+    """
+    texts = [(r.regex, r.only_dirs) for r in rules]
+    negated = [r.negated for r in rules]
+
+    def run(batches):
+        compiled = [(k, re.compile(x), d) for k, (x, d) in reversed(list(enumerate(texts)))]
+        known: dict[str, int] = {}
+
+        def last(p: str, is_dir: bool) -> int:
+            return next((k for k, x, d in compiled if (is_dir or not d) and x.search(p)), -1)
+
+        def above(p: str) -> int:
+            at = p.find("/")
+            while at >= 0:
+                directory = p[:at]
+                if directory not in known:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[directory] = last(directory, True) if directory else -1
+                if (k := known[directory]) >= 0 and not negated[k]:
+                    return k
+                at = p.find("/", at + 1)
+            return -1
+
+        for batch in batches:
+            names = batch.column(batch.num_columns - 2).to_pylist()
+            dirs = batch.column(batch.num_columns - 1).to_pylist()
+            own = [-1 if p is None else last(p, bool(d)) for p, d in zip(names, dirs)]
+            up = [-1 if p is None else above(p) for p in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(own, pa.int32()), pa.array(up, pa.int32())], names=[*batch.schema.names[:-2], "__own", "__above"])
+
+    return run
 
 
 def decide(paths: DataFrame, rules: list[Rule], path: str = "path", controls: tuple[str, ...] = ()) -> DataFrame:
     """paths (path, is_dir, tracked) with decision, reason, source, line, pattern.
 
     In order: version control's own paths are refused, tracked ones admitted, an ignored ancestor beats a later
-    re-inclusion of the child, then the last matching rule, else admitted.
+    re-inclusion of the child, then the last matching rule, else admitted. Rules may be thousands.
     """
     p = F.col(path)
-    parts = F.split(p, "/")
-    ancestors = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i < F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    own = _last_match(p, F.col("is_dir"), rules)
-    negated = F.array(*[F.lit(r.order) for r in rules if r.negated]) if any(r.negated for r in rules) else F.array().cast("array<int>")
-    above = F.filter(F.transform(ancestors, lambda a: _last_match(a, F.lit(True), rules)), lambda n: (n >= 0) & ~F.array_contains(negated, n))
-    out = paths.withColumn("__own", own).withColumn("__above", F.try_element_at(above, F.lit(1)))
-    ignored = (F.col("__own") >= 0) & ~F.array_contains(negated, F.col("__own"))
-    reason = (
-        F.when(is_control(p, controls), "control")
-        .when(F.col("tracked"), "tracked")
-        .when(F.col("__above").isNotNull(), "ignored ancestor")
-        .when(ignored, "rule")
-        .when(F.col("__own") >= 0, "rule")
-        .otherwise("default")
-    )
-    admitted = reason.isin("tracked", "default") | ((reason == "rule") & ~ignored)
-    rule = F.when(reason == "ignored ancestor", F.col("__above")).when(reason == "rule", F.col("__own"))
-
-    def named(get) -> Column:
-        c = F.lit(None)
-        for r in rules:
-            c = F.when(rule == r.order, get(r)).otherwise(c)
-        return c
-
-    return out.select(
-        *paths.columns, F.when(admitted, "admit").otherwise("refuse").alias("decision"), reason.alias("reason"),
-        named(lambda r: F.lit(r.source)).cast("string").alias("source"), named(lambda r: F.lit(r.line)).cast("int").alias("line"), named(lambda r: F.lit(r.pattern)).cast("string").alias("pattern"),
-    )
+    kind = T.StructType([*paths.schema.fields, T.StructField("__own", T.IntegerType()), T.StructField("__above", T.IntegerType())])
+    found = paths.select("*", p.cast("string").alias("__p"), F.col("is_dir").alias("__d")).mapInArrow(_decider(rules), kind)
+    named = paths.sparkSession.createDataFrame([(r.order, r.source, r.line, r.pattern, r.negated) for r in rules], "__rule int, source string, line int, pattern string, __negated boolean")
+    reason = F.when(is_control(p, controls), "control").when(F.col("tracked"), "tracked").when(F.col("__above") >= 0, "ignored ancestor").when(F.col("__own") >= 0, "rule").otherwise("default")
+    rule = F.when(reason == "ignored ancestor", F.col("__above")).when(reason == "rule", F.col("__own")).otherwise(-1)
+    out = found.withColumn("reason", reason).withColumn("__rule", rule).join(small(named), "__rule", "left")
+    admitted = F.col("reason").isin("tracked", "default") | ((F.col("reason") == "rule") & F.col("__negated"))
+    return out.select(*[F.col(f"`{c}`") for c in paths.columns], F.when(admitted, "admit").otherwise("refuse").alias("decision"), "reason", "source", "line", "pattern")
 
 
 def rule_set_problems(sets: list[dict]) -> list[str]:

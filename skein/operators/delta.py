@@ -121,6 +121,23 @@ def absent_from(base: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
     return more.join(base.select(key), key, "left_anti")
 
 
+def require_sorted_unique(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key) of rows, in their stated order, that don't rise above the key before them. Only neighbours are compared: ranges of the order are handed on by their last key."""
+    from pyspark.sql import Window
+
+    cut = rows.select(key, order).withColumn("__part", F.floor(F.col(order) / 100_000))
+    inside = cut.withColumn("__before", F.lag(key).over(Window.partitionBy("__part").orderBy(order)))
+    last = cut.groupBy("__part").agg(F.max_by(key, order).alias("__last"))
+    handed = last.select(F.lead("__part").over(Window.orderBy("__part")).alias("__part"), "__last").where("__part is not null")
+    both = inside.join(handed, "__part", "left").withColumn("__before", F.coalesce("__before", "__last"))
+    return both.where(F.col("__before").isNotNull() & (F.col("__before") >= F.col(key))).select(key)
+
+
+def total_changes(deltas: dict[str, DataFrame], left_out: tuple[str, ...] = ("outgoing", "incoming", "change_children", "entity_revisions")) -> int:
+    """Changes in the tables that a short total counts; a delta can be non-empty and yet have none of them."""
+    return sum(d.count() for k, d in deltas.items() if k not in left_out)
+
+
 def patch_setting(old: Column, new: Column) -> Column:
     return F.when(old.eqNullSafe(new), "unchanged").when(new.isNull(), "cleared").otherwise("set")
 

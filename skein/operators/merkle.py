@@ -5,14 +5,12 @@ Hashes are SHA-256 over bytes that this engine defines; they detect change, they
 
 from __future__ import annotations
 
-import struct
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.shared import materialize
+from skein.functions.shared import materialize, spread_join
 from skein.operators.traverse import reach
 
 
@@ -29,7 +27,8 @@ def metadata_part(metadata: Column) -> Column:
 @F.pandas_udf(T.BinaryType())
 def float_bytes(x: pd.Series) -> pd.Series:
     """Four little-endian bytes of a float; Spark can't cast one to binary."""
-    return x.map(lambda v: struct.pack("<f", v))
+    raw = x.to_numpy("<f4").tobytes()
+    return pd.Series([raw[i : i + 4] for i in range(0, len(raw), 4)], index=x.index, dtype=object)
 
 
 def relation_hash(kind: str = "kind", src: str = "src", dst: str = "dst", confidence: str = "confidence", origin: str = "origin") -> Column:
@@ -92,7 +91,7 @@ def subgraph_hashes(entities: DataFrame, relations: DataFrame, depth: int) -> Da
     """
     state = materialize(entities.select("id", "hash"))
     for _ in range(depth):
-        below = relations.select("src", "kind", "dst").join(state.select(F.col("id").alias("dst"), F.col("hash").alias("h")), "dst", "left")
+        below = spread_join(relations.select("src", "kind", "dst"), state.select(F.col("id").alias("dst"), F.col("hash").alias("h")), ["dst"], ["src", "kind"], "left")
         part = below.select(F.col("src").alias("id"), F.sha2(F.concat_ws("|", F.lit("edge"), "kind", F.coalesce("h", node_hash(F.lit("absent"), F.col("dst").cast("string")))).cast("binary"), 256).alias("e"))
         lists = group_digest(part, "id", "e").withColumnRenamed("digest", "all")
         state = materialize(entities.select("id", F.col("hash").alias("own")).join(lists, "id", "left").select("id", F.sha2(F.concat(F.lit("subgraph-v1:"), "own", F.coalesce("all", F.lit(""))).cast("binary"), 256).alias("hash")))

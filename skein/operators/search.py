@@ -2,6 +2,7 @@
 
 Score = sum over query tokens of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), with
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf the sum of field weights over the token's places, length the number of tokens.
+A token that only holds the query's token as a part counts with PART of its weight, so `adrea` finds QuadReader's parts too.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from skein.functions.names import python_tokens, tokens
 from skein.functions.shared import materialize
 
 K1, B = 1.2, 0.75
+PART = 0.25
 
 
 def with_fields(docs: DataFrame, fields: Column, key: str = "id") -> DataFrame:
@@ -34,17 +36,26 @@ def _idf(n: float, df: float) -> Column:
     return F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def search_postings(post: DataFrame, lengths: DataFrame, query: str, limit: int | None = None, key: str = "id", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score), best first with ties by key. lengths: (key, length) of all documents. The token filter is pushed into the scan of the postings."""
+def query_hits(post: DataFrame, query: str, key: str = "id", part: float = PART) -> DataFrame:
+    """(key, length, t, tf): for every document and query token the weight of its places, whole tokens and parts of tokens."""
     want = sorted(set(python_tokens(query)))
+    if part:
+        each = F.filter(F.array(*[F.when(F.col("token").contains(t), F.struct(F.lit(t).alias("t"), F.when(F.col("token") == t, 1.0).otherwise(part).alias("w"))) for t in want]), lambda x: x.isNotNull()) if want else F.array().cast("array<struct<t:string,w:double>>")
+        found = post.select(key, "length", "tf", F.explode(each).alias("x"))
+        return found.groupBy(key, "length", F.col("x.t").alias("t")).agg(F.sum(F.col("tf") * F.col("x.w")).alias("tf"))
+    return post.where(F.col("token").isin(*want)).select(key, "length", F.col("token").alias("t"), "tf")
+
+
+def search_postings(post: DataFrame, lengths: DataFrame, query: str, limit: int | None = None, key: str = "id", k1: float = K1, b: float = B, part: float = PART) -> DataFrame:
+    """(key, score), best first with ties by key. lengths: (key, length) of all documents. With part = 0 only whole tokens match, and the token filter is pushed into the scan."""
     head = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    hits = post.where(F.col("token").isin(*want))
-    df = {r["token"]: r["df"] for r in hits.groupBy("token").agg(F.count("*").alias("df")).collect()}
+    hits = materialize(query_hits(post, query, key, part))
+    df = {r["t"]: r["df"] for r in hits.groupBy("t").agg(F.count("*").alias("df")).collect()}
     if not df:
         return lengths.limit(0).select(key, F.lit(0.0).alias("score"))
-    idf = F.create_map(*[x for t, d in df.items() for x in (F.lit(t), _idf(head["n"], d))])[F.col("token")]
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / head["mean"]))
-    out = hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    idf = F.create_map(*[x for t, d in df.items() for x in (F.lit(t), _idf(head["n"], d))])[F.col("t")]
+    share = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / head["mean"]))
+    out = hits.groupBy(key).agg(F.round(F.sum(share), 6).alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
@@ -69,11 +80,6 @@ def search_texts(docs: DataFrame, query: str, limit: int | None = None, key: str
     return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
-def substring_hits(docs: DataFrame, query: str, key: str = "id", name: str = "name") -> DataFrame:
-    """Documents whose name holds the query as a part, for queries that are no whole token."""
-    return docs.where(F.lower(name).contains(query.lower())).select(key)
-
-
 def doc_frequency(post: DataFrame, query: str) -> int:
     """Documents with the query's rarest token; 0 if any token is unknown."""
     want = sorted(set(python_tokens(query)))

@@ -120,17 +120,24 @@ def component(relations: DataFrame, starts: list) -> DataFrame:
     return reach(both_ways(relations), seeds, None).select("node")
 
 
+def _from_other_files(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(dst, src_file, known): for each target the distinct files of its sources, told apart before the join with the targets, where a hub has one row a file."""
+    src = entities.select(F.col("id").alias("src"), F.col("file_origin").alias("src_file"), F.lit(True).alias("known"))
+    return relations.join(src, "src", "left").select("dst", "src_file", "known").distinct()
+
+
 def has_incoming(entities: DataFrame, relations: DataFrame, kinds: list[str] | None, exclude_same_file: bool) -> DataFrame:
-    """(id) of entities with an incoming relation of some kinds.
+    """(id) of entities with an incoming relation of some kinds; None means all kinds, an empty list matches nothing.
 
     Excluding the same file, a source that isn't in entities counts, and a null file differs from any other but not from null.
+    If relations tell the domain of their sources (src_tag), those that aren't entities are then passed over.
     """
-    rel = of_kinds(relations, kinds)
+    rel = relations if kinds is None else relations.where(F.col("kind").isin(*kinds)) if kinds else relations.limit(0)
     if not exclude_same_file:
         return entities.join(rel.select(F.col("dst").alias("id")), "id", "left_semi").select("id")
-    src = entities.select(F.col("id").alias("src"), F.col("file_origin").alias("src_file"), F.lit(True).alias("known"))
-    with_src = rel.join(src, "src", "left")
-    hits = with_src.join(entities.select(F.col("id").alias("dst"), "file_origin"), "dst")
+    if "src_tag" in rel.columns:
+        rel = rel.where(F.col("src_tag") == "Entity")
+    hits = _from_other_files(entities, rel).join(entities.select(F.col("id").alias("dst"), "file_origin"), "dst")
     hits = hits.where(F.col("known").isNull() | ~F.col("src_file").eqNullSafe(F.col("file_origin")))
     return hits.select(F.col("dst").alias("id")).distinct()
 
@@ -138,10 +145,9 @@ def has_incoming(entities: DataFrame, relations: DataFrame, kinds: list[str] | N
 def dead_code(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Production entities of the candidate kinds that no entity of another file refers to; dunder methods are left out."""
     candidate = F.col("kind").isin(*DEAD_CODE_KINDS) & ~is_nonproduction(F.col("file_origin")) & ~is_magic_method(F.col("kind"), F.col("name"))
-    src = entities.select(F.col("id").alias("src"), F.col("file_origin").alias("src_file"))
-    dst = entities.select(F.col("id").alias("dst"), F.col("file_origin").alias("dst_file"))
-    used = relations.select("src", "dst").join(src, "src").join(dst, "dst").where(~F.col("src_file").eqNullSafe(F.col("dst_file"))).select(F.col("dst").alias("id"))
-    return entities.where(candidate).join(used, "id", "left_anti")
+    files = _from_other_files(entities, relations).where("known")
+    used = files.join(entities.select(F.col("id").alias("dst"), "file_origin"), "dst").where(~F.col("src_file").eqNullSafe(F.col("file_origin")))
+    return entities.where(candidate).join(used.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
 def first_parent_lineage(changes: DataFrame, target) -> DataFrame:
@@ -151,6 +157,19 @@ def first_parent_lineage(changes: DataFrame, target) -> DataFrame:
     return reach(first, seeds, None).select(F.col("node").alias("id"), F.col("depth").alias("distance"))
 
 
+def first_parent_lineages(changes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, change, distance): the lineages of many targets (id) at once, a level of all of them a join. Lineages that run into a cycle are an error."""
+    first = changes.select(F.col("id").alias("change"), F.try_element_at("parents", F.lit(1)).alias("parent")).where("parent is not null")
+    frontier = materialize(targets.join(changes.select("id"), "id", "left_semi").select(F.col("id").alias("target"), F.col("id").alias("change"), F.lit(0).alias("distance")))
+    parts, most = [frontier], changes.count()
+    while not frontier.isEmpty():
+        if len(parts) > most:
+            raise ValueError("a lineage runs into a cycle")
+        frontier = materialize(frontier.join(first, "change").select("target", F.col("parent").alias("change"), (F.col("distance") + 1).alias("distance")))
+        parts.append(frontier)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_parent_cycles(changes: DataFrame) -> DataFrame:
     """Changes that no root reaches along first parents (and whose parents are all present): they lie on or below a cycle."""
     first = changes.select("id", F.try_element_at("parents", F.lit(1)).alias("parent"))

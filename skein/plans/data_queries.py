@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from skein.functions import fields, paths, secrets
 from skein.functions.names import tokens_sql
 from skein.functions.shared import materialize, shared_path
-from skein.operators import admission, cache, delta, history, nearest, retrieve, search, stores, traverse
-from skein.plans.graphs import P_SQL, graph_p, graph_s, s_sql, table
-from skein.sources import catalog
+from skein.operators import admission, cache, delta, history, index, nearest, retrieve, search, stores, traverse
+from skein.plans.graphs import P_SQL, graph_p, table
+from skein.sources import catalog, frames, sidecars
 from skein.streaming import deltas as stream
 
 # --- deltas -------------------------------------------------------------------------------------
@@ -115,8 +115,10 @@ def _bm25_sql(limit: str) -> str:
 
 
 def doc_frequency(spark, sf):
-    d = _docs(spark, sf).select("id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("token"))
-    return d.where(F.col("token").isin(*_TERMS)).groupBy("token").agg(F.count("*").alias("df")).agg(F.min("df").alias("df"))
+    """Documents with the rarest word of the query; a word that no document has makes it 0."""
+    d = _docs(spark, sf)
+    post = search.postings(d.select("id", F.array(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(1.0).alias("weight"))).alias("fields")))
+    return spark.createDataFrame([(q, search.doc_frequency(post, q)) for q in (_QUERY, _QUERY + " nowhere")], "query string, df long")
 
 
 def _parts(spark, sf):
@@ -137,17 +139,49 @@ def entity_fields(spark, sf):
 _FIELDS = "SELECT id, name AS text, CAST(5.0 AS DOUBLE) AS weight FROM e UNION ALL SELECT id, signature, 3.0 FROM e UNION ALL SELECT id, doc, 2.5 FROM e WHERE doc IS NOT NULL UNION ALL SELECT id, 'TraitDef', 1.0 FROM e"
 
 
+def _postings(spark, sf):
+    p = _parts(spark, sf)
+    return materialize(search.postings(search.with_fields(p, fields.entity_fields(p))))
+
+
 def fuzzy_search_entities(spark, sf):
+    """Whole tokens and parts of tokens: names hold `oli` only as a part."""
+    post = _postings(spark, sf)
+    return search.search_postings(post, post.select("id", "length").distinct(), "blue PromoPlate oli", 100)
+
+
+def _fuzzy_sql(terms, limit, entities="e"):
+    """Scores of entities for tokens, which also count as parts of tokens."""
+    asked = ", ".join(f"'{t}'" for t in terms)
+    return (
+        f"f AS ({_FIELDS.replace(' FROM e', f' FROM {entities}')}), x AS (SELECT id, weight, unnest({tokens_sql('text')}) AS token FROM f), l AS (SELECT id, CAST(count(*) AS DOUBLE) AS len FROM x GROUP BY id), q AS (SELECT unnest([{asked}]) AS t), "
+        f"p AS (SELECT id, t, sum(weight * CASE WHEN token = t THEN 1 ELSE {search.PART} END) AS tf FROM x JOIN q ON contains(token, t) GROUP BY id, t), "
+        "df AS (SELECT t, count(*) AS df FROM p GROUP BY t), h AS (SELECT count(*) AS n, avg(len) AS mean FROM l), "
+        f"found AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM p JOIN df USING (t) JOIN l USING (id), h GROUP BY id ORDER BY score DESC, id LIMIT {limit})"
+    )
+
+
+_FUZZY = f"WITH {_PARTS}, {_fuzzy_sql(['blue', 'promo', 'plate', 'oli'], 100)} SELECT * FROM found"
+
+
+def text_index(spark, sf):
+    """An index built from half of the entities, saved, opened, changed (upserts, removals, a rolled-back one), committed and searched."""
     p = _parts(spark, sf)
-    post = materialize(search.postings(search.with_fields(p, fields.entity_fields(p))))
-    return search.search_postings(post, post.select("id", "length").distinct(), "blue PromoPlate", 100)
+    of = lambda d: search.with_fields(d, fields.entity_fields(d))
+    store = sidecars.Sidecars(spark, shared_path(spark) + "/sidecars")
+    first = sidecars.TextIndex(store, "bigint")
+    first.rebuild(of(p.where("id % 2 = 0")))
+    first.commit("root-1")
+    index = sidecars.TextIndex(store, "bigint")
+    index.remove(p.select("id"))
+    index.rollback()
+    index.upsert(of(p.where("id % 3 = 0").withColumn("name", F.concat(F.lit("renamed"), "name"))))
+    index.remove(p.where("id % 10 = 0"))
+    index.commit("root-2")
+    return sidecars.TextIndex(store, "bigint").search("blue plate renamed", 100)
 
 
-_FUZZY = (
-    f"WITH {_PARTS}, f AS ({_FIELDS}), x AS (SELECT id, weight, unnest({tokens_sql('text')}) AS token FROM f), l AS (SELECT id, CAST(count(*) AS DOUBLE) AS len FROM x GROUP BY id), p AS (SELECT id, token, sum(weight) AS tf FROM x WHERE token IN ('blue', 'promo', 'plate') GROUP BY id, token), "
-    "d AS (SELECT token, count(*) AS df FROM p GROUP BY token), h AS (SELECT count(*) AS n, avg(len) AS mean FROM l) "
-    "SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM p JOIN d USING (token) JOIN l USING (id), h GROUP BY id ORDER BY score DESC, id LIMIT 100"
-)
+_TEXT_INDEX = f"WITH {_PARTS}, e2 AS (SELECT id, CASE WHEN id % 3 = 0 THEN concat('renamed', name) ELSE name END AS name, signature, doc FROM e WHERE (id % 2 = 0 OR id % 3 = 0) AND id % 10 <> 0), {_fuzzy_sql(['blue', 'plate', 'renamed'], 100, 'e2')} SELECT * FROM found"
 
 
 def search_at_ref(spark, sf):
@@ -215,19 +249,94 @@ def missing_and_orphan_vectors(spark, sf):
     return nearest.missing_vectors(d, v).select("id", F.lit("missing").alias("what")).unionByName(nearest.orphan_vectors(d, v).select("id", F.lit("orphan").alias("what")))
 
 
+def knn_batch(spark, sf):
+    """Every hundredth vector as a query against all rows, exactly."""
+    v = _vectors(spark, sf)
+    return nearest.knn_many(v, v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q")), 10)
+
+
+_NORM = "sqrt(list_dot_product(CAST({x} AS DOUBLE[]), CAST({x} AS DOUBLE[])))"
+_PAIR = f"round(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / ({_NORM.format(x='a.embedding')} * {_NORM.format(x='b.embedding')}), 6)"
+_KNN_BATCH = f"SELECT query, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS k FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_PAIR} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0)) WHERE k <= 10"
+
+PROBES = 44
+
+
+def ann_search(spark, sf):
+    """The same by inverted lists of 64 centres, 44 of which are probed (these vectors hardly cluster); tests measure its recall against knn_batch."""
+    v = _vectors(spark, sf)
+    centres = nearest.fit_lists(v)
+    store = sidecars.Sidecars(spark, shared_path(spark) + "/sidecars")
+    store.save("lists", {"vectors": nearest.with_list(v.select("id", "embedding"), centres)}, {"lists": len(centres)}, {"vectors": "list"})
+    return nearest.ann_search(store.load("lists")[1]["vectors"], centres, v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q")), 10, PROBES)
+
+
+def toy_model(texts):
+    """A stand-in for an embedding model: numbers that follow from a text's length."""
+    return [[((i * 37 + len(t)) % 11 - 5) / 10 for i in range(64)] for t in texts]
+
+
+_WORDS_ASKED = "where is the parser"
+
+
+def semantic_search(spark, sf):
+    return nearest.semantic_search(_vectors(spark, sf), _WORDS_ASKED, 20, toy_model)
+
+
+_SEMANTIC = f"SELECT vec_id AS id, {_DIST.replace(_QL, '[' + ', '.join(f'{x}::DOUBLE' for x in toy_model([_WORDS_ASKED])[0]) + ']')} AS distance FROM embeddings ORDER BY distance, id LIMIT 20"
+
+
+def vector_index(spark, sf):
+    """Saved, opened under a drifted stamp with dead keys dropped, changed, saved and searched with roles."""
+    v = _vectors(spark, sf).select("id", "embedding")
+    current = {"provider": "local", "model": "toy", "revision": "1", "epoch": "1", "dims": 64, "embedder": "e1", "stamp": "aa"}
+    store = sidecars.Sidecars(spark, shared_path(spark) + "/sidecars")
+    sidecars.VectorIndex(store, current, v.where("id % 4 != 0")).save()
+    index, what, _ = sidecars.VectorIndex.load_compatible(store, current | {"stamp": "bb"}, v.where("id % 7 != 0"))
+    index.upsert(v.where("id % 4 = 0").withColumn("embedding", F.reverse("embedding")))
+    index.remove(v.where("id % 9 = 0"))
+    index.save()
+    again, exact, _ = sidecars.VectorIndex.load_compatible(store, current | {"stamp": "bb"})
+    roles = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "source").otherwise("test").alias("role"))
+    return nearest.with_roles(again.search(_Q, 20), roles).withColumn("opened", F.lit(f"{what} {exact}"))
+
+
+_VECTOR_INDEX = f"WITH v AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 9 <> 0 AND (vec_id % 4 = 0 OR vec_id % 7 <> 0)), k AS (SELECT vec_id AS id, {_DIST} AS distance FROM v ORDER BY distance, id LIMIT 20) SELECT id, distance, CASE WHEN p_size > 25 THEN 'source' WHEN p_size IS NOT NULL THEN 'test' END AS role, 'stamp_drift exact' AS opened FROM k LEFT JOIN part ON p_partkey = id"
+
+
+def embed_checkpoints(spark, sf):
+    """Texts embedded part by part; the run is cut off in the middle and goes on from what was published."""
+    texts = _parts(spark, sf).select("id", "name").withColumnRenamed("name", "text")
+    store = sidecars.Sidecars(spark, shared_path(spark) + "/sidecars")
+    short = lambda ts: [[float(len(t)), 1.0] for t in ts]
+    sidecars.embed_with_checkpoints(store, texts.where("id % 2 = 0"), "m", short, 2, parts=2)
+    half = sidecars.embed_with_checkpoints(store, texts, "m2", short, 2, parts=2)
+    return half.select("hash", F.col("embedding")[0].cast("long").alias("length"))
+
+
+def _retrieval_graph(spark, sf):
+    """Parts and suppliers (ids below zero) with a relation for each pair that an item names."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "source").otherwise("test").alias("role"))
+    e = part.unionByName(table(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("id"), F.lit("external").alias("role")))
+    r = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct().withColumn("kind", F.lit("uses_type"))
+    return e, r.withColumn("id", F.concat_ws(":", "src", "dst"))
+
+
 def unified_retrieve(spark, sf):
-    e, r = graph_s(spark, 500)
-    e = e.withColumn("role", F.when(F.col("id") % 3 == 0, "test").otherwise("source"))
-    lex = table(spark, sf, "part").where("p_partkey <= 400 and contains(p_name, 'plate')").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
-    vec = nearest.knn(_vectors(spark, sf).where("id < 400"), _Q, 50)
+    """Full-text search over all parts, neighbours among all vectors, and what lies within two steps of part 3."""
+    e, r = _retrieval_graph(spark, sf)
+    post = _postings(spark, sf)
+    lex = search.search_postings(post, post.select("id", "length").distinct(), "blue plate", retrieve.LIMIT)
+    vec = nearest.knn(_vectors(spark, sf), _Q, retrieve.LIMIT)
     return retrieve.unified(e, lex, vec, traverse.hop_distances(e, r, [3], None, 2), anchor=3)
 
 
 _UNIFIED = (
-    f"WITH RECURSIVE {s_sql(500)}, edges AS (SELECT src, dst FROM relations UNION ALL SELECT dst, src FROM relations), r(node, depth) AS (SELECT 3, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 2), "
-    "hop AS (SELECT node AS id, min(depth) AS graph_hops FROM r WHERE node <> 3 GROUP BY node), lex AS (SELECT p_partkey AS id, p_retailprice AS lexical_score FROM part WHERE p_partkey <= 400 AND contains(p_name, 'plate') ORDER BY 2 DESC, 1 LIMIT 50), "
-    f"vec AS (SELECT vec_id AS id, {_DIST} AS vector_distance FROM embeddings WHERE vec_id < 400 ORDER BY 2, 1 LIMIT 50), a AS (SELECT coalesce(lex.id, vec.id) AS id, lexical_score, vector_distance FROM lex FULL JOIN vec ON lex.id = vec.id) "
-    "SELECT coalesce(a.id, hop.id) AS id, lexical_score, vector_distance, graph_hops, CASE WHEN coalesce(a.id, hop.id) >= 500 THEN NULL WHEN coalesce(a.id, hop.id) % 3 = 0 THEN 'test' ELSE 'source' END AS role FROM a FULL JOIN hop ON a.id = hop.id"
+    f"WITH RECURSIVE {_PARTS}, {_fuzzy_sql(['blue', 'plate'], 50)}, g AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem), edges AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), r(node, depth) AS (SELECT 3, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 2), "
+    "hop AS (SELECT node AS id, min(depth) AS graph_hops FROM r WHERE node <> 3 GROUP BY node), "
+    f"vec AS (SELECT vec_id AS id, {_DIST} AS vector_distance FROM embeddings ORDER BY 2, 1 LIMIT 50), a AS (SELECT coalesce(found.id, vec.id) AS id, score AS lexical_score, vector_distance FROM found FULL JOIN vec ON found.id = vec.id), "
+    "b AS (SELECT coalesce(a.id, hop.id) AS id, lexical_score, vector_distance, graph_hops FROM a FULL JOIN hop ON a.id = hop.id) "
+    "SELECT b.*, CASE WHEN b.id < 0 THEN 'external' WHEN p_size > 25 THEN 'source' WHEN p_size IS NOT NULL THEN 'test' END AS role FROM b LEFT JOIN part ON p_partkey = b.id"
 )
 
 # --- history ------------------------------------------------------------------------------------
@@ -240,16 +349,30 @@ def _history(spark, sf):
     return e.select("user_id", F.col("event_id").alias("seq"), (F.col("value").cast("long") % 20).alias("id"), F.expr(_EVENT_OP).alias("op"), F.col("event_type").alias("new"))
 
 
+def _turns(spark, sf):
+    """Turns of all conversations as changes, each naming the turn before as its parent, and what they do to the role's entry."""
+    c = table(spark, sf, "conversations")
+    name = F.concat_ws("/", "conv_id", "turn")
+    changes = c.select(name.alias("id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("/", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    deltas = c.select(name.alias("change"), F.col("role").alias("id"), F.expr("CASE WHEN turn % 4 = 3 THEN 'removed' ELSE 'modified' END").alias("op"), F.concat_ws(":", "turn", F.length("text")).alias("new"))
+    return c, changes, deltas
+
+
 def lineage_state_at(spark, sf):
-    h = _history(spark, sf).where("user_id = 8")
-    lineage = h.where("seq <= 3000").select(F.col("seq").alias("id"), (3000 - F.col("seq")).alias("distance"))
-    return history.state_at(h.select(F.col("seq").alias("change"), "id", "op", "new"), lineage)
+    """The state at the last turn of the longest conversation."""
+    c, changes, deltas = _turns(spark, sf)
+    last = c.orderBy(F.desc("turn"), "conv_id").first()
+    return history.state_at(deltas, traverse.first_parent_lineage(changes, f"{last['conv_id']}/{last['turn']}"))
+
+
+_STATE = "SELECT conv_id, role AS id, concat(turn, ':', length(text)) AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1 AND turn % 4 <> 3"
 
 
 def trees_at_targets(spark, sf):
-    h = _history(spark, sf)
-    lineages = h.where("seq < 4000").select(F.col("user_id").alias("target"), F.col("seq").alias("change"), (4000 - F.col("seq")).alias("distance"))
-    return history.trees_at(h.select(F.col("seq").alias("change"), "id", "op", "new"), lineages)
+    """The states at the last turns of all conversations, by their whole lineages."""
+    c, changes, deltas = _turns(spark, sf)
+    targets = c.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.concat_ws("/", "conv_id", "turn").alias("id"))
+    return history.trees_at(deltas, traverse.first_parent_lineages(changes, targets))
 
 
 def stale_old_payload(spark, sf):
@@ -268,7 +391,7 @@ def change_children(spark, sf):
 
 
 def entity_revisions(spark, sf):
-    return history.revisions(_history(spark, sf).where("user_id = 8").select("seq", "id", "op", "new"))
+    return history.revisions(_history(spark, sf).select("seq", F.concat_ws("/", "user_id", "id").alias("id"), "op", "new"))
 
 
 def admission_guard(spark, sf):
@@ -344,13 +467,17 @@ _SENSITIVE_SQL = (
 
 
 def enforce_admission(spark, sf):
-    files = spark.createDataFrame([(f"f{k}.txt", v, "blob", k % 6 == 0) for k, v in _TEXTS.items()], "path string, content string, kind string, tracked boolean").withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
-    files = files.withColumn("content_hash", F.when(F.col("path") == "f8.txt", "bad").otherwise(F.col("content_hash")))
-    return admission.enforce(files, files.where("path = 'f1.txt'").select("path", "content_hash", "kind")).select("path", "verdict")
+    """All documents and the texts above as files: some don't match their digest, some are tracked, some findings are allowed."""
+    d = _docs(spark, sf).unionByName(spark.createDataFrame([(-k, v) for k, v in _TEXTS.items()], "id long, text string"))
+    files = d.select("id", F.lit("notes.txt").alias("path"), F.col("text").alias("content"), F.lit("blob").alias("kind"), (F.col("id") % 6 == 0).alias("tracked"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    allowed = files.where("abs(id) % 3 = 1").select("path", "content_hash", "kind")
+    files = files.withColumn("content_hash", F.when(F.col("id") % 9 == 8, "bad").otherwise(F.col("content_hash")))
+    return admission.enforce(files, allowed).select("id", "verdict")
 
 
 _ENFORCE = (
-    "SELECT concat('f', k, '.txt') AS path, CASE k WHEN 8 THEN 'digest mismatch' WHEN 6 THEN 'tracked' WHEN 1 THEN 'allowed' WHEN 4 THEN 'blocked' WHEN 5 THEN 'blocked' WHEN 11 THEN 'blocked' ELSE 'clean' END AS verdict FROM range(1, 12) t(k)"
+    f"WITH found AS ({_SENSITIVE_SQL}), a AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join("(" + str(-k) + ", '" + v.replace("'", "''") + "')" for k, v in _TEXTS.items()) + ") v(id, text)) "
+    "SELECT a.id, CASE WHEN a.id % 9 = 8 THEN 'digest mismatch' WHEN a.id % 6 = 0 THEN 'tracked' WHEN finding IS NULL THEN 'clean' WHEN text IN (SELECT text FROM a WHERE abs(id) % 3 = 1) THEN 'allowed' ELSE 'blocked' END AS verdict FROM a LEFT JOIN found ON found.id = a.id"
 )
 
 # --- caches, stores, storage, streams -----------------------------------------------------------
@@ -406,6 +533,148 @@ def catalog_round_trip(spark, sf):
     return c.load(verify=True)["orders"]
 
 
+def catalog_recovery(spark, sf):
+    """A writer is cut off after its temporary manifest, another in the middle of one; recovery promotes the first and discards the second."""
+    old, new = _old_new(spark, sf)
+    c = catalog.GraphCatalog(spark, shared_path(spark) + "/catalog")
+    c.save({"orders": old})
+    m = c.head()
+    d = {"orders": delta.diff_map(old, new)}
+    whole = m | {"generation": 2, "deltas": [{"generation": 2, "tables": c._write(d)}], "retired": []}
+    c.files.stage("manifest-000000000002.json", catalog.sealed(whole))
+    c.files.stage("manifest-000000000003.json", catalog.sealed(whole)[:40])
+    writer = catalog.GraphCatalog.open(spark, c.root)
+    writer.close()
+    return c.load(verify=True)["orders"].withColumn("generation", F.lit(c.head()["generation"]))
+
+
+def authority_frames(spark, sf):
+    """Two changes drained into frames, applied to the base and proved."""
+    old, new = _old_new(spark, sf)
+    log = frames.FrameLog(spark, shared_path(spark))
+    half = new.where("id % 2 = 0").unionByName(old.where("id % 2 != 0"))
+    log.drain({"orders": old}, {"orders": half})
+    log.drain({"orders": half}, {"orders": new})
+    wrong = log.prove({"orders": old}, {"orders": half})
+    return log.apply({"orders": old})["orders"].withColumn("proved", F.lit(log.prove({"orders": old}, {"orders": new}) is None and wrong == "orders"))
+
+
+def read_index(spark, sf):
+    """Entities of a kind in a file through the stored read index, which opens only under the stamp it was made with."""
+    e, r = graph_p(spark, sf)
+    store = sidecars.Sidecars(spark, shared_path(spark) + "/sidecars")
+    sidecars.save_read_index(store, e, r, "root-1")
+    assert sidecars.load_read_index(store, "root-2") is None
+    views = sidecars.load_read_index(store, "root-1")
+    return views["names"].where("kind = 'function' and file_origin = 'Brand#12'").select("id", "low").join(views["incoming"], "id", "left")
+
+
+def tiered_save(spark, sf):
+    """Half of the graph is loaded hot, changed, merged into the rest and published."""
+    e, r = graph_p(spark, sf)
+    c = catalog.GraphCatalog(spark, shared_path(spark) + "/catalog")
+    c.save({"entities": e, "relations": r})
+    hot, _ = c.load_tiered(1000, e.count() // 2)
+    c.save_tiered({"entities": hot["entities"].withColumn("name", F.upper("name"))})
+    return c.load(["entities"])["entities"].select("id", "name")
+
+
+def overlay_and_blobs(spark, sf):
+    """Texts as stored blobs, some of which don't match their name or are too large."""
+    d = _docs(spark, sf).select("id", F.col("text").cast("binary").alias("bytes"))
+    named = d.withColumn("sha256", F.when(F.col("id") % 7 == 3, "bad").otherwise(F.sha2("bytes", 256)))
+    return catalog.verified_blobs(named, 4000).select("id", "ok")
+
+
+# --- small operators over whole tables ------------------------------------------------------------
+
+
+def absent_rows(spark, sf):
+    old, new = _old_new(spark, sf)
+    return delta.absent_from(old, new)
+
+
+def merged_absent(spark, sf):
+    old, new = _old_new(spark, sf)
+    return delta.merge_absent(old, delta.absent_from(old, new))
+
+
+def upserted(spark, sf):
+    old, new = _old_new(spark, sf)
+    return index.remove(index.upsert(old, new), old.where("id % 4 = 1"))
+
+
+def patched_settings(spark, sf):
+    old, new = _old_new(spark, sf)
+    j = old.select("id", F.col("price").alias("o")).join(new.select("id", F.col("price").alias("n")), "id")
+    return j.select("id", delta.patch_setting(F.col("o"), F.col("n")).alias("what"))
+
+
+def hot_over_cold(spark, sf):
+    old, new = _old_new(spark, sf)
+    return delta.merge_hot_into_cold(new, old, F.col("status") == "F")
+
+
+def sorted_unique(spark, sf):
+    """Orders whose date doesn't rise above that of the order before."""
+    o = table(spark, sf, "orders")
+    return delta.require_sorted_unique(o.select(F.col("o_totalprice").alias("price"), "o_orderkey"), "price", "o_orderkey")
+
+
+def name_infix_star(spark, sf):
+    """A pattern with a star at both ends looks for what ends in the rest, star and all; a lone star takes everything."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    every, none = index.by_name_pattern(p, "*"), index.by_name_pattern(p, "*lu*")
+    return every.groupBy(F.lit("*").alias("pattern")).agg(F.count("*").alias("n")).unionByName(none.agg(F.count("*").alias("n")).select(F.lit("*lu*").alias("pattern"), "n"))
+
+
+def batch_waste(spark, sf):
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("tokens"), F.max(F.length("text")).alias("longest"))
+    w = cache.batch_waste(d)
+    return w.select(*[F.round(c, 6).alias(c) for c in w.columns])
+
+
+def artifact_texts(spark, sf):
+    """Embedding texts of documents as structured and as opaque artifacts, with a task prefix."""
+    d = table(spark, sf, "documents").select("doc_id", F.lit("note").alias("kind"), F.concat(F.lit("docs/"), F.col("doc_id")).alias("file_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.substring("source", 1, 5)).alias("text_preview"), F.when(F.col("doc_id") % 2 == 0, "text/plain").alias("mime_type"))
+    return d.select("doc_id", fields.structured_artifact_text().alias("structured"), fields.prefixed(fields.opaque_artifact_text(), "nomic-embed", False).alias("opaque"), fields.short_text(F.col("kind"), F.lit(""), F.col("mime_type")).alias("short"))
+
+
+_ARTIFACTS = (
+    "WITH d AS (SELECT doc_id, concat('docs/', doc_id) AS f, nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE substr(source, 1, 5) END), '') AS t, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS m FROM documents) "
+    "SELECT doc_id, concat_ws(chr(10), 'structured_artifact', 'kind=note', concat('file=', f), t) AS structured, concat('search_document: ', concat_ws(chr(10), 'opaque_artifact', concat('file=', f), CASE WHEN m IS NOT NULL THEN concat('mime_type=', m) END, t)) AS opaque, concat_ws(' ', 'note', m) AS short FROM d"
+)
+
+
+def artifact_fields(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.lit("note").alias("kind"), F.concat(F.lit("docs/"), F.col("doc_id")).alias("file_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("source")).alias("text_preview"), F.when(F.col("doc_id") % 2 == 0, "text/plain").alias("mime_type"))
+    both = d.select("doc_id", F.lit("structured").alias("what"), F.explode(fields.structured_artifact_fields()).alias("f")).unionByName(d.select("doc_id", F.lit("opaque").alias("what"), F.explode(fields.opaque_artifact_fields(0.5)).alias("f")))
+    return both.select("doc_id", "what", F.col("f.text").alias("text"), F.col("f.weight").alias("weight"))
+
+
+_ARTIFACT_FIELDS = (
+    "WITH d AS (SELECT doc_id, concat('docs/', doc_id) AS f, CASE WHEN doc_id % 3 <> 0 THEN source END AS t, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS m FROM documents) "
+    "SELECT doc_id, what, text, CAST(weight AS DOUBLE) AS weight FROM (SELECT doc_id, 'structured' AS what, unnest(['note', f, t]) AS text, unnest([3.0, 0.0, 2.0]) AS weight FROM d UNION ALL SELECT doc_id, 'opaque', unnest(['opaque_artifact', f, m, t]), unnest([1.0, 0.5, 1.4, 2.0]) FROM d) WHERE text IS NOT NULL AND text <> ''"
+)
+
+
+def store_filters(spark, sf):
+    """Runs of a test, approvals of a change and the latest events of an actor."""
+    e = table(spark, sf, "events")
+    runs = e.select(F.col("event_id").alias("run_id"), F.array(F.concat(F.lit("t"), F.col("event_id") % 30), F.concat(F.lit("t"), F.col("user_id") % 7)).alias("test_ids"))
+    approvals = e.select(F.col("event_id").alias("approval_id"), (F.col("event_id") % 40).alias("change_id"))
+    log = e.select("event_id", F.col("event_type").alias("actor_id"), F.col("ts").alias("timestamp"))
+    parts = [stores.runs_of("t3", runs).select(F.lit("run").alias("what"), F.col("run_id").alias("id")), stores.approvals_for(5, approvals).select(F.lit("approval").alias("what"), F.col("approval_id").alias("id")), stores.audit(log, "click", 25).select(F.lit("event").alias("what"), F.col("event_id").alias("id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def metadata_parts(spark, sf):
+    from skein.operators import merkle
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.concat(F.lit('"'), "p_brand", F.lit('"'))).alias("m"))
+    return p.select("id", F.sha2(merkle.metadata_part(F.col("m")).cast("binary"), 256).alias("hash"))
+
+
 def stream_apply_deltas(spark, sf):
     """A log of four generations followed as a stream onto an older state."""
     old, new = _old_new(spark, sf)
@@ -430,7 +699,7 @@ QUERIES = {
     ),
     "compact_orphans": (compact_orphans, _COMPACT),
     "bm25_topk": (bm25_topk, _bm25_sql("ORDER BY score DESC, id LIMIT 20")),
-    "doc_frequency": (doc_frequency, f"WITH t AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents) SELECT min(n) AS df FROM (SELECT token, count(*) AS n FROM t WHERE token IN ({', '.join(repr(t) for t in _TERMS)}) GROUP BY token)"),
+    "doc_frequency": (doc_frequency, f"WITH t AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM documents), q AS (SELECT unnest([{', '.join(repr(t) for t in _TERMS)}]) AS token), n AS (SELECT q.token, count(t.doc_id) AS n FROM q LEFT JOIN t USING (token) GROUP BY 1) SELECT '{_QUERY}' AS query, min(n) AS df FROM n UNION ALL SELECT '{_QUERY} nowhere', least(min(n), (SELECT count(*) FROM t WHERE token = 'nowhere')) FROM n"),
     "entity_fields": (entity_fields, f"WITH {_PARTS} {_FIELDS}"),
     "fuzzy_search_entities": (fuzzy_search_entities, _FUZZY),
     "search_at_ref": (search_at_ref, _AT),
@@ -442,13 +711,13 @@ QUERIES = {
     "embed_dedupe_misses": (embed_dedupe_misses, "WITH t AS (SELECT p_partkey AS id, concat_ws(chr(10), p_name, concat(p_type, '()')) AS text FROM part) SELECT DISTINCT sha256(text) AS hash, text FROM t WHERE text NOT IN (SELECT text FROM t WHERE id % 10 = 0)"),
     "missing_and_orphan_vectors": (missing_and_orphan_vectors, "SELECT doc_id AS id, 'missing' AS what FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'orphan' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)"),
     "unified_retrieve": (unified_retrieve, _UNIFIED),
-    "lineage_state_at": (lineage_state_at, f"WITH h AS (SELECT event_id AS seq, CAST(trunc(value) AS BIGINT) % 20 AS id, {_EVENT_OP} AS op, event_type FROM events WHERE user_id = 8 AND event_id <= 3000) SELECT id, event_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM h) WHERE k = 1 AND op <> 'removed'"),
-    "trees_at_targets": (trees_at_targets, f"WITH h AS (SELECT user_id, event_id AS seq, CAST(trunc(value) AS BIGINT) % 20 AS id, {_EVENT_OP} AS op, event_type FROM events WHERE event_id < 4000) SELECT user_id AS target, id, event_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY seq DESC) AS k FROM h) WHERE k = 1 AND op <> 'removed'"),
+    "lineage_state_at": (lineage_state_at, f"WITH s AS ({_STATE}) SELECT id, value FROM s WHERE conv_id = (SELECT conv_id FROM conversations ORDER BY turn DESC, conv_id LIMIT 1)"),
+    "trees_at_targets": (trees_at_targets, f"WITH s AS ({_STATE}), t AS (SELECT conv_id, concat(conv_id, '/', max(turn)) AS target FROM conversations GROUP BY conv_id) SELECT target, id, value FROM s JOIN t USING (conv_id)"),
     "stale_old_payload": (stale_old_payload, "SELECT user_id AS branch, event_id AS seq, id, 'stale old value' AS problem FROM (SELECT user_id, event_id, CAST(trunc(value) AS BIGINT) % 20 AS id, row_number() OVER (PARTITION BY user_id, CAST(trunc(value) AS BIGINT) % 20 ORDER BY event_id) AS k FROM events) WHERE event_id % 13 = 0 AND k > 1"),
     "change_children": (change_children, "SELECT concat(conv_id, '/', turn - 1) AS parent, string_agg(concat(conv_id, '/', turn), ',') AS children FROM conversations WHERE turn > 0 GROUP BY conv_id, turn"),
     "entity_revisions": (
         entity_revisions,
-        f"WITH h AS (SELECT event_id AS seq, CAST(trunc(value) AS BIGINT) % 20 AS id, {_EVENT_OP} AS op, event_type FROM events WHERE user_id = 8), w AS (SELECT *, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS ended_by, CAST(sum(CASE WHEN op <> 'removed' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS BIGINT) AS revision FROM h) SELECT id, revision, seq AS since, ended_by, event_type AS value FROM w WHERE op <> 'removed'",
+        f"WITH h AS (SELECT event_id AS seq, concat(user_id, '/', CAST(trunc(value) AS BIGINT) % 20) AS id, {_EVENT_OP} AS op, event_type FROM events), w AS (SELECT *, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS ended_by, CAST(sum(CASE WHEN op <> 'removed' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS BIGINT) AS revision FROM h) SELECT id, revision, seq AS since, ended_by, event_type AS value FROM w WHERE op <> 'removed'",
     ),
     "admission_guard": (
         admission_guard,
@@ -474,4 +743,27 @@ QUERIES = {
     ),
     "catalog_round_trip": (catalog_round_trip, f"WITH {_NEW} SELECT * FROM new"),
     "stream_apply_deltas": (stream_apply_deltas, f"WITH {_NEW} SELECT * FROM new"),
+    "text_index": (text_index, _TEXT_INDEX),
+    "knn_batch": (knn_batch, _KNN_BATCH),
+    "ann_search": (ann_search, None),
+    "semantic_search": (semantic_search, _SEMANTIC),
+    "vector_index": (vector_index, _VECTOR_INDEX),
+    "embed_checkpoints": (embed_checkpoints, "SELECT sha256(p_name) AS hash, any_value(length(p_name)) AS length FROM part GROUP BY p_name"),
+    "catalog_recovery": (catalog_recovery, f"WITH {_NEW} SELECT *, CAST(2 AS INT) AS generation FROM new"),
+    "authority_frames": (authority_frames, f"WITH {_NEW} SELECT *, TRUE AS proved FROM new"),
+    "read_index": (read_index, f"WITH {P_SQL}, i AS (SELECT dst, count(DISTINCT src) AS n FROM relations GROUP BY dst) SELECT id, lower(name) AS low, n FROM entities LEFT JOIN i ON dst = id WHERE kind = 'function' AND file_origin = 'Brand#12'"),
+    "tiered_save": (tiered_save, f"WITH {P_SQL}, r AS (SELECT id, name, row_number() OVER (ORDER BY id) AS k FROM entities) SELECT id, CASE WHEN k <= (SELECT count(*) FROM entities) // 2 THEN upper(name) ELSE name END AS name FROM r"),
+    "verified_blobs": (overlay_and_blobs, "SELECT doc_id AS id, strlen(text) <= 4000 AND doc_id % 7 <> 3 AS ok FROM documents"),
+    "absent_rows": (absent_rows, f"WITH {_OLD}, {_NEW} SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)"),
+    "merged_absent": (merged_absent, f"WITH {_OLD}, {_NEW} SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)"),
+    "upserted": (upserted, f"WITH {_OLD}, {_NEW}, u AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)) SELECT * FROM u WHERE id NOT IN (SELECT id FROM old WHERE id % 4 = 1)"),
+    "patched_settings": (patched_settings, f"WITH {_OLD}, {_NEW} SELECT id, CASE WHEN o.price IS NOT DISTINCT FROM n.price THEN 'unchanged' WHEN n.price IS NULL THEN 'cleared' ELSE 'set' END AS what FROM old o JOIN new n USING (id)"),
+    "hot_over_cold": (hot_over_cold, f"WITH {_OLD}, {_NEW} SELECT * FROM new UNION ALL SELECT * FROM old WHERE status <> 'F' AND id NOT IN (SELECT id FROM new)"),
+    "sorted_unique": (sorted_unique, "SELECT price FROM (SELECT o_totalprice AS price, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS before FROM orders) WHERE before >= price"),
+    "name_infix_star": (name_infix_star, "SELECT '*' AS pattern, count(*) AS n FROM part UNION ALL SELECT '*lu*', count(*) FROM part WHERE ends_with(lower(p_name), 'lu*')"),
+    "batch_waste": (batch_waste, "WITH d AS (SELECT count(*) AS c, sum(length(text)) AS t, max(length(text)) AS l FROM documents GROUP BY source) SELECT round(1 - sum(t) / sum(c * l), 6) AS token_waste, round(1 - sum(t::DOUBLE * t / c) / sum(c::DOUBLE * l * l), 6) AS area_waste, round(avg(c), 6) AS mean_count FROM d"),
+    "artifact_texts": (artifact_texts, _ARTIFACTS),
+    "artifact_fields": (artifact_fields, _ARTIFACT_FIELDS),
+    "store_filters": (store_filters, "SELECT 'run' AS what, event_id AS id FROM events WHERE event_id % 30 = 3 OR user_id % 7 = 3 UNION ALL SELECT 'approval', event_id FROM events WHERE event_id % 40 = 5 UNION ALL SELECT * FROM (SELECT 'event', event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 25)"),
+    "metadata_parts": (metadata_parts, "SELECT p_partkey AS id, sha256(concat('meta:brand=\"', p_brand, '\"meta:size=', p_size)) AS hash FROM part"),
 }

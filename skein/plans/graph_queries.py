@@ -9,7 +9,6 @@ from skein.functions.names import python_tokens, tokens_sql
 from skein.operators import history, index, merkle, traverse
 from skein.plans.graphs import P_SQL, graph_p, graph_s, s_sql, table
 
-N = 1000
 _DEAD = ", ".join(f"'{k}'" for k in traverse.DEAD_CODE_KINDS)
 _MAGIC = "(kind = 'method' AND starts_with(list_extract(string_split(name, '.'), -1), '__') AND ends_with(list_extract(string_split(name, '.'), -1), '__'))"
 
@@ -23,17 +22,20 @@ def has_incoming(spark, sf):
 
 
 def neighborhood_out_d2(spark, sf):
-    nodes, _ = traverse.neighborhood(*graph_s(spark, N), 0, 2)
+    nodes, _ = traverse.neighborhood(*graph_p(spark, sf), "order:1", 2)
     return nodes.select("id", "name", "depth")
 
 
 def neighborhood_edges_d2(spark, sf):
-    _, rel = traverse.neighborhood(*graph_s(spark, N), 0, 2)
+    _, rel = traverse.neighborhood(*graph_p(spark, sf), "order:1", 2)
     return rel.select("id", "kind", "src", "dst")
 
 
+_SEEDS = ["supplier:1", "nation:3", "nobody:1"]
+
+
 def expand_undirected_d3(spark, sf):
-    nodes, _ = traverse.expand(*graph_s(spark, N), [0, 5, 99999], ["calls", "imports"], 3)
+    nodes, _ = traverse.expand(*graph_p(spark, sf), _SEEDS, ["uses_type", "owned_by"], 3)
     return nodes.select("id", "kind", "depth")
 
 
@@ -43,21 +45,20 @@ def traverse_typed(spark, sf):
 
 
 def downstream_impact_d4(spark, sf):
-    return traverse.downstream_impact(*graph_s(spark, N), 7, 4).select("id", "name", "depth")
+    return traverse.downstream_impact(*graph_p(spark, sf), "region:1", 4).select("id", "name", "depth")
 
 
 def hop_distance(spark, sf):
-    return traverse.hop_distances(*graph_s(spark, N), [1], None, 2)
+    return traverse.hop_distances(*graph_p(spark, sf), ["part:1"], None, 2)
 
 
 def connected_component(spark, sf):
-    e, r = graph_s(spark, N)
-    r = r.select("id", "src", (F.col("src") - F.col("src") % 10).alias("dst"))
-    return traverse.component(r.where("src != dst"), [42]).select(F.col("node").alias("id"))
+    _, r = graph_p(spark, sf)
+    return traverse.component(r.where("kind = 'uses_type'"), ["part:1"]).select(F.col("node").alias("id"))
 
 
 def _bfs(cte: str, step: str, seed: str, depth: int) -> str:
-    return f"WITH RECURSIVE {cte}, edges AS ({step}), r(node, depth) AS ({seed} UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < {depth}), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
+    return f"WITH RECURSIVE {cte}, edges AS MATERIALIZED ({step}), r(node, depth) AS ({seed} UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < {depth}), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
 
 
 _BOTH = "SELECT src, dst FROM relations {w} UNION ALL SELECT dst, src FROM relations {w}"
@@ -126,7 +127,8 @@ def tier_union_ranked(spark, sf):
 
 
 def partial_hydrate(spark, sf):
-    hot, rel = index.partial_hydrate(*graph_s(spark, N), 100)
+    e, r = graph_p(spark, sf)
+    hot, rel = index.partial_hydrate(e, r, e.count() // 2)
     return rel.select("id", "kind", "src", "dst")
 
 
@@ -139,7 +141,7 @@ def distinct_incoming(spark, sf):
 
 
 def incoming_lists(spark, sf):
-    return index.incoming_lists(graph_s(spark, N)[1], [1, 2, 3]).select("id", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+    return index.incoming_lists(graph_p(spark, sf)[1], ["nation:1", "nation:2", "region:0", "part:5"]).select("id", F.array_join("sources", ",").alias("sources"))
 
 
 def coverage_summary(spark, sf):
@@ -164,21 +166,37 @@ def domain_digest(spark, sf):
     return merkle.fold(e.select(merkle.entity_hash(_HASHED).alias("hash")), "entities")
 
 
+def _number():
+    return F.split_part("id", F.lit(":"), F.lit(2)).cast("long")
+
+
 def verify_entities(spark, sf):
     e, _ = graph_p(spark, sf)
-    h = e.where("kind = 'class'").select("id", merkle.entity_hash(_HASHED).alias("hash"), F.substring("id", 10, 20).cast("long").alias("n"))
+    h = e.select("id", merkle.entity_hash(_HASHED).alias("hash"), _number().alias("n"))
     stored = h.where("n % 5 != 0").select("id", F.when(F.col("n") % 7 == 0, "bad").otherwise(F.col("hash")).alias("hash"))
     return merkle.verify(h, h, stored).select("id", "status")
 
 
 def relation_hash(spark, sf):
     _, r = graph_p(spark, sf)
-    h = r.where("kind = 'owned_by'").withColumn("confidence", F.lit(1.0).cast("float")).withColumn("origin", F.lit("parsed"))
+    h = r.withColumn("confidence", F.expr("CASE occurrence_count % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 ELSE 0.5 END").cast("float")).withColumn("origin", F.when(F.col("kind") != "calls", "parsed"))
     return h.select("id", merkle.relation_hash().alias("hash"))
 
 
+_REL_HASH = (
+    "sha256(encode(concat('relation-v1:', kind, '|', src, '|', dst, '|')) || CASE occurrence_count % 3 WHEN 0 THEN '\\x00\\x00\\x80\\x3E'::BLOB WHEN 1 THEN '\\x00\\x00\\x80\\x3F'::BLOB ELSE '\\x00\\x00\\x00\\x3F'::BLOB END || encode(CASE WHEN kind <> 'calls' THEN 'parsed|' ELSE '|' END))"
+)
+
+
+def node_hash(spark, sf):
+    """Hashes of the ends of relations that aren't entities of the graph."""
+    e, r = graph_p(spark, sf)
+    ends = r.select(F.col("dst").alias("id")).distinct().join(e.where("kind != 'module'"), "id", "left_anti")
+    return ends.select("id", merkle.node_hash(F.lit("absent"), F.col("id")).alias("hash"))
+
+
 def subgraph_hash_d2(spark, sf):
-    e, r = graph_s(spark, 300)
+    e, r = graph_p(spark, sf)
     return merkle.subgraph_hashes(e.select("id", merkle.entity_hash(_HASHED).alias("hash")), r, 2)
 
 
@@ -186,69 +204,91 @@ _SUB = "s{k} AS (SELECT e.id, sha256(concat('subgraph-v1:', e.h, coalesce(d.h, '
 
 
 def verify_subgraph(spark, sf):
-    e, r = graph_s(spark, 300)
+    """All that order 1 reaches, against stored hashes of which some are missing and some wrong."""
+    e, r = graph_p(spark, sf)
     h = e.select("id", merkle.entity_hash(_HASHED).alias("hash"))
-    stored = h.where("id % 11 != 0").select("id", F.when(F.col("id") % 5 == 0, "bad").otherwise(F.col("hash")).alias("hash"))
-    return merkle.verify_subgraph(3, h, r.where("kind = 'calls' and src < 200"), stored)
+    n = _number()
+    stored = h.where(n % 11 != 0).select("id", F.when(n % 5 == 0, "bad").otherwise(F.col("hash")).alias("hash"))
+    return merkle.verify_subgraph("order:1", h, r, stored)
 
 
-def nation_digest(spark, sf):
-    return merkle.domain_digest(table(spark, sf, "nation"), "nation")
+def customer_digest(spark, sf):
+    return merkle.domain_digest(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "customer")
 
 
 def relation_revisit(spark, sf):
     """An incremental refresh after one entity changed equals a full pass."""
-    e, r = graph_s(spark, 300)
+    e, r = graph_p(spark, sf)
     before = e.select("id", merkle.entity_hash(_HASHED).alias("hash"))
-    after = before.withColumn("hash", F.when(F.col("id") == 17, F.sha2(F.lit("new").cast("binary"), 256)).otherwise(F.col("hash")))
-    return merkle.refresh(merkle.subgraph_hashes(before, r, 1), after, r, e.where("id = 17"), 1)
-
-
-SCALE = 100_000
+    after = before.withColumn("hash", F.when(F.col("id") == "supplier:3", F.sha2(F.lit("new").cast("binary"), 256)).otherwise(F.col("hash")))
+    return merkle.refresh(merkle.subgraph_hashes(before, r, 1), after, r, e.where("id = 'supplier:3'"), 1)
 
 
 def scale_neighborhood_2hop(spark, sf):
-    return traverse.neighborhood(*graph_s(spark, SCALE), 12, 2)[0].select("id", "depth")
+    return traverse.neighborhood(*graph_s(spark, sf), 12, 2)[0].select("id", "depth")
 
 
 def scale_impact_d5(spark, sf):
-    return traverse.downstream_impact(*graph_s(spark, SCALE), 12, 5).select("id", "depth")
+    return traverse.downstream_impact(*graph_s(spark, sf), 13, 5).select("id", "depth")
 
 
 def scale_dead_code(spark, sf):
-    return traverse.dead_code(*graph_s(spark, SCALE)).select("id", "kind")
+    return traverse.dead_code(*graph_s(spark, sf)).select("id", "kind")
 
 
 def scale_lookups(spark, sf):
-    """A thousand point reads as one semi join."""
-    e, _ = graph_s(spark, SCALE)
-    return e.join(F.broadcast(spark.range(0, 100_000, 100)), "id", "left_semi").select("id", "name")
+    """A thousand point reads at sf 0.1 as one semi join with stored rows; the ids asked for are the only broadcast side."""
+    asked = F.broadcast(spark.createDataFrame([(100 * i,) for i in range(1000)], "id long"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    return e.join(asked, "id", "left_semi")
+
+
+def list_all(spark, sf):
+    """All entities and relations of the graph as rows."""
+    e, r = graph_p(spark, sf)
+    return e.select("id", "kind", "name").unionByName(r.select("id", "kind", F.concat_ws(">", "src", "dst").alias("name")))
+
+
+def _turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("/", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
 
 
 def first_parent_lineage(spark, sf):
-    c = table(spark, sf, "conversations").where("conv_id < 50").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("/", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
-    return history.first_parent_lineage(c, "3/1")
+    """The lineage of the last turn of the longest conversation, over all conversations."""
+    c = table(spark, sf, "conversations")
+    last = c.orderBy(F.desc("turn"), "conv_id").first()
+    return history.first_parent_lineage(_turns(spark, sf), f"{last['conv_id']}/{last['turn']}")
+
+
+def first_parent_cycles(spark, sf):
+    """Every tenth conversation's first turn names its last one as parent, which closes a cycle."""
+    c = table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    odd = c.join(last, "conv_id").withColumn("parent", F.when(F.col("turn") > 0, F.col("turn") - 1).when(F.col("conv_id") % 10 == 0, F.col("last")))
+    rows = odd.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("parent").isNotNull(), F.array(F.concat_ws("/", "conv_id", "parent"))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return traverse.first_parent_cycles(rows)
 
 
 QUERIES = {
     "dead_code": (
         dead_code,
         f"WITH {P_SQL} SELECT id, kind, name, file_origin FROM entities c WHERE kind IN ({_DEAD}) AND NOT {is_nonproduction_sql('file_origin')} AND NOT coalesce({_MAGIC}, false) "
-        "AND id NOT IN (SELECT r.dst FROM relations r JOIN entities s ON s.id = r.src JOIN entities d ON d.id = r.dst WHERE s.file_origin IS DISTINCT FROM d.file_origin)",
+        "AND NOT EXISTS (SELECT 1 FROM relations r JOIN entities s ON s.id = r.src WHERE r.dst = c.id AND s.file_origin IS DISTINCT FROM c.file_origin)",
     ),
     "has_incoming_of_kinds": (
         has_incoming,
         f"WITH {P_SQL} SELECT DISTINCT d.id FROM relations r JOIN entities d ON d.id = r.dst LEFT JOIN entities s ON s.id = r.src WHERE r.kind IN ('calls', 'uses_type') AND (s.id IS NULL OR s.file_origin IS DISTINCT FROM d.file_origin)",
     ),
-    "neighborhood_out_d2": (neighborhood_out_d2, _bfs(s_sql(N), "SELECT src, dst FROM relations", "SELECT 0, 0", 2) + " SELECT id, name, depth FROM m JOIN entities ON id = node"),
-    "neighborhood_edges_d2": (neighborhood_edges_d2, _bfs(s_sql(N), "SELECT src, dst FROM relations", "SELECT 0, 0", 2) + " SELECT r2.id, r2.kind, r2.src, r2.dst FROM relations r2 JOIN m ON r2.src = m.node WHERE m.depth < 2"),
-    "expand_undirected_d3": (expand_undirected_d3, _bfs(s_sql(N), _BOTH.format(w="WHERE kind IN ('calls', 'imports')"), "SELECT id, 0 FROM entities WHERE id IN (0, 5, 99999)", 3) + " SELECT id, kind, depth FROM m JOIN entities ON id = node"),
+    "neighborhood_out_d2": (neighborhood_out_d2, _bfs(P_SQL, "SELECT src, dst FROM relations", "SELECT 'order:1', 0", 2) + " SELECT id, name, depth FROM m JOIN entities ON id = node"),
+    "neighborhood_edges_d2": (neighborhood_edges_d2, _bfs(P_SQL, "SELECT src, dst FROM relations", "SELECT 'order:1', 0", 2) + " SELECT r2.id, r2.kind, r2.src, r2.dst FROM relations r2 JOIN m ON r2.src = m.node WHERE m.depth < 2"),
+    "expand_undirected_d3": (expand_undirected_d3, _bfs(P_SQL, _BOTH.format(w="WHERE kind IN ('uses_type', 'owned_by')"), "SELECT id, 0 FROM entities WHERE id IN ('supplier:1', 'nation:3', 'nobody:1')", 3) + " SELECT id, kind, depth FROM m JOIN entities ON id = node"),
     "traverse_typed": (traverse_typed, _bfs(P_SQL, _BOTH.format(w="WHERE kind IN ('uses_type', 'owned_by')"), "SELECT 'supplier:1', 0", 2) + " SELECT node AS id, depth FROM m"),
-    "downstream_impact_d4": (downstream_impact_d4, _bfs(s_sql(N), "SELECT dst AS src, src AS dst FROM relations", "SELECT 7, 0", 4) + " SELECT id, name, depth FROM m JOIN entities ON id = node WHERE depth > 0"),
-    "hop_distance": (hop_distance, _bfs(s_sql(N), _BOTH.format(w=""), "SELECT 1, 0", 2) + " SELECT id, depth AS hops FROM m JOIN entities ON id = node"),
+    "downstream_impact_d4": (downstream_impact_d4, _bfs(P_SQL, "SELECT dst AS src, src AS dst FROM relations", "SELECT 'region:1', 0", 4) + " SELECT id, name, depth FROM m JOIN entities ON id = node WHERE depth > 0"),
+    "hop_distance": (hop_distance, _bfs(P_SQL, _BOTH.format(w=""), "SELECT 'part:1', 0", 2) + " SELECT id, depth AS hops FROM m JOIN entities ON id = node"),
     "connected_component": (
         connected_component,
-        f"WITH RECURSIVE g AS (SELECT i AS src, i - i % 10 AS dst FROM range({N}) t(i) WHERE i % 10 <> 0), edges AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), r(id) AS (SELECT 42 UNION SELECT dst FROM r JOIN edges ON src = id) SELECT id FROM r",
+        f"WITH RECURSIVE {P_SQL}, edges AS MATERIALIZED ({_BOTH.format(w="WHERE kind = 'uses_type'")}), r(id) AS (SELECT 'part:1' UNION SELECT dst FROM r JOIN edges ON src = id) SELECT id FROM r",
     ),
     "query_entities_filter": (query_entities_filter, f"WITH {P_SQL} SELECT id, name FROM entities WHERE ends_with(lower(name), '1') AND kind IN ('class', 'interface')"),
     "query_entities_file": (query_entities_file, f"WITH {P_SQL} SELECT id, name FROM entities WHERE file_origin = 'Brand#12' AND kind = 'function'"),
@@ -268,13 +308,13 @@ QUERIES = {
         tier_union_ranked,
         f"WITH {_PART}, hot AS (SELECT * FROM parts WHERE id % 2 = 0 AND contains(low, 'plate')), cold AS (SELECT * FROM parts WHERE id % 3 = 0 AND contains(low, 'plate') AND id NOT IN (SELECT id FROM hot)) SELECT id, name, CASE WHEN low = 'plate' THEN 0 ELSE 1 END AS rank FROM (SELECT * FROM hot UNION ALL SELECT * FROM cold)",
     ),
-    "partial_hydrate": (partial_hydrate, f"WITH {s_sql(N)} SELECT id, kind, src, dst FROM relations WHERE src < 100 AND dst < 100"),
+    "partial_hydrate": (partial_hydrate, f"WITH {P_SQL}, h AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM entities) WHERE k <= (SELECT count(*) FROM entities) // 2) SELECT id, kind, src, dst FROM relations WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h)"),
     "overview_counts": (
         overview_counts,
         f"WITH {P_SQL} SELECT 'kind' AS what, kind AS name, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT 'entities', 'all', count(*) FROM entities UNION ALL SELECT 'relations', 'all', count(*) FROM relations WHERE src IN (SELECT id FROM entities) AND dst IN (SELECT id FROM entities)",
     ),
     "distinct_incoming": (distinct_incoming, f"WITH {P_SQL} SELECT dst AS id, count(DISTINCT src) AS n FROM relations GROUP BY dst"),
-    "incoming_lists": (incoming_lists, f"WITH {s_sql(N)} SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS sources FROM (SELECT DISTINCT src, dst FROM relations WHERE dst IN (1, 2, 3)) GROUP BY dst"),
+    "incoming_lists": (incoming_lists, f"WITH {P_SQL} SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS sources FROM (SELECT DISTINCT src, dst FROM relations WHERE dst IN ('nation:1', 'nation:2', 'region:0', 'part:5')) GROUP BY dst"),
     "coverage_summary": (coverage_summary, f"WITH {P_SQL} SELECT (SELECT count(*) FROM entities) AS total_entities, (SELECT count(*) FROM entities WHERE id IN (SELECT dst FROM relations WHERE kind = 'calls')) AS covered_entities"),
     "audit_latest": (latest_audit, "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 50"),
     "entity_hash": (entity_hash, f"WITH {P_SQL} SELECT id, {_HASH_SQL} AS hash FROM entities"),
@@ -282,24 +322,27 @@ QUERIES = {
         domain_digest,
         f"WITH {P_SQL}, h AS (SELECT {_HASH_SQL} AS hash FROM entities) {merkle.fold_sql('h', 'entities')}",
     ),
-    "verify_entities": (verify_entities, "SELECT concat('supplier:', s_suppkey) AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'tampered' ELSE 'valid' END AS status FROM supplier"),
-    "relation_hash": (relation_hash, None),
-    "subgraph_hash_d2": (subgraph_hash_d2, f"WITH {s_sql(300)}, s0 AS MATERIALIZED (SELECT id, {_HASH_SQL} AS h FROM entities), {_SUB.format(k=1, j=0).replace('s1 AS (', 's1 AS MATERIALIZED (')}, {_SUB.format(k=2, j=1)} SELECT id, h AS hash FROM s2"),
+    "verify_entities": (verify_entities, f"WITH {P_SQL}, n AS (SELECT id, CAST(split_part(id, ':', 2) AS BIGINT) AS n FROM entities) SELECT id, CASE WHEN n % 5 = 0 THEN 'missing' WHEN n % 7 = 0 THEN 'tampered' ELSE 'valid' END AS status FROM n"),
+    "relation_hash": (relation_hash, f"WITH {P_SQL} SELECT id, {_REL_HASH} AS hash FROM relations"),
+    "node_hash": (node_hash, f"WITH {P_SQL} SELECT DISTINCT dst AS id, sha256(concat('node-v1:', 'absent', '|', dst)) AS hash FROM relations WHERE dst NOT IN (SELECT id FROM entities WHERE kind <> 'module')"),
+    "list_all": (list_all, f"WITH {P_SQL} SELECT id, kind, name FROM entities UNION ALL SELECT id, kind, concat(src, '>', dst) FROM relations"),
+    "first_parent_cycles": (first_parent_cycles, "SELECT concat(conv_id, '/', turn) AS id FROM conversations WHERE conv_id % 10 = 0"),
+    "subgraph_hash_d2": (subgraph_hash_d2, f"WITH {P_SQL}, s0 AS MATERIALIZED (SELECT id, {_HASH_SQL} AS h FROM entities), {_SUB.format(k=1, j=0).replace('s1 AS (', 's1 AS MATERIALIZED (')}, {_SUB.format(k=2, j=1)} SELECT id, h AS hash FROM s2"),
     "verify_subgraph": (
         verify_subgraph,
-        _bfs(s_sql(300), "SELECT src, dst FROM relations WHERE kind = 'calls' AND src < 200", "SELECT 3, 0", 1000) + " SELECT node AS id, CASE WHEN node % 5 = 0 THEN 'tampered' ELSE 'valid' END AS status, depth FROM m WHERE node % 11 <> 0",
+        _bfs(P_SQL, "SELECT src, dst FROM relations", "SELECT 'order:1', 0", 1000) + ", n AS (SELECT node, depth, CAST(split_part(node, ':', 2) AS BIGINT) AS k FROM m) SELECT node AS id, CASE WHEN k % 5 = 0 THEN 'tampered' ELSE 'valid' END AS status, depth FROM n WHERE k % 11 <> 0",
     ),
     "domain_digest_rows": (
-        nation_digest,
-        "WITH h AS (SELECT sha256(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})::VARCHAR) AS hash FROM nation) " + merkle.fold_sql("h", "nation"),
+        customer_digest,
+        "WITH h AS (SELECT sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR) AS hash FROM customer) " + merkle.fold_sql("h", "customer"),
     ),
-    "subgraph_refresh": (relation_revisit, f"WITH {s_sql(300)}, s0 AS MATERIALIZED (SELECT id, CASE WHEN id = 17 THEN sha256('new') ELSE {_HASH_SQL} END AS h FROM entities), {_SUB.format(k=1, j=0)} SELECT id, h AS hash FROM s1"),
-    "scale_neighborhood_2hop": (scale_neighborhood_2hop, _bfs(s_sql(SCALE), "SELECT src, dst FROM relations", "SELECT 12, 0", 2) + " SELECT node AS id, depth FROM m"),
-    "scale_impact_d5": (scale_impact_d5, _bfs(s_sql(SCALE), "SELECT dst AS src, src AS dst FROM relations", "SELECT 12, 0", 5) + " SELECT node AS id, depth FROM m WHERE depth > 0"),
+    "subgraph_refresh": (relation_revisit, f"WITH {P_SQL}, s0 AS MATERIALIZED (SELECT id, CASE WHEN id = 'supplier:3' THEN sha256('new') ELSE {_HASH_SQL} END AS h FROM entities), {_SUB.format(k=1, j=0)} SELECT id, h AS hash FROM s1"),
+    "scale_neighborhood_2hop": (scale_neighborhood_2hop, _bfs(s_sql(), "SELECT src, dst FROM relations", "SELECT 12, 0", 2) + " SELECT node AS id, depth FROM m"),
+    "scale_impact_d5": (scale_impact_d5, _bfs(s_sql(), "SELECT dst AS src, src AS dst FROM relations", "SELECT 13, 0", 5) + " SELECT node AS id, depth FROM m WHERE depth > 0"),
     "scale_dead_code": (
         scale_dead_code,
-        f"WITH {s_sql(SCALE)} SELECT id, kind FROM entities WHERE kind IN ({_DEAD}) AND id NOT IN (SELECT r.dst FROM relations r JOIN entities s ON s.id = r.src JOIN entities d ON d.id = r.dst WHERE s.file_origin <> d.file_origin)",
+        f"WITH {s_sql()}, used AS MATERIALIZED (SELECT DISTINCT r.dst FROM relations r JOIN entities s ON s.id = r.src JOIN entities d ON d.id = r.dst WHERE s.file_origin <> d.file_origin) SELECT id, kind FROM entities e WHERE kind IN ({_DEAD}) AND NOT EXISTS (SELECT 1 FROM used WHERE used.dst = e.id)",
     ),
-    "scale_lookups": (scale_lookups, f"WITH {s_sql(SCALE)} SELECT id, name FROM entities WHERE id % 100 = 0"),
-    "first_parent_lineage": (first_parent_lineage, "SELECT concat('3/', turn) AS id, 1 - turn AS distance FROM conversations WHERE conv_id = 3 AND turn <= 1"),
+    "scale_lookups": (scale_lookups, "SELECT event_id AS id, event_type FROM events WHERE event_id % 100 = 0 AND event_id < 100000"),
+    "first_parent_lineage": (first_parent_lineage, "WITH t AS (SELECT conv_id, turn FROM conversations ORDER BY turn DESC, conv_id LIMIT 1) SELECT concat(c.conv_id, '/', c.turn) AS id, CAST(t.turn - c.turn AS INT) AS distance FROM conversations c JOIN t ON t.conv_id = c.conv_id"),
 }

@@ -41,7 +41,7 @@ def _edges(s: str) -> str:
 
 
 #: Common table expressions for the SQL side.
-P_SQL = f"entities AS ({_entities('VARCHAR')}), relations AS ({_edges('VARCHAR')})"
+P_SQL = f"entities AS MATERIALIZED ({_entities('VARCHAR')}), relations AS MATERIALIZED ({_edges('VARCHAR')})"
 
 
 def graph_p(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -63,18 +63,21 @@ def graph_p(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e, spark.sql(named(_edges("STRING")))
 
 
-def s_sql(n: int, per: int = 5) -> str:
+def s_sql(per: int = 5) -> str:
     return (
-        f"entities AS (SELECT i AS id, ['function', 'class', 'method', 'module', 'interface'][i % 5 + 1] AS kind, concat('entity_', i) AS name, concat('src/mod_', i // 50, '.rs') AS file_origin FROM range({n}) t(i)), "
-        f"relations AS (SELECT i * {per} + r AS id, ['calls', 'imports', 'references'][r % 3 + 1] AS kind, i AS src, (i * 7 + r * 13 + 1) % {n} AS dst FROM range({n}) t(i), range({per}) u(r) WHERE (i * 7 + r * 13 + 1) % {n} <> i)"
+        "size AS (SELECT count(*) AS n FROM events), "
+        "entities AS MATERIALIZED (SELECT event_id AS id, ['function', 'class', 'method', 'module', 'interface'][event_id % 5 + 1] AS kind, concat('entity_', event_id) AS name, concat('src/mod_', event_id // 50, '.rs') AS file_origin FROM events), "
+        f"relations AS MATERIALIZED (SELECT id * {per} + r AS id, ['calls', 'imports', 'references'][r % 3 + 1] AS kind, id AS src, (id * 6 + r * 12 + 1) % n AS dst FROM entities, size, range({per}) u(r) WHERE (id * 6 + r * 12 + 1) % n <> id)"
     )
 
 
-def graph_s(spark: SparkSession, n: int, per: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The benchmark graph: n entities with `per` relations each, cyclic, without self-loops; ids are numbers."""
+def graph_s(spark: SparkSession, sf: str, per: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The benchmark graph over the stored events: an entity for each (100,000 at sf 0.1), `per` relations each, cyclic, without self-loops; ids are numbers. About half of it nothing refers to."""
+    ids = table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    n = ids.count()
     kinds = F.array(*[F.lit(k) for k in ("function", "class", "method", "module", "interface")])
-    e = spark.range(n).select("id", F.element_at(kinds, (F.col("id") % 5 + 1).cast("int")).alias("kind"), F.concat(F.lit("entity_"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("src/mod_"), F.floor(F.col("id") / 50).cast("string"), F.lit(".rs")).alias("file_origin"))
+    e = ids.select("id", F.element_at(kinds, (F.col("id") % 5 + 1).cast("int")).alias("kind"), F.concat(F.lit("entity_"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("src/mod_"), F.floor(F.col("id") / 50).cast("string"), F.lit(".rs")).alias("file_origin"))
     rel = F.array(*[F.lit(k) for k in ("calls", "imports", "references")])
-    r = spark.range(n).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    r = r.select((F.col("id") * per + F.col("r")).alias("id"), F.element_at(rel, (F.col("r") % 3 + 1).cast("int")).alias("kind"), F.col("id").alias("src"), ((F.col("id") * 7 + F.col("r") * 13 + 1) % n).alias("dst"))
+    r = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    r = r.select((F.col("id") * per + F.col("r")).alias("id"), F.element_at(rel, (F.col("r") % 3 + 1).cast("int")).alias("kind"), F.col("id").alias("src"), ((F.col("id") * 6 + F.col("r") * 12 + 1) % n).alias("dst"))
     return e, r.where("src != dst")

@@ -59,6 +59,9 @@ def test_has_incoming_counts_absent_sources(spark):
     e, r = graph(spark, CHAIN[0], [("calls", "ghost", "a"), ("calls", "b", "b")])
     assert ids(traverse.has_incoming(e, r, None, True), "id") == ["a"]
     assert ids(traverse.has_incoming(e, r, ["calls"], False), "id") == ["a", "b"]
+    assert ids(traverse.has_incoming(e, r, [], False), "id") == [] == ids(traverse.has_incoming(e, r, [], True), "id")
+    tagged = r.withColumn("src_tag", F.when(F.col("src") == "ghost", "Artifact").otherwise("Entity"))
+    assert ids(traverse.has_incoming(e, tagged, None, True), "id") == [] and ids(traverse.has_incoming(e, tagged, None, False), "id") == ["a", "b"]
 
 
 @pytest.mark.parametrize("local", [0, 3, 20_000])
@@ -88,7 +91,8 @@ def test_name_patterns(spark, pattern, want):
 
 
 def test_tokens_agree_with_python(spark):
-    words = ["getHTTPServer2", "snake_case/Path.rs", "", "ABC", "aB"]
+    words = ["getHTTPServer2", "snake_case/Path.rs", "", "ABC", "aB", "für Ärger_überAll", "naïveÉtude", "日本語Text", "e\u0301te\u0301"]
+    assert names.python_tokens("für") == ["für"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(names.tokens(F.col("w"))).collect()
     assert [r[0] for r in got] == [names.python_tokens(w) for w in words]
 
@@ -142,7 +146,8 @@ def test_search(spark):
     assert [r.id for r in search.search_postings(post, n, "user", 5).collect()] == [1, 2]
     assert search.search_postings(post, n, "nothing", 5).count() == 0
     assert search.doc_frequency(post, "user post") == 1 and search.doc_frequency(post, "user absent") == 0
-    assert ids(search.substring_hits(e, "qdp"), "id") == [3]
+    assert [r.id for r in search.search_postings(post, n, "qdp", 10).collect()] == [3] == [r.id for r in search.search_postings(post, n, "eade", 10).collect()]
+    assert search.search_postings(post, n, "eade", 10, part=0).count() == 0
 
 
 def test_active_at(spark):
@@ -228,6 +233,15 @@ def test_ignore_rules(spark, path, is_dir, want):
     assert r.reason == want and r.decision == ("admit" if want == "default" or path == "keep.tmp" else "refuse")
 
 
+def test_thousands_of_rules(spark):
+    lines = "\n".join(f"dir{i}/*.tmp\n!dir{i}/keep.tmp" for i in range(1500)) + "\nlast/"
+    rules = admission.compile_rules([("root", None, lines)])
+    d = spark.createDataFrame([("dir1499/a.tmp", False, False), ("dir7/keep.tmp", False, False), ("last/x", False, False), ("dir7/a", False, False), (None, False, False)], "path string, is_dir boolean, tracked boolean")
+    got = {r.path: (r.decision, r.reason, r.line) for r in admission.decide(d, rules).collect()}
+    assert got == {"dir1499/a.tmp": ("refuse", "rule", 2999), "dir7/keep.tmp": ("admit", "rule", 16), "last/x": ("refuse", "ignored ancestor", 3001), "dir7/a": ("admit", "default", None), None: ("admit", "default", None)}
+    assert admission.decide(d, []).where("decision = 'admit'").count() == 5
+
+
 def test_rule_sets():
     import hashlib
 
@@ -293,7 +307,8 @@ def test_catalog(spark, tmp_path):
     assert ids(c.load(["entities"], {"entities": ["id"]}, verify=True)["entities"], "id") == ["a", "b", "c", "d"]
     assert [d["generation"] for d in c.deltas_since(1)] == [2] and c.deltas_since(2) == []
     assert c.compact() == 3 and ids(c.load()["relations"], "id") == [0, 1] and c.compact() is None
-    assert c.clear_deltas() == 4 and c.generations() == [4] and c.unnamed() == [] or c.unnamed()
+    assert c.clear_deltas() == 4 and c.generations() == [4] and c.unnamed() == [] and c.files.names("quarantine") == []
+    assert len(c.files.names("data")) == 2 and c.files.names("tmp") == []
     with pytest.raises(catalog.CatalogError, match="read-only"):
         catalog.GraphCatalog(spark, f"file:{tmp_path}/repo", read_only=True).save({"entities": e})
     assert catalog.list_repos(spark, f"file:{tmp_path}") == ["repo"]
@@ -302,11 +317,208 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(catalog.CatalogError, match="larger"):
         c.get_blob(name, 2)
     c.save_overlay("r", "s", e)
-    assert c.load_overlay("r", "s").count() == 3
+    c.save_overlay("r", "s", e.limit(2))
+    assert c.load_overlay("r", "s").count() == 2
     c.delete_overlay("r", "s")
     assert c.load_overlay("r", "s") is None
 
 
+def test_a_write_cut_off_at_any_step(spark, tmp_path):
+    """Torn manifests are passed over, replaced, promoted or discarded; torn blobs are mended."""
+    root = f"file:{tmp_path}/repo"
+    c = catalog.GraphCatalog(spark, root)
+    e, _ = graph(spark, *CHAIN)
+    c.save({"entities": e})
+    at = tmp_path / "repo"
+    for torn in (b"", b"{", b'{"version": 1'):
+        (at / "manifest-000000000002.json").write_bytes(torn)
+        assert c.head()["generation"] == 1 and c.load()["entities"].count() == 3
+    assert c.save({"entities": e.limit(1)}) == 2 and c.load()["entities"].count() == 1 and len(c.files.names("torn")) == 1
+    # Cut off between folders and manifest, and between the temporary manifest and its name.
+    lost = c._write({"entities": e})
+    assert c.unnamed() == [lost["entities"]["path"]]
+    kept = c._write({"entities": e})
+    c.files.stage("manifest-000000000003.json", catalog.sealed(c.head() | {"generation": 3, "snapshot": 3, "tables": kept, "deltas": []}))
+    c.files.stage("manifest-000000000004.json", b"{")
+    c.files.stage("manifest-000000000009.json", catalog.sealed(c.head() | {"generation": 9}))
+    done = c.recover()
+    assert "promoted 3" in done and c.load(verify=True)["entities"].count() == 3 and c.unnamed() == [] and c.files.names("tmp") == [] and c.recover() == []
+    name = c.put_blob(b"abcdef")
+    (at / "blobs" / name).write_bytes(b"abc")
+    with pytest.raises(catalog.CatalogError, match="hash"):
+        c.get_blob(name, 100)
+    assert c.put_blob(b"abcdef") == name and c.get_blob(name, 6) == b"abcdef"
+    temp = c.files.stage("x", b"1")
+    assert c.files.rename(temp, "y/z") and not c.files.rename(c.files.stage("x", b"2"), "y/z") and c.files.read("y/z") == b"1"
+
+
+def test_guards_reject_a_delta_as_a_whole(spark, tmp_path):
+    c = catalog.GraphCatalog(spark, f"file:{tmp_path}/repo")
+    tree, refs = spark.createDataFrame([(1, "p"), (2, "q")], "id int, path string"), spark.createDataFrame([(7, "x")], "id int, name string")
+    c.save({"tree": tree, "refs": refs}, kinds={"tree": "tree", "refs": "references"})
+    good = {"tree": spark.createDataFrame([("added", 3, "r")], "op string, id int, path string")}
+    for bad in ({"tree": spark.createDataFrame([("added", 3, "p")], "op string, id int, path string")}, {"refs": spark.createDataFrame([("added", 7, "y")], "op string, id int, name string")}, {"tree": spark.createDataFrame([("added", 4, "a"), ("removed", 4, None)], "op string, id int, path string")}, {"tree": spark.createDataFrame([("put", 4, "a")], "op string, id int, path string")}):
+        with pytest.raises(catalog.Rejected):
+            c.save_delta(good | bad)
+    with pytest.raises(catalog.Rejected, match="as a whole"):
+        c.save_delta(good, validate=lambda t: t["tree"].where("path = 'r'"))
+    assert c.head()["generation"] == 1 and len(c.files.names("data")) == 2
+    assert c.save_delta(good, validate=lambda t: t["tree"].where("path = 'nothing'")) == 2
+
+
+def test_locks_and_modes(spark, tmp_path, monkeypatch):
+    root = f"file:{tmp_path}/repo"
+    e, _ = graph(spark, *CHAIN)
+    w = catalog.GraphCatalog.open(spark, root, bootstrap={"entities": e})
+    assert w.head()["generation"] == 1
+    for mode in ("write", "read"):
+        with pytest.raises(catalog.Conflict, match="locked"):
+            catalog.GraphCatalog.open(spark, root, mode)
+    assert catalog.GraphCatalog.open(spark, root, "locate").load(columns={"entities": ["id"]})["entities"].columns == ["id"]
+    w.close()
+    one, two = (catalog.GraphCatalog.open(spark, root, "read") for _ in range(2))
+    with pytest.raises(catalog.Conflict):
+        catalog.GraphCatalog.open(spark, root)
+    one.close(), two.close()
+    files = catalog.Files(spark, root)
+    files.local = False  # lock files, as on file systems without locks
+    with catalog.Lock(files):
+        with pytest.raises(catalog.Conflict):
+            catalog.Lock(files, shared=True).__enter__()
+        monkeypatch.setattr(catalog, "LEASE", -1)
+        with catalog.Lock(files):
+            pass
+    monkeypatch.setattr(catalog, "LEASE", 3600)
+    with catalog.Lock(files, shared=True), catalog.Lock(files, shared=True), pytest.raises(catalog.Conflict):
+        catalog.Lock(files).__enter__()
+    assert files.names("locks") == []
+
+
+def test_quarantine_keeps_what_isn_t_as_recorded(spark, tmp_path):
+    c = catalog.GraphCatalog(spark, f"file:{tmp_path}/repo")
+    e, _ = graph(spark, *CHAIN)
+    c.save({"entities": e})
+    entry = c.head()["tables"]["entities"]
+    c.save({"entities": e.limit(1)})
+    e.limit(2).write.mode("overwrite").parquet(f"file:{tmp_path}/repo/{entry['path']}")
+    with pytest.raises(catalog.CatalogError, match="superseded"):
+        c.clear_deltas()
+    assert len(c.files.names("quarantine")) == 1 and c.load(verify=True)["entities"].count() == 1
+
+
+def test_tiers(spark, tmp_path):
+    c = catalog.GraphCatalog(spark, f"file:{tmp_path}/repo")
+    e, r = graph(spark, *CHAIN)
+    c.save({"entities": e, "relations": r})
+    hot, cold = c.load_tiered(10**12, 1)
+    assert hot["entities"].count() == 3 and cold["entities"].count() == 0
+    hot, cold = c.load_tiered(10, 2)
+    assert ids(hot["entities"], "id") == ["a", "b"] and ids(hot["relations"], "id") == [0] and cold["entities"].count() == 3
+    assert c.save_tiered({"entities": hot["entities"].withColumn("name", F.lit("n"))}) == 2
+    t = c.load()
+    assert ids(t["entities"], "name") == ["c", "n", "n"] and ids(t["relations"], "id") == [0, 1]
+
+
+def test_frames(spark, tmp_path):
+    from skein.sources import frames
+
+    log = frames.FrameLog(spark, f"file:{tmp_path}/log")
+    a, b = (spark.createDataFrame(x, "id int, v string") for x in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
+    assert log.drain({"t": a}, {"t": a}) is None and log.drain({"t": a}, {"t": b}) == 1 and log.drain({"t": b}, {"t": a}) == 2
+    assert log.prove({"t": a}, {"t": a}) is None and log.prove({"t": a}, {"t": b}) == "t" and log.prove({"t": b}, {"t": a}, since=1) is None
+    f = log.frames()[0]
+    assert frames.decode(frames.encode({k: v for k, v in f.items() if k != "format"})) == f
+    with pytest.raises(catalog.CatalogError, match="format"):
+        frames.decode(catalog.sealed(f | {"format": 1}))
+    with pytest.raises(catalog.CatalogError, match="fields"):
+        frames.decode(catalog.sealed(f | {"more": 1}))
+    (tmp_path / "log" / "frames" / "frame-000000000001.json").write_bytes(frames.encode(f | {"sequence": 1, "keys": {"t": "id"}}))
+    with pytest.raises(catalog.CatalogError, match="follow"):
+        log.frames()
+
+
+def test_sidecars(spark, tmp_path):
+    from skein.sources import sidecars
+
+    store = sidecars.Sidecars(spark, f"file:{tmp_path}/s")
+    e = spark.createDataFrame([(1, "function", "getUser"), (2, "class", "QdpReader"), (3, "function", "dropUser")], "id bigint, kind string, name string")
+    of = lambda d: search.with_fields(d, fields.entity_fields(d))
+    t = sidecars.TextIndex(store, "bigint")
+    assert t.live_document_count() == 0 and sidecars.TextIndex.peek_stamp(store) is None
+    t.upsert(of(e))
+    assert t.search("user").count() == 0  # nothing is seen before the commit
+    t.commit("r1")
+    assert ids(t.search("user"), "id") == [1, 3] and ids(t.search("qdp"), "id") == [2] and t.doc_frequency("user") == 2
+    t.upsert(of(e.where("id = 1").withColumn("name", F.lit("other"))))
+    t.upsert(of(e.where("id = 1").withColumn("name", F.lit("again"))))
+    t.remove(e.where("id = 3"))
+    t.commit("r2")
+    t = sidecars.TextIndex(store, "bigint")
+    assert ids(t.search("user"), "id") == [] and ids(t.search("again"), "id") == [1] and t.search("other").count() == 0
+    assert t.live_document_count() == 2 and sidecars.TextIndex.peek_stamp(store) == "r2"
+    assert dict(ids(t.contains(e), "id", "contained")) == {1: True, 2: True, 3: False}
+    (tmp_path / "s" / "sidecars" / "text-000000000003.json").write_bytes(b"{")
+    assert sidecars.TextIndex.peek_stamp(store) == "r2"
+    t.rebuild(of(e.where("id = 3")))
+    assert sidecars.TextIndex(store, "bigint").live_document_count() == 2
+
+    now = dict.fromkeys(nearest.FIELDS, "a") | {"dims": 2}
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, embedding array<float>")
+    assert sidecars.VectorIndex.load_compatible(store, now)[1] == "absent"
+    i = sidecars.VectorIndex(store, now, v)
+    token = i.key_set_token()
+    assert i.get(2) == [0.0, 1.0] and i.get(9) is None and i.contains(1) and len(i) == 2 and i.dimensions == 2
+    i.remove(v.where("id = 1"))
+    i.upsert(v.where("id = 1").unionByName(v.where("id = 2").withColumn("embedding", F.reverse("embedding"))))
+    assert i.key_set_token() == token and i.get(2) == [1.0, 0.0]
+    i.save()
+    assert sidecars.VectorIndex.load_compatible(store, now)[1:] == ("exact", None) and sidecars.VectorIndex.load_compatible(store, now | {"model": "b"})[1:] == ("refuse", "model")
+    drifted, what, _ = sidecars.VectorIndex.load_compatible(store, now | {"stamp": "b"}, v.where("id = 2"))
+    assert what == "stamp_drift" and len(drifted) == 1
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(ts):
+        calls.add(len(ts))
+        return [[float(len(x)), 1.0] for x in ts]
+
+    texts = spark.createDataFrame([(k, "x" * k) for k in range(1, 40)], "id int, text string")
+    sidecars.embed_with_checkpoints(store, texts.limit(20), "m", model, 2, parts=4)
+    first = calls.value
+    assert sidecars.embed_with_checkpoints(store, texts.limit(20), "m", model, 2, parts=4).count() == 20 and calls.value == first
+
+
+def test_inverted_lists_reach_their_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    exact = {(r.query, r.id) for r in nearest.knn_many(v, queries, 10, block=7).collect()}
+    one = {r.id for r in nearest.knn(v, list(v.where("id = 100").first().embedding), 10).collect()}
+    assert {i for q, i in exact if q == 100} == one
+    centres = nearest.fit_lists(v)
+    indexed = nearest.with_list(v.select("id", "embedding"), centres)
+    assert indexed.count() == v.count() and {(r.query, r.id) for r in nearest.ann_search(indexed, centres, queries, 10, len(centres)).collect()} == exact
+    from skein.plans.data_queries import PROBES
+
+    found = {(r.query, r.id) for r in nearest.ann_search(indexed, centres, queries, 10, PROBES).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_many_lineages_at_once(spark):
+    c = spark.createDataFrame([("r", []), ("a", ["r"]), ("b", ["a", "z"]), ("s", [])], "id string, parents array<string>")
+    got = traverse.first_parent_lineages(c, spark.createDataFrame([("b",), ("a",), ("none",)], "id string"))
+    assert ids(got, "target", "change", "distance") == [("a", "a", 0), ("a", "r", 1), ("b", "a", 1), ("b", "b", 0), ("b", "r", 2)]
+    with pytest.raises(ValueError, match="cycle"):
+        traverse.first_parent_lineages(spark.createDataFrame([("x", ["y"]), ("y", ["x"])], c.schema), spark.createDataFrame([("x",)], "id string"))
+
+
+def test_small_guards(spark):
+    d = spark.createDataFrame([(i, i * 1000) for i in (1, 2, 2, 5, 4)], "k int, o int").withColumn("o", F.monotonically_increasing_id() * 60_000)
+    assert ids(delta.require_sorted_unique(d.coalesce(1), "k", "o"), "k") == [2, 4]
+    t = spark.createDataFrame([(1,)], "id int")
+    assert delta.total_changes({"entities": t, "outgoing": t}) == 1
+
+
 def test_catalog_finds_damage(spark, tmp_path):
     c = catalog.GraphCatalog(spark, f"file:{tmp_path}/repo")
     e, _ = graph(spark, *CHAIN)
