@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.traverse import first_parent_lineage
+from skein.operators.traverse import first_parent_cycles, first_parent_lineage
 
 
 def state_at(deltas: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -41,6 +41,24 @@ def problems(deltas: DataFrame, branch: str = "branch") -> DataFrame:
     return d.withColumn("problem", problem).where("problem is not null").select(branch, "seq", "id", "problem")
 
 
+def validate(changes: DataFrame, deltas: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """(problem, id): all that is wrong with a history, in one table.
+
+    changes: key, id, parents, payload; deltas: change, id, op, old, new, and branch and seq, which order them along first parents.
+    Told are ids that don't match their key or come with two payloads, missing parents, changes on or below a cycle of
+    first parents, deltas of unknown changes, deltas that don't fit the state before them, and relations with a dead end.
+    """
+    told = lambda df, what, c="id": df.select((F.lit(what) if isinstance(what, str) else what).alias("problem"), F.col(c).cast("string").alias("id"))
+    known = changes.dropDuplicates(["id"])
+    out = told(id_problems(changes), "id or payload differs").unionByName(told(missing_parents(known), "missing parent"))
+    out = out.unionByName(told(first_parent_cycles(known.select("id", "parents")), "cycle of first parents"))
+    out = out.unionByName(told(deltas.join(known.select(F.col("id").alias("change")), "change", "left_anti"), "delta of an unknown change", "change"))
+    out = out.unionByName(told(problems(deltas), F.col("problem")))
+    if entities is not None and relations is not None:
+        out = out.unionByName(told(dangling(relations, entities), F.concat(F.lit("dangling "), "side")))
+    return out
+
+
 def invert(deltas: DataFrame) -> DataFrame:
     """Deltas that rewind: newest first, old and new swapped."""
     op = F.when(F.col("op") == "added", "removed").when(F.col("op") == "removed", "added").otherwise(F.col("op"))
@@ -87,4 +105,4 @@ def id_problems(changes: DataFrame) -> DataFrame:
     return own.unionByName(two).distinct()
 
 
-__all__ = ["admission_problems", "children", "dangling", "first_parent_lineage", "id_problems", "invert", "missing_parents", "problems", "revisions", "state_at", "trees_at"]
+__all__ = ["admission_problems", "children", "dangling", "first_parent_lineage", "id_problems", "invert", "missing_parents", "problems", "revisions", "state_at", "trees_at", "validate"]

@@ -317,8 +317,8 @@ def embed_checkpoints(spark, sf):
 def _retrieval_graph(spark, sf):
     """Parts and suppliers (ids below zero) with a relation for each pair that an item names."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "source").otherwise("test").alias("role"))
-    e = part.unionByName(table(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("id"), F.lit("external").alias("role")))
-    r = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct().withColumn("kind", F.lit("uses_type"))
+    e = part.unionByName(table(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.lit("external").alias("role")))
+    r = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct().withColumn("kind", F.lit("uses_type"))
     return e, r.withColumn("id", F.concat_ws(":", "src", "dst"))
 
 
@@ -332,7 +332,7 @@ def unified_retrieve(spark, sf):
 
 
 _UNIFIED = (
-    f"WITH RECURSIVE {_PARTS}, {_fuzzy_sql(['blue', 'plate'], 50)}, g AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem), edges AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), r(node, depth) AS (SELECT 3, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 2), "
+    f"WITH RECURSIVE {_PARTS}, {_fuzzy_sql(['blue', 'plate'], 50)}, g AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem), edges AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), r(node, depth) AS (SELECT 3, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 2), "
     "hop AS (SELECT node AS id, min(depth) AS graph_hops FROM r WHERE node <> 3 GROUP BY node), "
     f"vec AS (SELECT vec_id AS id, {_DIST} AS vector_distance FROM embeddings ORDER BY 2, 1 LIMIT 50), a AS (SELECT coalesce(found.id, vec.id) AS id, score AS lexical_score, vector_distance FROM found FULL JOIN vec ON found.id = vec.id), "
     "b AS (SELECT coalesce(a.id, hop.id) AS id, lexical_score, vector_distance, graph_hops FROM a FULL JOIN hop ON a.id = hop.id) "
@@ -385,6 +385,34 @@ def stale_old_payload(spark, sf):
     return history.problems(e.select(F.col("user_id").alias("branch"), "seq", "id", op.alias("op"), old.alias("old"), "new"))
 
 
+def history_validation(spark, sf):
+    """The turns of all conversations as a history with planted faults: keys, payloads, parents, a cycle, stale values, unknown changes."""
+    c = table(spark, sf, "conversations")
+    turn, conv = F.col("turn"), F.col("conv_id")
+    id_ = F.concat_ws("/", "conv_id", "turn")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    parent = F.when(turn > 0, F.when((conv % 13 == 5) & (turn == 1), F.concat(id_, F.lit("?"))).otherwise(F.concat_ws("/", "conv_id", turn - 1))).when(conv % 10 == 0, F.concat_ws("/", "conv_id", "last"))
+    changes = c.join(last, "conv_id").select(F.when((conv % 7 == 3) & (turn == 0), F.lit("other")).otherwise(id_).alias("key"), id_.alias("id"), F.when(parent.isNotNull(), F.array(parent)).otherwise(F.array().cast("array<string>")).alias("parents"), F.col("text").alias("payload"))
+    again = c.where("conv_id % 11 = 2 and conv_id % 10 != 0 and turn = 0").select(id_.alias("key"), id_.alias("id"), F.array().cast("array<string>").alias("parents"), F.lit("another").alias("payload"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    new = F.concat_ws(":", "turn", F.length("text"))
+    old = F.when(F.lag("turn").over(w).isNotNull(), F.when(turn % 5 == 4, F.lit("stale")).otherwise(F.lag(new).over(w)))
+    deltas = c.select(F.when((conv % 9 == 4) & (turn == 0), F.lit("nowhere")).otherwise(id_).alias("change"), F.concat_ws("#", "conv_id", "role").alias("id"), F.when(F.lag("turn").over(w).isNull(), "added").otherwise("modified").alias("op"), old.alias("old"), new.alias("new"), conv.alias("branch"), turn.alias("seq"))
+    return history.validate(changes.unionByName(again), deltas)
+
+
+_VALIDATION = (
+    "WITH c AS (SELECT *, concat(conv_id, '/', turn) AS id, concat(conv_id, '#', role) AS item, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) "
+    "SELECT 'id or payload differs' AS problem, id FROM c WHERE turn = 0 AND (conv_id % 7 = 3 OR conv_id % 11 = 2 AND conv_id % 10 <> 0) "
+    "UNION ALL SELECT 'missing parent', id FROM c WHERE turn = 1 AND conv_id % 13 = 5 "
+    "UNION ALL SELECT 'cycle of first parents', id FROM c WHERE conv_id % 10 = 0 AND NOT (conv_id % 13 = 5 AND (SELECT max(x.turn) FROM c x WHERE x.conv_id = c.conv_id) > 0) "
+    "UNION ALL SELECT 'delta of an unknown change', 'nowhere' FROM c WHERE conv_id % 9 = 4 AND turn = 0 "
+    "UNION ALL SELECT 'stale old value', item FROM c WHERE k > 1 AND turn % 5 = 4"
+)
+
+
 def change_children(spark, sf):
     c = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.array(F.concat_ws("/", "conv_id", F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
     return history.children(c).select("parent", F.array_join("children", ",").alias("children"))
@@ -714,6 +742,7 @@ QUERIES = {
     "lineage_state_at": (lineage_state_at, f"WITH s AS ({_STATE}) SELECT id, value FROM s WHERE conv_id = (SELECT conv_id FROM conversations ORDER BY turn DESC, conv_id LIMIT 1)"),
     "trees_at_targets": (trees_at_targets, f"WITH s AS ({_STATE}), t AS (SELECT conv_id, concat(conv_id, '/', max(turn)) AS target FROM conversations GROUP BY conv_id) SELECT target, id, value FROM s JOIN t USING (conv_id)"),
     "stale_old_payload": (stale_old_payload, "SELECT user_id AS branch, event_id AS seq, id, 'stale old value' AS problem FROM (SELECT user_id, event_id, CAST(trunc(value) AS BIGINT) % 20 AS id, row_number() OVER (PARTITION BY user_id, CAST(trunc(value) AS BIGINT) % 20 ORDER BY event_id) AS k FROM events) WHERE event_id % 13 = 0 AND k > 1"),
+    "history_validation": (history_validation, _VALIDATION),
     "change_children": (change_children, "SELECT concat(conv_id, '/', turn - 1) AS parent, string_agg(concat(conv_id, '/', turn), ',') AS children FROM conversations WHERE turn > 0 GROUP BY conv_id, turn"),
     "entity_revisions": (
         entity_revisions,

@@ -534,6 +534,16 @@ def test_catalog_finds_damage(spark, tmp_path):
         c.head()
 
 
+def test_stream_folds_its_deltas(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    log = shared_path(spark) + "/log"
+    for g, row in enumerate([("added", 3, "c"), ("modified", 1, "x"), ("removed", 3, None), ("added", 3, "again"), ("removed", 2, None)], 1):
+        spark.createDataFrame([(g, *row)], "generation long, op string, id int, v string").coalesce(1).write.mode("append").parquet(log)
+    for fold in (1, 2, 99):
+        state, last = stream.follow(spark, log, spark.read.parquet(log).schema, base, per_batch=1, fold=fold)
+        assert last == 5 and ids(state, "id", "v") == [(1, "x"), (3, "again")] and state.columns == base.columns
+
+
 def test_stream_refuses_gaps(spark):
     log = shared_path(spark) + "/log"
     base = spark.createDataFrame([(1, "a")], "id int, v string")
