@@ -165,13 +165,20 @@ _RUN = re.compile(r"\w+")
 _FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 
 
+def _odd(t: str) -> bool:
+    return not t.isascii() and bool(_FAR.search(t) or "\xad" in t)
+
+
+def _counts(t: str) -> bool:
+    """Whether a text has the two words that every match of _SPELLED begins and ends with."""
+    if not t.isascii() and _FOLDED.search(t):
+        return True
+    return len([w for w in _RUN.findall(t.lower()) if w in _DIGIT_WORDS]) > 1
+
+
 def disguised(t: str) -> bool:
     """Whether any transducer could change the text: cheap tests that never miss one."""
-    if _BRACKETED.search(t) or _BETWEEN.search(t):
-        return True
-    if not t.isascii() and ((_FAR.search(t) or "\xad" in t) and _ODD.search(t) or _FOLDED.search(t) and _SPELLED.search(t)):
-        return True
-    return not _DIGIT_WORDS.isdisjoint(_RUN.findall(t.lower())) and bool(_SPELLED.search(t))
+    return bool(_BRACKETED.search(t) or _BETWEEN.search(t) or _odd(t) and _ODD.search(t) or _counts(t) and _SPELLED.search(t))
 
 
 def tape(t: str) -> Tape:
@@ -197,10 +204,14 @@ def rewrite(x: Tape, edits: list[tuple[int, int, str]]) -> Tape:
 
 
 def _glyphs(x: Tape) -> Tape:
+    if not _odd(x.text):
+        return x
     return rewrite(x, [(m.start(), m.end(), _HOMOGLYPHS.get(m[0], "")) for m in _ODD.finditer(x.text)])
 
 
 def _spelled(x: Tape) -> Tape:
+    if not _counts(x.text):
+        return x
     edits = []
     for run in _SPELLED.finditer(x.text):
         words = list(_ONE_WORD.finditer(x.text, run.start(), run.end()))
@@ -230,10 +241,13 @@ def _plain(t: str) -> list[tuple[int, int, str]]:
 
 
 def _signs(x: Tape) -> Tape:
-    x = rewrite(x, [(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
-    x = rewrite(x, [(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
+    if _BRACKETED.search(x.text):
+        x = rewrite(x, [(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
+        x = rewrite(x, [(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
     x = rewrite(x, _plain(x.text))
-    return rewrite(x, [(d.start(), d.end(), ".") for m in _PLAIN_IP.finditer(x.text) for d in _PLAIN_DOT.finditer(x.text, m.start(), m.end())])
+    if "dot" in x.text.lower():
+        x = rewrite(x, [(d.start(), d.end(), ".") for m in _PLAIN_IP.finditer(x.text) for d in _PLAIN_DOT.finditer(x.text, m.start(), m.end())])
+    return x
 
 
 TRANSDUCERS = (_glyphs, _spelled, _signs)
