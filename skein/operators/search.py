@@ -26,10 +26,13 @@ def with_fields(docs: DataFrame, fields: Column, key: str = "id") -> DataFrame:
 
 def postings(fielded: DataFrame, key: str = "id") -> DataFrame:
     """(token, key, tf, length): one row per token and document, combined before the shuffle."""
-    cut = F.transform("fields", lambda f: F.struct(tokens(f["text"]).alias("t"), f["weight"].alias("w")))
-    length = F.aggregate(cut, F.lit(0), lambda n, f: n + F.size(f["t"]))
-    each = fielded.select(key, length.alias("length"), F.explode(F.flatten(F.transform(cut, lambda f: F.transform(f["t"], lambda t: F.struct(t.alias("token"), f["w"].alias("w")))))).alias("p"))
-    return each.groupBy(key, "length", F.col("p.token").alias("token")).agg(F.sum("p.w").alias("tf")).select("token", key, "tf", "length")
+    # One row a field first, so that each text is cut into tokens once.
+    each = fielded.select(key, F.explode("fields").alias("f")).select(key, F.col("f.weight").alias("w"), tokens(F.col("f.text")).alias("t"))
+    cut = each.select(key, F.explode("t").alias("token"), "w").groupBy(key, "token").agg(F.sum("w").alias("tf"), F.count("*").cast("int").alias("n"))
+    from pyspark.sql import Window
+
+    # Only combined rows are moved once more for the lengths.
+    return cut.withColumn("length", F.sum("n").over(Window.partitionBy(key)).cast("int")).select("token", key, "tf", "length")
 
 
 def _idf(n: float, df: float) -> Column:
