@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skein.functions.shared import is_small, materialize, small, spread_join  # noqa: F401, what the operators take from here
 
@@ -17,7 +18,7 @@ from skein.functions.shared import is_small, materialize, small, spread_join  #
 FILTER_BITS = 1 << 29
 
 #: Texts are handled in slices of about so many bytes, so numpy's temporaries stay small. A longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +54,27 @@ def offsets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def release() -> None:
+    """Give back what a worker no longer uses: workers live on from stage to stage and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run):
+    """A function over batches that gives memory back when a partition is done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def text_slices(column: pa.Array, budget: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) over whole texts, at most `rows` at a time; null texts are empty."""
     if pa.types.is_null(column.type):
@@ -110,6 +132,12 @@ def text_bounds(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
+def with_text(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """docs for a function over batches, and the position of its text: the column itself, or if that's no string a last one that is."""
+    at = next((i for i, f in enumerate(docs.schema.fields) if f.name == text and isinstance(f.dataType, StringType)), None)
+    return (docs, at) if at is not None else (docs.select("*", F.col(text).cast("string").alias(fresh(docs, "__text"))), len(docs.columns))
+
+
 def crc_of_id(doc_id: str = "doc_id"):
     """crc32 of the id as text, as the held-out rules use it; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -186,8 +214,8 @@ def is_in(levels: list[Filter], h: Column, g: Column) -> Column:
     """Whether rows belong to the members of a cascade, by their hashes; only these go to Python."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(levels)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series(belongs(shared.value, h.to_numpy(np.int64), g.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array, g: pa.Array) -> pa.Array:
+        return pa.array(belongs(shared.value, h.to_numpy(zero_copy_only=False), g.to_numpy(zero_copy_only=False)))
 
     return test(h, g)

@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, fresh, materialize, mix, run_hashes, runs, text_bounds, text_slices
+from .common import U64, materialize, mix, run_hashes, runs, text_bounds, text_slices, tidy, with_text
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -330,26 +330,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()])], names=names)
 
-        part = src.mapInArrow(run, schema)
+        part = src.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """The rows of docs that hold no benchmark item; columns as they were. No join: rows are dropped where they're read."""
+    kind = docs.schema
     for ix in build(benchmark, threshold):
         match, shared = _matcher(min_overlap), docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(ix))
+        src, at = with_text(docs)
 
-        def run(batches, match=match, shared=shared):
+        def run(batches, match=match, shared=shared, at=at, n=len(kind)):
             ix = pickle.loads(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for d, _ in match(batch.column(batch.num_columns - 1), ix):
+                for d, _ in match(batch.column(at), ix):
                     keep[d] = False
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:n]], names=batch.schema.names[:n])
 
-        docs = docs.select("*", F.col("text").cast("string").alias(fresh(docs, "__words"))).mapInArrow(run, docs.schema)
+        docs = src.mapInArrow(tidy(run), kind)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cascade_of, filter_of, fresh, is_in, is_small, lower, materialize, mix, passes, run_hashes, runs, spread_join, text_bounds, text_slices
+from .common import U64, cascade_of, filter_of, fresh, is_in, is_small, lower, materialize, mix, passes, run_hashes, runs, spread_join, text_bounds, text_slices, tidy
 
 #: Up to 9 one subset is emitted, up to 19 subsets lack one element, up to 29 two, up to 39 three.
 BOUNDARIES = (5, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 34, 39)
@@ -235,7 +235,7 @@ def shared_entries(listed: DataFrame) -> DataFrame:
     keys = listed.select(F.explode("keys").alias("k"), "s1").groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi")
     shared, _ = filter_of(materialize(keys.select(F.col("k").alias("h"), F.col("k").alias("g"))))
     found = listed.sparkSession.sparkContext.broadcast(shared)
-    return materialize(listed.select("s1", "s2", "n", "keys").mapInArrow(_entries_of(found), "k long, s1 long, s2 long, n long").distinct())
+    return materialize(listed.select("s1", "s2", "n", "keys").mapInArrow(tidy(_entries_of(found)), "k long, s1 long, s2 long, n long").distinct())
 
 
 def candidate_pairs(entries: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -
     if boundary is None:
         boundary = choose_boundary(src, "text", threshold, width)
     more = src.drop("doc_id", "text").schema
-    listed = materialize(src.mapInArrow(_emit(threshold, width, boundary), ", ".join(["doc_id long, n long, s1 long, s2 long, keys array<long>", *(f"{c.name} {c.dataType.simpleString()}" for c in more)])))
+    listed = materialize(src.mapInArrow(tidy(_emit(threshold, width, boundary)), ", ".join(["doc_id long, n long, s1 long, s2 long, keys array<long>", *(f"{c.name} {c.dataType.simpleString()}" for c in more)])))
     rows = listed.drop("keys")
     classes = materialize(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     within = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
@@ -325,7 +325,7 @@ def _classes(src: DataFrame, threshold: int, width: int, boundary: int | None) -
         marks = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
         chosen, _ = filter_of(ids.select(*(m.alias(n) for m, n in zip(marks(F.col("rep")), "hg"))))
         texts = src.where(is_in([chosen], *marks(F.col("doc_id")))).select("text")
-    sets = materialize(texts.mapInArrow(_sets(width), "s1 long, s2 long, u array<long>").dropDuplicates(["s1", "s2"]))
+    sets = materialize(texts.mapInArrow(tidy(_sets(width)), "s1 long, s2 long, u array<long>").dropDuplicates(["s1", "s2"]))
     links = materialize(verified(pairs, sets.select(_sid().alias("id"), "u"), threshold))
 
     copies = classes.select(_sid().alias("b"), "copies")
@@ -375,14 +375,15 @@ def keep_one(docs: DataFrame, threshold: int = 90) -> DataFrame:
 
     h, g = fresh(docs, "__h"), fresh(docs, "__g")
     marked = docs.select("*", F.xxhash64(id_, F.xxhash64(text)).alias(h), F.xxhash64(F.lit(2), id_, F.xxhash64(F.lit(1), text)).alias(g))
-    dropped = cascade_of(gone, rows.select(*marks()).join(gone, ["h", "g"], "left_anti"))
-    if dropped is not None:
+    far = gone.select(F.col("h").alias(h), F.col("g").alias(g))
+    if is_small(gone):
+        kept = marked.join(F.broadcast(far), [h, g], "left_anti")
+    elif (dropped := cascade_of(gone, rows.select(*marks()).join(gone, ["h", "g"], "left_anti"))) is not None:
         kept = marked.where(~is_in(dropped, F.col(h), F.col(g)))
     else:
-        far = gone.select(F.col("h").alias(h), F.col("g").alias(g))
         kept = marked.join(far, [h, g], "left_anti")
     if twice.isEmpty():
-        return kept.drop(h, g)
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
     # One of rows with the same id and text: only these are shuffled.
     again, _ = filter_of(twice)
     kept = kept.withColumn(fresh(kept, "__again"), is_in([again], F.col(h), F.col(g)))

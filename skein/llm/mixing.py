@@ -26,9 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import fresh, lower, materialize, run_hashes, runs, spread_join, text_bounds, text_slices
+from .common import fresh, lower, materialize, release, run_hashes, runs, spread_join, text_bounds, text_slices
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Words of each topic in English, German, French and Spanish.
@@ -195,27 +194,29 @@ def named_cells(docs: DataFrame, text: str = "text", source: str = "source", lan
     """docs with columns __source, __lang, __topic and __tokens."""
     lexicon, n = Lexicon(TOPICS if topics is None else topics), names_in(docs)
 
-    def run(batches):
-        for batch in batches:
-            topic, tokens = [], []
-            for _, _, buf, off in text_slices(batch.column(batch.num_columns - 1)):
-                a, b = lexicon.measure(buf, off)
-                topic += a
-                tokens.append(b)
-            count = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(topic, pa.string()), pa.array(count, pa.int64())], names=[*batch.schema.names[:-1], n["topic"], n["tokens"]])
-
-    src = docs.select("*", F.coalesce(F.col(source).cast("string"), F.lit("(null)")).alias(n["source"]), F.coalesce(F.col(lang).cast("string"), F.lit("(null)")).alias(n["lang"]))
-    kind = StructType([*src.schema.fields, StructField(n["topic"], StringType()), StructField(n["tokens"], LongType())])
-    out = src.select("*", F.col(text).cast("string").alias(fresh(src, "__text"))).mapInArrow(run, kind)
-    return out if topic is None else out.withColumn(n["topic"], F.coalesce(topic, F.lit("(null)")))
+    @F.arrow_udf("topic string, tokens long")
+    def measure(texts: pa.Array) -> pa.Array:
+        topic, tokens = [], []
+        for _, _, buf, off in text_slices(texts):
+            a, b = lexicon.measure(buf, off)
+            topic += a
+            tokens += b.tolist()
+        release()
+        return pa.StructArray.from_arrays([pa.array(topic, pa.string()), pa.array(tokens, pa.int64())], ["topic", "tokens"])
+
+    both = fresh(docs, "__both")
+    out = docs.select(
+        "*", F.coalesce(F.col(source).cast("string"), F.lit("(null)")).alias(n["source"]), F.coalesce(F.col(lang).cast("string"), F.lit("(null)")).alias(n["lang"]), measure(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(both)
+    )
+    told = F.col(both)["topic"] if topic is None else F.coalesce(topic, F.lit("(null)"))
+    return out.withColumns({n["topic"]: told, n["tokens"]: F.col(both)["tokens"]}).drop(both)
 
 
 def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, named: DataFrame | None = None) -> DataFrame:
     """docs with columns __source, __lang, __topic, __tokens, __weight (the factor), __prob and __draw, named as names_in(docs) says.
 
-    named: what named_cells(docs) gave, if the caller kept it. Else texts are measured twice: for the cells, which only takes
-    the columns they need, and for the rows; keeping them would write every text once more.
+    named: what named_cells(docs) gave, if the caller kept it. Else texts are measured twice, for the cells and for the
+    rows; keeping them would write every text once more. Only texts go to Python.
     """
     spark, n = docs.sparkSession, names_in(docs)
     if named is None:

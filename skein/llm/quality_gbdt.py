@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_of_id, fresh, run_hashes, runs, text_bounds, text_slices
+from .common import crc_of_id, fresh, run_hashes, runs, text_bounds, text_slices, tidy, with_text
 
 FEATURES = (
     "chars", "words", "word_length", "upper", "digit", "space", "newline", "stop", "comma", "bang", "pipe", "symbol", "quote", "other_punct", "high",
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, max_rows: i
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most max_rows ids, so the side has a proven bound.
-    found = text.join(F.broadcast(use), "doc_id").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).toPandas()
+    found = text.join(F.broadcast(use), "doc_id").select("doc_id", "quality", "text").mapInArrow(tidy(measure), "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).toPandas()
     found = found.sort_values("doc_id")
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, found["quality"].to_numpy(float))
@@ -204,17 +204,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, max_rows: i
 def with_score(docs: DataFrame, forest: Forest, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score of every whole text as one more column."""
 
+    src, at = with_text(docs, text)
+    keep = docs.schema.fields
+
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, buf, off in text_slices(batch.column(batch.num_columns - 1)):
+            for lo, hi, buf, off in text_slices(batch.column(at)):
                 out[lo:hi] = forest.score(statistics(buf, off))
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out)], names=[*batch.schema.names[: len(keep)], name])
 
-    keep = docs.schema.fields
-    src = docs.select("*", F.col(text).cast("string").alias(fresh(docs, "__text")))
-    return src.mapInArrow(run, StructType([*keep, StructField(name, DoubleType())]))
+    return src.mapInArrow(tidy(run), StructType([*keep, StructField(name, DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
