@@ -14,6 +14,8 @@ BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 64 << 20
 #: A key with more rows than this is hot: its rows are spread over several tasks.
 HOT_ROWS = 200_000
+#: Bytes of stored tables for which a shuffle gets a task of its own, whatever the session's setting.
+TASK_BYTES = 8 << 20
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -83,6 +85,26 @@ def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> Da
     return F.broadcast(df) if is_small(df, rows, most) else df
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df is made from, a table as often as it's read; only metadata is looked at."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    each = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in each if x.getClass().getSimpleName() == "LogicalRelation")
+
+
+def by_size(df: DataFrame, *keys: str) -> DataFrame:
+    """df partitioned by keys into tasks whose number grows with the input, so that no task does; small inputs are left as they are."""
+    n = min(-(-stored_bytes(df) // TASK_BYTES), 20_000)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def hot_keys(rows: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame | None:
+    """(keys, __salts) of the keys with more than `hot` rows, or None; there are at most count(rows) / hot of them."""
+    hot = HOT_ROWS if hot is None else hot
+    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__salts")))
+    return None if counts.isEmpty() else counts
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], how: str = "inner", hot: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with lookup, where a key may hold a third of all rows.
 
@@ -93,11 +115,14 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: lis
     hinted = small(lookup) if counted is None else lookup
     if hinted is not lookup:
         return rows.join(hinted, keys, how)
-    hot = HOT_ROWS if hot is None else hot
-    counts = materialize((rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__salts")))
-    if counts.isEmpty():
-        return rows.join(lookup, keys, how)
-    counts = small(counts)
+    return salted_join(rows, lookup, keys, spread, hot_keys(rows if counted is None else counted, keys, hot), how)
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], hot: DataFrame | None, how: str = "inner", sized: bool = False) -> DataFrame:
+    """spread_join() of tables known to be large, with the hot keys counted before; sized: in as many tasks as by_size() gives rows."""
+    if hot is None:
+        return (by_size(rows, *keys) if sized else rows).join(lookup, keys, how)
+    counts = small(hot)
     cut = rows.join(counts, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
     many = lookup.join(counts, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return cut.join(many, [*keys, "__salt"], how).drop("__salt")
+    return (by_size(cut, *keys, "__salt") if sized else cut).join(many, [*keys, "__salt"], how).drop("__salt")

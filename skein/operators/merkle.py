@@ -5,12 +5,16 @@ Hashes are SHA-256 over bytes that this engine defines; they detect change, they
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.shared import materialize, spread_join
+from skein.functions.shared import by_size, hot_keys, materialize, salted_join, small
 from skein.operators.traverse import reach
 
 
@@ -78,8 +82,6 @@ def group_digest(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def root(domains: list[DataFrame]) -> str:
     """One hash of the folds of all domains, by name."""
-    import hashlib
-
     rows = sorted(d.first() for d in domains)
     return hashlib.sha256("".join(f"{r['name']}:{r['n']}:{r['digest']};" for r in rows).encode()).hexdigest()
 
@@ -89,15 +91,80 @@ def subgraph_hashes(entities: DataFrame, relations: DataFrame, depth: int) -> Da
 
     Unlike a depth-first hash it doesn't depend on the order of ids or roots, and cycles are no special case.
     """
-    state = materialize(entities.select("id", "hash"))
+    own = materialize(entities.select("id", "hash"))
+    if not depth:
+        return own
+    # Relations are made once; each round moves them to their targets and, as 32 bytes each, to their sources.
+    edges = materialize(relations.select("src", "kind", "dst").where("src is not null"))
+    hubs, heads = hot_keys(edges, ["dst"]), hot_keys(edges, ["src"])
+    state = own
     for _ in range(depth):
-        below = spread_join(relations.select("src", "kind", "dst"), state.select(F.col("id").alias("dst"), F.col("hash").alias("h")), ["dst"], ["src", "kind"], "left")
+        previous = state.select(F.col("id").alias("dst"), F.col("hash").alias("h"))
+        hinted = small(previous)
+        below = edges.join(hinted, "dst", "left") if hinted is not previous else salted_join(edges, previous, ["dst"], ["src", "kind"], hubs, "left", sized=True)
         part = below.select(F.col("src").alias("id"), F.sha2(F.concat_ws("|", F.lit("edge"), "kind", F.coalesce("h", node_hash(F.lit("absent"), F.col("dst").cast("string")))).cast("binary"), 256).alias("e"))
-        lists = group_digest(part, "id", "e").withColumnRenamed("digest", "all")
-        state = materialize(entities.select("id", F.col("hash").alias("own")).join(lists, "id", "left").select("id", F.sha2(F.concat(F.lit("subgraph-v1:"), "own", F.coalesce("all", F.lit(""))).cast("binary"), 256).alias("hash")))
+        if heads is None:
+            state = materialize(_covered(own, part))
+            continue
+        many = small(heads.select(F.col("src").alias("id")))
+        lists = group_digest(part.join(many, "id", "left_semi"), "id", "e").withColumnRenamed("digest", "all")
+        hot = own.join(many, "id", "left_semi").join(lists, "id", "left").select("id", F.sha2(F.concat(F.lit("subgraph-v1:"), "hash", F.coalesce("all", F.lit(""))).cast("binary"), 256).alias("hash"))
+        state = materialize(_covered(own.join(many, "id", "left_anti"), part.join(many, "id", "left_anti")).unionByName(hot))
     return state
 
 
+def _covered(own: DataFrame, part: DataFrame) -> DataFrame:
+    """(id, hash) of own (id, hash) over group_digest() of part (id, e), in one pass: both come to one task by id, a node's own hash first and its relations in order."""
+    kind = own.schema["id"].dataType
+    both = own.select("id", F.col("hash").alias("own"), F.lit(None).cast("binary").alias("e")).unionByName(part.select("id", F.lit(None).cast("string").alias("own"), F.unhex("e").alias("e")))
+    placed = by_size(both, "id")
+    placed = placed if placed is not both else both.repartition("id")
+    return placed.sortWithinPartitions("id", F.asc_nulls_first("e")).mapInArrow(_cover, T.StructType([T.StructField("id", kind), T.StructField("hash", T.StringType())]))
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, own, e) by id, those with own first. No more than the digests of a node's 65,536 buckets are kept, so it may have any number of relations."""
+    sha, now, owns, digests, bucket, run, found = hashlib.sha256, None, [], [], None, b"", ([], [])
+
+    def close() -> None:
+        if run:
+            digests.append(sha(run).hexdigest())
+        tail = sha("".join(digests).encode()).hexdigest() if digests else ""
+        for o in owns:
+            found[0].append(now)
+            found[1].append(None if o is None else sha(f"subgraph-v1:{o}{tail}".encode()).hexdigest())
+
+    def taken(kind: pa.DataType) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], pa.string())], ["id", "hash"])
+        found[0].clear()
+        found[1].clear()
+        return out
+
+    kind = None
+    for batch in batches:
+        kind, at = batch.column(0).type, 0
+        text = b"".join(batch.column(2).drop_null().to_pylist()).hex().encode()
+        for id_, own, none in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).is_null().to_pylist()):
+            if id_ != now:
+                close()
+                now, owns, digests, bucket, run = id_, [], [], None, b""
+            if none:
+                owns.append(own)
+                continue
+            x = text[at : at + 64]
+            at += 64
+            if x[:4] == bucket:
+                run += x
+            else:
+                if run:
+                    digests.append(sha(run).hexdigest())
+                bucket, run = x[:4], x
+        yield taken(kind)
+    close()
+    if found[0]:
+        yield taken(kind)
+
+
 def component_hashes(entities: DataFrame, relations: DataFrame, labels: DataFrame) -> DataFrame:
     """(component, hash) over the hashes of the members of each component. labels: (id, component)."""
     return group_digest(entities.select("id", "hash").join(labels, "id"), "component", "hash").withColumnRenamed("digest", "hash")
@@ -140,7 +207,8 @@ def refresh(previous: DataFrame, entities: DataFrame, relations: DataFrame, chan
     touched = materialize(reach(back, changed.select(F.col("id").alias("node")), depth).select(F.col("node").alias("id")))
     if touched.count() * 2 >= entities.count():
         return subgraph_hashes(entities, relations, depth)
-    region = reach(relations, touched.select(F.col("id").alias("node")), depth).select(F.col("node").alias("id"))
+    # Small sets of nodes are broadcast, so tables stay where they are and relations are filtered before they're made.
+    region, touched = small(materialize(reach(relations, touched.select(F.col("id").alias("node")), depth).select(F.col("node").alias("id")))), small(touched)
     inside = entities.join(region, "id", "left_semi")
     edges = relations.join(region.select(F.col("id").alias("src")), "src", "left_semi")
     fresh = subgraph_hashes(inside, edges, depth).join(touched, "id", "left_semi")

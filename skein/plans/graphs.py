@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.shared import by_size
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -33,9 +35,16 @@ def _entities(s: str) -> str:
     return " UNION ALL ".join(f"SELECT concat('{tag}:', cast({key} as {s})) AS id, '{kind}' AS kind, {name.format(s=s)} AS name, {file.format(s=s)} AS file_origin FROM {t}" for t, tag, key, kind, name, file in _ENTITIES)
 
 
-def _edges(s: str) -> str:
+#: Tables whose rows are grouped for relations of a tag, and the keys.
+_GROUPED = {"oc": ("orders", ("o_orderkey", "o_custkey")), "op": ("lineitem", ("l_orderkey", "l_partkey")), "ps": ("lineitem", ("l_partkey", "l_suppkey"))}
+
+
+def _edges(s: str, views: bool = False) -> str:
+    def of(q: str, tag: str) -> str:
+        return q.replace(f"from {_GROUPED[tag][0]}", f"from skein_{_GROUPED[tag][0]}_{tag}") if views and tag in _GROUPED else q
+
     return " UNION ALL ".join(
-        f"SELECT concat('{tag}:', cast(a as {s}), ':', cast(b as {s})) AS id, '{kind}' AS kind, concat('{x}:', cast(a as {s})) AS src, concat('{y}:', cast(b as {s})) AS dst, cast(n as bigint) AS occurrence_count FROM ({q}) q"
+        f"SELECT concat('{tag}:', cast(a as {s}), ':', cast(b as {s})) AS id, '{kind}' AS kind, concat('{x}:', cast(a as {s})) AS src, concat('{y}:', cast(b as {s})) AS dst, cast(n as bigint) AS occurrence_count FROM ({of(q, tag)}) q"
         for q, tag, kind, x, y in _EDGES
     )
 
@@ -51,6 +60,8 @@ def graph_p(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         views[t] = table(spark, sf, t)
     for t, df in views.items():
         df.createOrReplaceTempView(f"skein_{t}")
+    for tag, (t, keys) in _GROUPED.items():
+        by_size(views[t].select(*keys), *keys).createOrReplaceTempView(f"skein_{t}_{tag}")
 
     def named(q: str) -> str:
         for t in views:
@@ -60,7 +71,7 @@ def graph_p(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         return q
 
     e = spark.sql(named(_entities("STRING")))
-    return e, spark.sql(named(_edges("STRING")))
+    return e, spark.sql(named(_edges("STRING", True)))
 
 
 def s_sql(per: int = 5) -> str:
