@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.shared import materialize
+from skein.functions.shared import by_size, materialize, small
 
 
 def _row(df: DataFrame, columns: list[str]) -> Column:
@@ -78,10 +78,22 @@ def delta_counts(deltas: dict[str, DataFrame]) -> dict[str, int]:
     return {k: d.count() for k, d in deltas.items()}
 
 
+def absent_ends(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(end) of relations, each once, that aren't among the nodes (id); nulls are left out.
+
+    Ends are far fewer than relations, and absent ones mostly few: what they decide needs no relation to be moved.
+    """
+    ends = relations.select(F.explode(F.array("src", "dst")).alias("end")).where("end is not null")
+    return small(materialize(by_size(ends, "end").distinct().join(nodes.select(F.col("id").alias("end")), "end", "left_anti")))
+
+
 def live_relations(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations whose ends both live. nodes: (id) of all domains."""
-    ids = nodes.select("id").distinct()
-    return relations.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    gone = absent_ends(nodes, relations)
+    out = relations.where("src is not null and dst is not null")
+    for end in ("src", "dst"):
+        out = out.join(gone.withColumnRenamed("end", end), end, "left_anti")
+    return out.select(*relations.columns)
 
 
 def compact(nodes: DataFrame, relations: DataFrame, owned: dict[str, tuple[DataFrame, str, DataFrame]]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
@@ -89,21 +101,26 @@ def compact(nodes: DataFrame, relations: DataFrame, owned: dict[str, tuple[DataF
 
     Stats (what, removed): rows, and for adjacency the keys that lose all their entries.
     """
-    # Ends are looked up once; what is kept and all counts come from the marked table.
-    ids = nodes.select("id").distinct()
-    ends = [ids.select(F.col("id").alias(e), F.lit(True).alias(f"__{e}")) for e in ("src", "dst")]
-    marked = relations.join(ends[0], "src", "left").join(ends[1], "dst", "left").withColumn("__live", F.col("__src").isNotNull() & F.col("__dst").isNotNull())
-    marked = materialize(marked.select(*relations.columns, "__live"))
-    relations, kept = marked.drop("__live"), marked.where("__live").drop("__live")
+    # Only distinct ends are looked up; kept relations and all counts come from those that are absent.
+    gone = absent_ends(nodes, relations)
+    kept, marked = relations.where("src is not null and dst is not null"), relations
+    for end in ("src", "dst"):
+        one = gone.withColumnRenamed("end", end)
+        kept, marked = kept.join(one, end, "left_anti"), marked.join(one.withColumn(f"__{end}", F.lit(True)), end, "left")
+    kept = kept.select(*relations.columns)
     n = lambda df: df.agg(F.count("*").alias("n"))
 
     def stat(what: str, before: DataFrame, after: DataFrame) -> DataFrame:
         both = before.unionByName(after.select((-F.col("n")).alias("n")))
         return both.agg(F.sum("n").alias("removed")).select(F.lit(what).alias("what"), "removed")
 
-    stats = stat("relations", n(relations), n(kept))
-    for what, end in (("outgoing", "src"), ("incoming", "dst")):
-        stats = stats.unionByName(stat(what, n(relations.select(end).distinct()), n(kept.select(end).distinct())))
+    # One row an end and side says how many relations it loses and whether it keeps any.
+    dead = F.col("__src").isNotNull() | F.col("__dst").isNotNull() | F.col("src").isNull() | F.col("dst").isNull()
+    sides = F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col(e).alias("end")) for w, e in (("outgoing", "src"), ("incoming", "dst"))]))
+    each = marked.select(dead.alias("dead"), sides.alias("s")).groupBy("s.what", "s.end").agg(F.sum(F.col("dead").cast("long")).alias("lost"), F.min("dead").alias("all"))
+    each = materialize(each.groupBy("what").agg(F.sum("lost").alias("lost"), F.sum(F.col("all").cast("long")).alias("keys")))
+    of = lambda what, side, c: each.where(F.col("what") == side).agg(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias("removed")).select(F.lit(what).alias("what"), "removed")
+    stats = of("relations", "outgoing", "lost").unionByName(of("outgoing", "outgoing", "keys")).unionByName(of("incoming", "incoming", "keys"))
     tables = {}
     for name, (df, column, live) in owned.items():
         tables[name] = df.join(live.select(live.columns[0]).distinct().withColumnRenamed(live.columns[0], column), column, "left_semi")
