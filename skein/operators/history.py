@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.delta import absent_ends
 from skein.operators.traverse import first_parent_cycles, first_parent_lineage
 
 
@@ -85,10 +86,14 @@ def missing_parents(changes: DataFrame) -> DataFrame:
 
 def dangling(relations: DataFrame, nodes: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """(id, side) of relations with an end that isn't among the nodes; only touched ones (id) if given."""
-    rel = relations if touched is None else relations.join(touched.select("id"), "id", "left_semi")
-    ids = nodes.select("id").distinct()
-    parts = [rel.join(ids.withColumnRenamed("id", end), end, "left_anti").select("id", F.lit(end).alias("side")) for end in ("src", "dst")]
-    return parts[0].unionByName(parts[1])
+    gone = absent_ends(nodes, relations)
+    out = None
+    for end in ("src", "dst"):
+        for part in (relations.join(gone.withColumnRenamed("end", end), end, "left_semi"), relations.where(F.col(end).isNull())):
+            part = part.select("id", F.lit(end).alias("side"))
+            out = part if out is None else out.unionByName(part)
+    # Only what dangles is looked up among the touched ones.
+    return out if touched is None else out.join(touched.select("id"), "id", "left_semi")
 
 
 def admission_problems(entities: DataFrame, relations: DataFrame, artifacts: DataFrame, enrichment: DataFrame) -> DataFrame:
