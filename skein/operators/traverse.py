@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skein.functions.paths import is_magic_method, is_nonproduction
-from skein.functions.shared import materialize, small
+from skein.functions.shared import by_size, materialize, small
 
 #: Visited nodes up to which a search keeps its frontier on the driver.
 LOCAL_NODES = 20_000
@@ -32,7 +32,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFram
     """(node, depth) of everything within max_depth steps along edges (src, dst), seeds at depth 0; without a limit, to the fixpoint.
 
     While at most LOCAL_NODES nodes were visited, a level is one job: the frontier is a broadcast of proven size, and the
-    next one comes back through a limit. From the level on that would exceed the bound, frontiers stay tables.
+    next one comes back through a limit. It's a semi join, which the optimizer moves below the unions and groupings that
+    make the edges, so only edges of the frontier are made. From the level on that would exceed the bound, frontiers stay
+    tables, and so do the edges if several levels may follow.
     """
     spark, kind = edges.sparkSession, edges.schema["src"].dataType
     schema = StructType([StructField("node", kind), StructField("depth", IntegerType())])
@@ -43,7 +45,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFram
     found, frontier, depth = {r[0]: 0 for r in got}, [r[0] for r in got], 0
     while frontier and (max_depth is None or depth < max_depth):
         here = spark.createDataFrame([(n,) for n in frontier], StructType([StructField("src", kind)]))
-        got = edges.join(F.broadcast(here), "src").select(F.col("dst").alias("node")).where("node is not null").distinct().limit(LOCAL_NODES + 1).collect()
+        got = edges.join(F.broadcast(here), "src", "left_semi").select(F.col("dst").alias("node")).where("node is not null").distinct().limit(LOCAL_NODES + 1).collect()
         fresh = [r[0] for r in got if r[0] not in found]
         if len(got) > LOCAL_NODES or len(found) + len(fresh) > LOCAL_NODES:
             seen = materialize(spark.createDataFrame(list(found.items()), schema))
@@ -56,9 +58,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFram
 
 def _reach_tables(edges: DataFrame, seen: DataFrame, frontier: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
     parts = [seen]
+    if max_depth is None or max_depth - depth > 1:
+        edges = materialize(edges.select("src", "dst"))
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        step = edges.join(small(frontier.select(F.col("node").alias("src"))), "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+        here = frontier.select(F.col("node").alias("src"))
+        hinted = small(here)
+        step = (edges if hinted is not here else by_size(edges.select("src", "dst"), "src")).join(hinted, "src", "left_semi").select(F.col("dst").alias("node")).where("node is not null").distinct()
         known = reduce(DataFrame.unionByName, parts).select("node")
         frontier = materialize(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
         parts.append(frontier)
@@ -71,7 +77,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def _walked(relations: DataFrame, found: DataFrame, max_depth: int, ends: tuple[str, ...]) -> DataFrame:
     """Relations with an end that was expanded."""
-    inner = found.where(F.col("depth") < max_depth).select(F.col("node").alias("__n"))
+    inner = small(found.where(F.col("depth") < max_depth).select(F.col("node").alias("__n")))
     parts = [relations.join(inner, relations[e] == inner["__n"], "left_semi") for e in ends]
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
 
