@@ -17,6 +17,8 @@ from skein.functions.shared import materialize
 
 K1, B = 1.2, 0.75
 PART = 0.25
+#: Rows whose tokens are counted in one task.
+POSTING_ROWS = 50_000
 
 
 def with_fields(docs: DataFrame, fields: Column, key: str = "id") -> DataFrame:
@@ -27,6 +29,10 @@ def with_fields(docs: DataFrame, fields: Column, key: str = "id") -> DataFrame:
 def postings(fielded: DataFrame, key: str = "id") -> DataFrame:
     """(token, key, tf, length): one row per token and document, combined before the shuffle."""
     # One row a field first, so that each text is cut into tokens once.
+    # Short rows hold many tokens for their bytes, so they are spread by their number before they're cut up.
+    n = -(-fielded.select(key).count() // POSTING_ROWS)
+    if n > 1:
+        fielded = fielded.repartition(max(n, int(fielded.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
     each = fielded.select(key, F.explode("fields").alias("f")).select(key, F.col("f.weight").alias("w"), tokens(F.col("f.text")).alias("t"))
     cut = each.select(key, F.explode("t").alias("token"), "w").groupBy(key, "token").agg(F.sum("w").alias("tf"), F.count("*").cast("int").alias("n"))
     from pyspark.sql import Window
@@ -90,6 +96,18 @@ def doc_frequency(post: DataFrame, query: str) -> int:
     return min((found.get(t, 0) for t in want), default=0)
 
 
+def text_frequencies(docs: DataFrame, queries: list[str], text: str = "text") -> list[int]:
+    """doc_frequency() of each query over one text column without an index: one pass over the texts, which moves only counts."""
+    wants = [sorted(set(python_tokens(q))) for q in queries]
+    every = sorted({t for w in wants for t in w})
+    if not every:
+        return [0] * len(queries)
+    # The pieces are an array that is made once a row and read by one lambda.
+    have = docs.select(F.array_intersect(tokens(F.coalesce(F.col(text), F.lit(""))), F.array(*[F.lit(t) for t in every])).alias("t"))
+    found = {r["t"]: r["n"] for r in have.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    return [min((found.get(t, 0) for t in w), default=0) for w in wants]
+
+
 def active_at(introduced: Column, ended: Column, at: Column) -> Column:
     """Introduced no later than the point, and not ended by it: what ends there is inactive."""
     return (introduced <= at) & (ended.isNull() | (at < ended))

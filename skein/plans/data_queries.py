@@ -116,9 +116,8 @@ def _bm25_sql(limit: str) -> str:
 
 def doc_frequency(spark, sf):
     """Documents with the rarest word of the query; a word that no document has makes it 0."""
-    d = _docs(spark, sf)
-    post = materialize(search.postings(d.select("id", F.array(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(1.0).alias("weight"))).alias("fields"))))
-    return spark.createDataFrame([(q, search.doc_frequency(post, q)) for q in (_QUERY, _QUERY + " nowhere")], "query string, df long")
+    asked = [_QUERY, _QUERY + " nowhere"]
+    return spark.createDataFrame(list(zip(asked, search.text_frequencies(_docs(spark, sf), asked))), "query string, df long")
 
 
 def _parts(spark, sf):
