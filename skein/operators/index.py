@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.names import compile_pattern, name_matches, python_tokens, tokens
+from skein.functions.shared import by_size, materialize
 from skein.operators.traverse import of_kinds
 
 TOKEN_CAP = 32
+#: Rows up to which one task may take the first ones in order.
+ORDERED_ROWS = 100_000
 
 
 def query_entities(entities: DataFrame, name_pattern: str | None = None, file_path: str | None = None, kinds: list[str] | None = None, languages: list[str] | None = None, roles: list[str] | None = None) -> DataFrame:
@@ -99,9 +102,30 @@ def tier_names(hot: DataFrame, cold: DataFrame, pattern: str) -> DataFrame:
     return hits.withColumn("rank", F.when(F.lower("name") == pattern.lower().replace("*", ""), 0).otherwise(1))
 
 
+def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The first n rows by key. Many aren't gathered in order: keys are counted in ranges, and only the range that holds the last one is sorted."""
+    if n <= ORDERED_ROWS:
+        return df.orderBy(key).limit(n)
+    ranges = -(-df.count() // ORDERED_ROWS) + 1
+    placed = materialize(df.select(key).repartitionByRange(ranges, key).withColumn("__range", F.spark_partition_id()))
+    below = 0
+    for r in sorted(placed.groupBy("__range").count().collect()):
+        if below + r["count"] >= n:
+            rest = placed.where(F.col("__range") == r["__range"]).orderBy(key).limit(n - below)
+            last = rest.agg(F.max(key)).first()[0]
+            break
+        below += r["count"]
+    else:
+        return df
+    if last is None:
+        return df.where(F.col(key).isNull()).limit(n)
+    under = F.col(key).isNull() | (F.col(key) < last)
+    return df.where(under).unionByName(df.where(F.col(key) == last).limit(n - placed.where(under).count()))
+
+
 def partial_hydrate(entities: DataFrame, relations: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n entities by id and the relations between them."""
-    hot = entities.orderBy("id").limit(n)
+    hot = first_rows(entities, n)
     return hot, entity_edges(hot, relations)
 
 
@@ -128,7 +152,7 @@ def overview(entities: DataFrame, relations: DataFrame, languages: bool = False)
 
 def distinct_incoming(relations: DataFrame) -> DataFrame:
     """(id, n): distinct sources by target. Duplicates go before the shuffle on the target, so a hub's sources aren't gathered."""
-    return relations.select("src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    return by_size(relations.select("src", "dst"), "src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
 
 
 def incoming_lists(relations: DataFrame, ids: list) -> DataFrame:
